@@ -32,7 +32,8 @@ from .common import Scratch, ship, table
 from .graph import components
 from .token_output import slices
 
-SHINGLE = 4
+#: Words of a shingle; a contract may ask for another number.
+SHINGLE = 5
 MIN_PERCENT = 80
 PERMUTATIONS, ROWS, BANDS = 100, 5, 40
 KEPT = 400_000
@@ -185,4 +186,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = MIN_
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 80 * (a.n + b.n - COUNT(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, MIN(reach.b)::BIGINT AS component_id, sets.doc_id = MIN(reach.b) AS kept
+FROM sets JOIN reach ON sets.doc_id = reach.a GROUP BY sets.doc_id, s
+"""

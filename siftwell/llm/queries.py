@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dups, packing, quality, secrets, token_counts, token_output
+from . import cap_filters, language_id, mixing, near_dups, packing, quality, secrets, token_counts, token_output, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": token_output.op2,
         "op3_minmax_near_dups": near_dups.op3,
         "op4_secret_scan": secrets.op4,
+        "op5_voronoi_topk": topk.op5,
+        "op6_cap_filter_links": cap_filters.op6,
         "op7_prefix_token_counts": token_counts.op7,
         "op8_best_fit_packing": packing.op8,
         "op9_language_id": language_id.op9,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op3_minmax_near_dups": near_dups.SQL, "op5_voronoi_topk": topk.SQL, "op6_cap_filter_links": cap_filters.SQL}
