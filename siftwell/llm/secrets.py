@@ -139,7 +139,11 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     return out.select(*columns)
 
 
+def _equals(kind: str):
+    return lambda x: x == kind
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    n = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _equals(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *n, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
