@@ -44,17 +44,21 @@ _tables: dict[str, WordTable] = {}
 
 
 def split_planes(ids: np.ndarray) -> list[bytes]:
-    """The 32 bit planes of unsigned 32-bit ids, lowest first."""
-    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return [np.packbits(row, bitorder="little").tobytes() for row in np.ascontiguousarray(bits.T)]
+    """The 32 bit planes of unsigned 32-bit ids, lowest first; empty for a plane that is all zero."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    bits = np.unpackbits(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width), axis=1, bitorder="little")
+    planes = [row.tobytes() for row in np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")]
+    return [p if p.count(0) != len(p) else b"" for p in planes] + [b""] * (32 - 8 * width)
 
 
 def join_planes(planes: list[bytes | None], n: int) -> np.ndarray:
-    bits = np.zeros((32, n), np.uint8)
+    width = 4 if any(p is not None for p in planes[16:]) else 2
+    rows = np.zeros((8 * width, -(-n // 8)), np.uint8)
     for k, p in enumerate(planes):
         if p is not None:
-            bits[k] = np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u4").reshape(-1)
+            rows[k] = np.frombuffer(p, np.uint8)
+    bits = np.unpackbits(rows, axis=1, count=n, bitorder="little")
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(f"<u{width}").reshape(-1).astype("<u4")
 
 
 class ShardWriter:
@@ -78,7 +82,7 @@ class ShardWriter:
             self.held, self.n_held = [flat[whole:]], len(flat) - whole
 
     def block(self, ids: np.ndarray) -> None:
-        packed = [self.zip.compress(p) if p.count(0) != len(p) else b"" for p in split_planes(ids)]
+        packed = [self.zip.compress(p) if p else b"" for p in split_planes(ids)]
         self.blocks.append(struct.pack("<Q32I", self.at, *map(len, packed)))
         for p in packed:
             self.out.write(p)

@@ -16,7 +16,9 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words kept by a worker; when full, the table starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
+#: Short pieces kept besides.
+SHORT_PIECES = 50_000
 #: The pre-tokenizer's pattern.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-ɏ]*")
@@ -99,16 +101,26 @@ class Encoder:
         """Whether lower() and PIECE split the word as the library does."""
         return (word.isascii() and word.isprintable() and "<|" not in word) or bool(_PLAIN.fullmatch(word) and unicodedata.is_normalized("NFC", word) and not any(s in word for s in self.special))
 
+    def split(self, word: str) -> list[str] | None:
+        """The word's pieces as the pre-tokenizer cuts them; None if only the library can tell."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[:-1].isalpha() and word[-1] in ".,":
+                return [word[:-1].lower(), word[-1]]
+        return PIECE.findall(word.lower()) if self.plain(word) else None
+
     def ids(self, word: str) -> tuple[int, ...]:
-        if not self.plain(word):
+        pieces = self.split(word)
+        if pieces is None:
             return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        got = [self.piece(p) for p in PIECE.findall(word.lower())]
+        got = [self.piece(p) for p in pieces]
         return got[0] if len(got) == 1 else tuple(chain.from_iterable(got))
 
     def piece(self, piece: str) -> tuple[int, ...]:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) > MAX_WORDS:
-                self.pieces.clear()
-            ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(symbols(piece)))
+            ids = tuple([t.id for t in self.model.tokenize(symbols(piece))])
+            if len(piece) < 5 and len(self.pieces) < SHORT_PIECES:  # longer ones seldom come again in another word
+                self.pieces[piece] = ids
         return ids
