@@ -188,3 +188,33 @@ def table_type(text: Column) -> Column:
 def lexicon_hits(text: Column, words: list[str]) -> Column:
     low = F.lower(text)
     return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+
+
+def title(text: Column) -> Column:
+    """The first line that could be a title: 12 to 200 characters, ten letters, no address or brace, not a section's name."""
+    ok = lambda s: F.length(s).between(12, 200) & ~F.lower(s).isin("abstract", "introduction") & ~s.rlike("[@{]") & (letters(s) >= 10)
+    return F.try_element_at(F.filter(F.transform(lines(text), squeeze), ok), F.lit(1))
+
+
+def sanitized(text: Column) -> Column:
+    """A chunk's text from its first sentence start on; null for captions, symbols only, and texts without a sentence start."""
+    s = squeeze(F.replace(text, F.lit("\x00"), F.lit(" ")))
+    s = squeeze(F.regexp_replace(s, r"(?i)\bEQUATION:\s*", "[equation] "))
+    start = F.regexp_instr(s, F.lit(r"[.!?] [A-Z0-9\[]"))
+    advanced = F.when(s.rlike(r"^[A-Z0-9\[]"), s).when(start > 0, s.substr(start + 2, F.length(s)))
+    low, noise = F.lower(advanced), F.lit(False)
+    for p in ("figure", "fig.", "table", "eq.", "equation:", "index terms:"):
+        noise = noise | low.startswith(p)
+    return F.when(~noise & ~advanced.rlike(r"^[0-9\s+\-*/^=<>()\[\]{}|.,:;%]+$"), advanced)
+
+
+def number(text: Column, pattern: str, kind: str = "double") -> Column:
+    """The first group of a pattern as a number, null if there is none."""
+    return F.regexp_extract(F.lower(text), pattern, 1).try_cast(kind)
+
+
+def confidence(value: Column) -> Column:
+    """A confidence given as a number or in words, from 0 to 1."""
+    low = F.lower(F.trim(value))
+    named = lookup(low, {"very high": 0.95, "high": 0.85, "medium": 0.6, "moderate": 0.6, "low": 0.35, "very low": 0.2}, None)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(low.try_cast("double"), named, F.lit(0.5))))

@@ -125,3 +125,15 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 400, ov
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content", "token_count"])
 
     return kept.mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, chunk_index int, content string, token_count int")
+
+
+def claim_units(text: Column, joins: Column | None = None) -> Column:
+    """Sentences of a text, each one that goes on from the one before (no capital at its start) merged into it."""
+    units = F.flatten(F.transform(T.lines(text), lambda s: F.split(s, r"(?<=[.!?])\s+")))
+
+    def add(acc: Column, u: Column) -> Column:
+        goes_on = (F.size(acc) > 0) & ~u.rlike(r"^[\p{Lu}0-9\[]")
+        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(goes_on, F.concat(head, F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(" "), u)))).otherwise(F.concat(acc, F.array(u)))
+
+    return F.aggregate(F.filter(units, lambda u: u != ""), F.array().cast("array<string>"), add)

@@ -123,3 +123,40 @@ def equations(text: Column) -> Column:
 
 def recommend(score: Column) -> Column:
     return F.when(score >= 0.75, "clone_existing_repo").when(score >= 0.55, "review_repo_then_generate").otherwise("use_generated_scaffold")
+
+
+def merge_ranked(parts: list[DataFrame], key: str, order: list[Column], k: int) -> DataFrame:
+    """The union of parts, one row per key (the first in order), the k first in order."""
+    from pyspark.sql import Window
+
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    once = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("r = 1").drop("r")
+    return once.orderBy(*order).limit(k)
+
+
+def hydrate(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Items (item_id, chunk_id, chunk_index, text) whose missing text is that of their chunk, by id first, then by index."""
+    by_id = chunks.select(F.col("chunk_id").alias("i_id"), F.col("content").alias("i_text"))
+    by_index = chunks.groupBy(F.col("chunk_index").alias("x_index")).agg(F.min_by("content", "chunk_id").alias("x_text"))
+    found = items.join(by_id, F.col("chunk_id") == F.col("i_id"), "left").join(by_index, F.col("chunk_index") == F.col("x_index"), "left")
+    return found.withColumn("text", F.coalesce(F.nullif("text", F.lit("")), "i_text", "x_text")).drop("i_id", "i_text", "x_index", "x_text")
+
+
+def first_seen(rows: DataFrame, key: str, order: Column, words: list[str], most: int = 8) -> DataFrame:
+    """Per key, the words that its texts (content) hold, in the order in which they are first seen, at most so many."""
+    hits = rows.select(key, order.alias("o"), F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(words) - 1)), lambda i: F.struct(i.alias("i"), F.element_at(F.array(*map(F.lit, words)), i + 1).alias("w"))), lambda x: F.contains(F.lower(F.col("content")), x["w"]))).alias("h"))
+    seen = hits.groupBy(key, "h.w").agg(F.min(F.struct("o", "h.i")).alias("m"))
+    return seen.groupBy(key).agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("m", "w"))), lambda x: x["w"]), 1, most), ",").alias("found"))
+
+
+def status(ok: Column, n: Column) -> Column:
+    return F.when((ok == n) & (n > 0), "success").when(ok > 0, "partial_failure").otherwise("failed")
+
+
+def trust(base: Column, title: Column, architecture: Column, readme_title: Column, readme_architecture: Column, trains: Column, environment: Column, stars: Column) -> Column:
+    """A repository's score after verification: what was found adds to its base, up to 1."""
+    out = base + F.when(title >= 0.55, 0.18).otherwise(0.0) + F.when(architecture >= 0.55, 0.12).otherwise(0.0) + F.when(readme_title, 0.2).otherwise(0.0) + F.when(readme_architecture, 0.12).otherwise(0.0)
+    out = out + F.when(trains, 0.08).otherwise(0.0) + F.when(environment, 0.05).otherwise(0.0) + F.when(stars > 50, F.least(F.lit(0.15), stars / 5000.0)).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), out), 4)

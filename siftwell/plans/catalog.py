@@ -472,3 +472,86 @@ def corpus_overview(spark, sf):
 @query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', doc_id::VARCHAR, lang, source, text)), 'token')")
 def text_filter(spark, sf):
     return table(spark, sf, "documents").filter(F.contains(F.lower(F.concat_ws(" ", F.col("doc_id").cast("string"), "lang", "source", "text")), F.lit("token"))).select("doc_id")
+
+
+# Further operators
+
+_QF, _QT = X.any_of("lower(text)", L.FORMULA_QUERY), X.any_of("lower(text)", L.TABLE_QUERY)
+_LACK = lambda terms: f"list_filter({X.arr(terms)}, lambda t: NOT contains(lower({X.squeeze('text')}), t))[1:4]"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {_QF} THEN 'equation_extraction' WHEN {_QT} THEN 'table_extraction' WHEN {X.any_of('lower(text)', L.LITERAL_QUERY)} THEN 'literal_extraction' ELSE 'standard' END AS mode, {X.any_of('lower(text)', L.REFERENCE_QUERY)} AS about_references,
+CASE WHEN {X.squeeze('text')} <> '' AND len({_LACK(L.TABLE_EXPANSION)}) > 0 THEN {X.squeeze('text')} || ' | focus on ' || array_to_string({_LACK(L.TABLE_EXPANSION)}, '; ') ELSE {X.squeeze('text')} END AS expanded FROM conversations""")
+def query_modes(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", Q.response_mode(t).alias("mode"), Q.is_reference_query(t).alias("about_references"), Q.expanded(t, F.lit(True), L.TABLE_EXPANSION).alias("expanded"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform({X.lines('text')}, lambda s: {X.squeeze('s')}), lambda s: length(s) BETWEEN 12 AND 200 AND lower(s) NOT IN ('abstract', 'introduction') AND NOT regexp_matches(s, '[@{{]') AND {X.letters('s')} >= 10) AS t FROM documents) SELECT doc_id, t[1] AS title FROM l""")
+def title_extract(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.title(F.col("text")).alias("title"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, {X.squeeze("regexp_replace(replace(text, chr(0), ' '), '(?i)' || chr(92) || 'bEQUATION:' || chr(92) || 's*', '[equation] ', 'g')")} AS s FROM documents),
+m AS (SELECT doc_id, s, regexp_replace(s, '([.!?]) ([A-Z0-9\\[])', '\\1' || chr(1) || '\\2') AS x FROM s),
+a AS (SELECT doc_id, CASE WHEN regexp_matches(s, '^[A-Z0-9\\[]') THEN s WHEN instr(x, chr(1)) > 0 THEN substr(x, instr(x, chr(1)) + 1) END AS a FROM m)
+SELECT doc_id, md5(CASE WHEN NOT ({' OR '.join(f"starts_with(lower(a), {X.q(p)})" for p in ('figure', 'fig.', 'table', 'eq.', 'equation:', 'index terms:'))}) AND NOT regexp_matches(a, '^[0-9\\s+\\-*/^=<>()\\[\\]{{}}|.,:;%]+$') THEN a END) AS content_md5 FROM a""")
+def chunk_sanitize(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.sanitized(F.col("text"))).alias("content_md5"))
+
+
+@query()
+def claim_units(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", documents.claim_units(F.col("text")).alias("units")).select("doc_id", F.size("units").alias("n_units"))
+
+
+_SEEN = ["license", "token", "the", "und", "que", "ment"]
+
+
+@query(f"""WITH h AS (SELECT source, doc_id AS o, unnest(range(1, {len(_SEEN) + 1})) AS i, lower(text) AS low FROM documents), f AS (SELECT source, {X.arr(_SEEN)}[i] AS w, min((o, i)) AS m FROM h WHERE contains(low, {X.arr(_SEEN)}[i]) GROUP BY ALL)
+SELECT source, array_to_string((list(w ORDER BY m))[1:4], ',') AS found FROM f GROUP BY source""")
+def metric_first_seen(spark, sf):
+    rows = table(spark, sf, "documents").select("source", "doc_id", F.col("text").alias("content"))
+    return evidence.first_seen(rows, "source", F.col("doc_id"), _SEEN, 4)
+
+
+@query(f"""{_RANKED}, u AS (SELECT chunk_id, importance, role_confidence, score FROM ranked WHERE section_name IN ('results', 'method') UNION ALL SELECT chunk_id, importance, role_confidence, score FROM ranked WHERE role = 'evaluation'),
+o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY importance DESC, role_confidence DESC, score DESC, chunk_id) = 1) SELECT chunk_id, importance, score FROM o ORDER BY importance DESC, role_confidence DESC, score DESC, chunk_id LIMIT 10""")
+def merge_evidence(spark, sf):
+    rows = _annotated(spark, sf).select("chunk_id", "section_name", "role", "importance", "role_confidence", "score")
+    parts = [rows.filter(F.col("section_name").isin("results", "method")), rows.filter("role = 'evaluation'")]
+    return evidence.merge_ranked(parts, "chunk_id", [F.desc("importance"), F.desc("role_confidence"), F.desc("score"), F.asc("chunk_id")], 10).select("chunk_id", "importance", "score")
+
+
+@query("""WITH i AS (SELECT page_id AS item_id, CASE WHEN page_id % 2 = 0 THEN page_id END AS chunk_id, page_id % 20 AS chunk_index, CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN '' END AS text FROM pages), x AS (SELECT doc_id % 25 AS k, arg_min(text, doc_id) AS t FROM documents GROUP BY 1)
+SELECT i.item_id, md5(coalesce(nullif(i.text, ''), d.text, x.t)) AS text_md5 FROM i LEFT JOIN documents d ON d.doc_id = i.chunk_id LEFT JOIN x ON x.k = i.chunk_index""")
+def hydrate_items(spark, sf):
+    p = F.col("page_id")
+    items = table(spark, sf, "pages").select(p.alias("item_id"), F.when(p % 2 == 0, p).alias("chunk_id"), (p % 20).alias("chunk_index"), F.when(p % 5 == 0, F.col("url")).when(p % 5 == 1, "").alias("text"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("c"), (F.col("doc_id") % 25).alias("chunk_index"), F.col("text").alias("content")).withColumnRenamed("c", "chunk_id")
+    return evidence.hydrate(items, rows).select("item_id", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT source, count(*) AS n, count_if(doc_id % 3 <> 0) AS n_ok, CASE WHEN count_if(doc_id % 3 <> 0) = count(*) THEN 'success' WHEN count_if(doc_id % 3 <> 0) > 0 THEN 'partial_failure' ELSE 'failed' END AS status FROM documents GROUP BY source""")
+def analysis_status(spark, sf):
+    a = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 3 != 0).alias("n_ok"))
+    return a.select("source", "n", "n_ok", evidence.status(F.col("n_ok"), F.col("n")).alias("status"))
+
+
+@query("""SELECT p_partkey, round(least(1.0::DOUBLE, (p_size % 10) / 20.3::DOUBLE + CASE WHEN p_size % 3 = 0 THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN p_partkey % 4 = 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN p_partkey % 300 > 50 THEN least(0.15::DOUBLE, (p_partkey % 300) / 5000.0::DOUBLE) ELSE 0 END), 4) AS trust FROM part""")
+def repo_trust(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    value = evidence.trust((size % 10) / 20.3, F.when(size % 3 == 0, 1.0).otherwise(0.0), F.lit(0.0), k % 4 == 0, F.lit(False), k % 5 == 0, k % 7 == 0, k % 300)
+    return table(spark, sf, "part").select("p_partkey", value.alias("trust"))
+
+
+@query(r"""SELECT event_id, TRY_CAST(nullif(regexp_extract(lower(props), '([0-9]+(\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM events""")
+def parse_number(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.number(F.col("props"), r"([0-9]+(\.[0-9]+)?)").alias("number"))
+
+
+@query("""SELECT p_partkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN p_size % 6 = 5 THEN p_size / 40.0::DOUBLE END, CASE p_size % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.85 WHEN 2 THEN 0.6 WHEN 3 THEN 0.2 END::DOUBLE, 0.5::DOUBLE))) AS confidence FROM part""")
+def coerce_confidence(spark, sf):
+    k = F.col("p_size") % 6
+    said = F.when(k == 0, " Very High").when(k == 1, "high").when(k == 2, "MEDIUM").when(k == 3, "very low").when(k == 5, (F.col("p_size") / 40.0).cast("string"))
+    return table(spark, sf, "part").select("p_partkey", T.confidence(said).alias("confidence"))
