@@ -21,6 +21,7 @@ give a row each; other columns are left out; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 from .token_output import slices
-from .words import MAX_WORDS, PIECE, Encoder, WordTable, blanks, symbols
+from .words import PIECE, SHORT_PIECES, Encoder, WordTable, blanks, symbols
 
 LIMIT = 2048
 _END = "</w>"
 _NEVER = 1 << 60
+#: Prefixes of this length are kept with their counts, so many at most: words share them.
+HEAD, HEADS = 6, 100_000
 _tables: dict[str, WordTable] = {}
 
 
@@ -47,12 +50,17 @@ class PrefixCounter:
 
         self.encoder = Encoder(path)
         model = json.loads(self.encoder.tokenizer.to_str())["model"]
-        self.vocab = set(model["vocab"])
+        vocab = set(model["vocab"])
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.starts = {t[:i] for t in (v.removesuffix(_END) for v in self.vocab) for i in range(1, len(t) + 1)}
+        # Every token's text: bit 0 if it is a token, bit 1 if it is one with the word end.
+        self.kinds = {t: (t in vocab) + 2 * (t + _END in vocab) for t in (v.removesuffix(_END) if len(v) > len(_END) else v for v in vocab)}
+        self.longest = max(map(len, self.kinds))
+        self.heads: dict[str, tuple] = {}
         self.made: dict[str, tuple[str, str]] = {}
         self.edges: dict[str, list | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # Which tokens may follow a token, as they are and with the word end: no more than pairs of tokens met.
+        self.after: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.ends: dict[str, dict[str, bool]] = defaultdict(dict)
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def merged(self, parts: list[str]) -> tuple[str, ...]:
@@ -102,49 +110,61 @@ class PrefixCounter:
                     return False
         return True
 
+    def extend(self, text: str, last: list, opened: list[int], closed: list[int]) -> tuple[list, list[int], list[int]]:
+        """Goes on from the prefixes whose last token (None: there is none) and counts are given to all of text.
+
+        Of all tokens that end at a prefix, one is compatible with the last token of what stands before it, as the word
+        goes on, and one as it ends there.
+        """
+        kinds, after, ends = self.kinds, self.after, self.ends
+        for i in range(len(last), len(text) + 1):
+            token_open, n_open, n_closed = None, 0, 0
+            for j in range(max(0, i - self.longest), i):
+                left = last[j]
+                if left is None:
+                    continue
+                token = text[j:i]
+                kind = kinds.get(token)
+                if kind is None:
+                    continue
+                if kind & 1 and token_open is None:
+                    ok = after[left].get(token)
+                    if ok is None:
+                        ok = after[left][token] = self.compatible(left, token)
+                    if ok:
+                        token_open, n_open = token, opened[j] + 1
+                if kind & 2 and not n_closed:
+                    ok = ends[left].get(token)
+                    if ok is None:
+                        ok = ends[left][token] = self.compatible(left, token + _END)
+                    if ok:
+                        n_closed = opened[j] + 1
+                if n_closed and token_open is not None:
+                    break
+            last.append(token_open)
+            opened.append(n_open)
+            closed.append(n_closed)
+        return last, opened, closed
+
     def piece(self, piece: str) -> tuple[int, ...]:
         """Counts of all prefixes of a piece that the pre-tokenizer leaves whole."""
         got = self.pieces.get(piece)
         if got is not None:
             return got
         text = symbols(piece)
-        n = len(text)
-        last: list = [None] * (n + 1)
-        opened, closed = [0] * (n + 1), [0] * (n + 1)
-        last[0] = ""
-        pairs, starts, vocab = self.pairs, self.starts, self.vocab
-        for j in range(n):
-            left = last[j]
-            if left is None:
-                continue
-            count = opened[j] + 1
-            for i in range(j + 1, n + 1):
-                token = text[j:i]
-                if token not in starts:
-                    break
-                if last[i] is None and token in vocab:
-                    ok = pairs.get((left, token))
-                    if ok is None:
-                        ok = pairs[left, token] = self.compatible(left, token)
-                    if ok:
-                        last[i], opened[i] = token, count
-                if not closed[i]:
-                    token += _END
-                    if token in vocab:
-                        ok = pairs.get((left, token))
-                        if ok is None:
-                            ok = pairs[left, token] = self.compatible(left, token)
-                        if ok:
-                            closed[i] = count
+        head = text[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            known = self.extend(head, [""], [0], [0])
+            if len(self.heads) < HEADS:
+                self.heads[head] = known
+        closed = self.extend(text, *map(list, known))[2] if len(text) > HEAD else known[2]
         if piece.isascii():
             got = tuple(closed[1:])
         else:
             got = tuple(closed[i] for i in accumulate(len(c.encode()) for c in piece))
-        if len(self.pieces) > MAX_WORDS:
-            self.pieces.clear()
-        if len(pairs) > 4 * MAX_WORDS:
-            pairs.clear()
-        self.pieces[piece] = got
+        if len(piece) < 5 and len(self.pieces) < SHORT_PIECES:
+            self.pieces[piece] = got
         return got
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -156,6 +176,8 @@ class PrefixCounter:
                 cut.append(len(full.encode(text, add_special_tokens=False).ids))
                 text = text[:-1]
             return tuple(cut[::-1])
+        if word.isascii() and word.isalpha():
+            return self.piece(word.lower())
         out: list[int] = []
         base = 0
         for m in PIECE.finditer(word.lower()):
