@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,12 +158,12 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.nda
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each."""
-    sizes = np.diff(np.concatenate([[0], np.cumsum([len(t) if t else 0 for t in batch["text"].to_pylist()])]))
-    part = np.cumsum(sizes) // most
+    """Parts of a batch with about ``most`` bytes of text each, or one text."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
     for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _write(base: str, path: str):
