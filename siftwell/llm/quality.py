@@ -60,14 +60,17 @@ def index_vector(name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordVectors:
-    def __init__(self, docs: list[list[str]]):
-        counts = Counter(w for d in docs for w in d)
+    def __init__(self, texts: list[str | None]):
+        # Texts are cut into words twice, so that the words of all are never held at once.
+        counts = Counter()
+        for t in texts:
+            counts.update(_TOKENS.findall(t or ""))
         words = [w for w, n in counts.most_common(MAX_VOCABULARY) if n > 2]
         self.rows = {w: i for i, w in enumerate([*words, *sorted({shape(w) for w in counts} - {*words}), "~"])}
         names = list(self.rows)
         at, sign = (np.array(x) for x in zip(*map(index_vector, names)))
         total = np.zeros(len(names) * DIM)
-        ids = [np.fromiter((self.row(w) for w in d), np.int64, len(d)) for d in docs]
+        ids = [np.fromiter(map(self.row, _TOKENS.findall(t or "")), np.int64) for t in texts]
         for gap in range(1, WINDOW + 1):
             left = np.concatenate([x[:-gap] for x in ids if len(x) > gap] or [np.zeros(0, np.int64)])
             right = np.concatenate([x[gap:] for x in ids if len(x) > gap] or [np.zeros(0, np.int64)])
@@ -163,7 +166,7 @@ class Network:
 
 
 def fit(texts: list[str | None], labels: list[int]) -> tuple[WordVectors, Network]:
-    vectors = WordVectors([_TOKENS.findall(t or "") for t in texts])
+    vectors = WordVectors(texts)
     known = _Known(vectors)
     x = np.concatenate([features(texts[i : i + 100], known) for i in range(0, len(texts), 100)]) if texts else np.zeros((0, 2 * DIM + 3))
     return vectors, Network().fit(x.astype(np.float64), np.array(labels, np.float64))
