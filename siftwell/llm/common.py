@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -80,7 +79,10 @@ def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "left") ->
     return big.join(key, big[on].eqNullSafe(key["__key"]), how).drop("__key")
 
 
-def worker_path() -> None:
-    """On a driver that was started elsewhere, let the package's own modules be found."""
-    if str(ROOT) not in sys.path:
-        sys.path.insert(0, str(ROOT))
+def semi_join(big: DataFrame, ids: DataFrame, left: str, right: str, most: int = 2 * BROADCAST_ROWS) -> DataFrame:
+    """The rows of big whose column is among the ids (one number each), null-safe: ids are broadcast if a count shows that
+    they are few, so that the rows stay where they are, else both sides are shuffled."""
+    key = ids.select(F.col(right).alias("__key"))
+    if key.limit(most + 1).count() <= most:
+        key = F.broadcast(key)
+    return big.join(key, big[left].eqNullSafe(key["__key"]), "left_semi")

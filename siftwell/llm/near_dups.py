@@ -2,16 +2,19 @@
 
 Every document is the set of its distinct word shingles. Under each of PERMUTATIONS random orders the signature keeps
 both the least and the greatest shingle hash, so that one evaluation gives two values; bands of ROWS values, drawn from
-different permutations, are the join keys. With 2 * PERMUTATIONS = 200 values in BANDS = 40 bands of 5, two sets of
-Jaccard similarity 0.8 miss every band with a probability of about 1e-7. Candidates are confirmed on the full sets.
+different permutations, are the join keys. With 2 * PERMUTATIONS = 96 values in BANDS = 24 bands of 4, two sets of
+Jaccard similarity 0.8 miss every band with a probability of about 3e-6. Candidates are confirmed on the full sets.
 
 Documents of equal sets are one class from the start (groups of copies never pair). Links are only needed as far as they
-connect, so that a bucket never emits its pairs: (1) each class is checked against the least class it shares a bucket
-with; (2) in buckets that still hold more than one component, each class is checked against one pivot of the bucket;
-(3) only what then still lies apart in one bucket, and is of comparable size, is checked pair by pair, each pair in its
-first common bucket. Every pair that shares a bucket ends up linked, in one component by other links, or checked, so that
-no link between candidates is lost. Buckets are found with aggregates and skew-splittable joins, never with windows or
-lists over a bucket.
+connect, so that a bucket never emits its pairs: (1) each class is checked against the least class it shares a bucket with; (2) each
+class in a bucket that still holds more than one component is checked against a pivot, the class of such a bucket with
+the fewest shingles of its own; (3) what then still lies apart is joined on the rarest shingles, one pair between any two
+components first, then all that are still needed: sets of n shingles that
+reach p percent have one in common among their n - ceil(n * p / 100) + 1 rarest, so that this join is exact, and the many
+loose copies of one text, whose rarest shingles are their own edits, meet hardly anything. The place of the first shingle in
+common, or the number of own shingles, bounds a pair's similarity from above before it is checked. Every class that shares a bucket with a class of another component goes
+through (3), so that no link between candidates is lost. Buckets are found with aggregates and skew-splittable joins,
+never with windows or lists over a bucket.
 
 Defined results: null, empty and wordless texts have an empty set, link with nothing and are their own component; rows
 that repeat a doc_id are rows of their own (equal texts link, and a component's id is its least doc_id); a null doc_id
@@ -25,17 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, table
+from .common import Scratch, semi_join, ship, table
 from .graph import components
 from .token_output import slices
 
 #: Words of a shingle; a contract may ask for another number.
 SHINGLE = 5
 MIN_PERCENT = 80
-PERMUTATIONS, ROWS, BANDS = 100, 5, 40
+PERMUTATIONS, ROWS, BANDS = 48, 4, 24
 KEPT = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -96,15 +99,20 @@ class Signer:
         return key.view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> int | None:
+    """A 64-bit name of a set, signed; that any two of a billion sets share one has a chance of about 0.03."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else None
+
+
 def _signatures(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(t, shingle) for t in part["text"].to_pylist()]
-                prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                prints = [_digest(s) for s in sets]
                 keys = [signer.bands(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "keys"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "keys"])
 
     return run
 
@@ -114,15 +122,15 @@ def _sets(shingle: int):
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(t, shingle) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["print"], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["print", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["print", "shingles"])
 
     return run
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, print (128-bit digest of the set; null if empty), keys (one per band) of each row."""
+    """doc_id, n_shingles, print (64-bit digest of the set; null if empty), keys (one per band) of each row."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, print binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, print long, keys array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,6 +141,45 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp.withColumnRenamed("node", "c_node"), F.col("print") == F.col("c_node"), "left").withColumn("comp", F.coalesce("least", "print")).drop("c_node", "least")
+
+
+def _apart(rows: DataFrame, comp: DataFrame, by: str = "print") -> DataFrame:
+    """The rows (print, key) of buckets that hold more than one component, with comp and a pivot of the bucket: the class
+    with the fewest shingles of its own (by u) or the least name."""
+    labelled = _labelled(rows, comp)
+    pivot = F.min(F.struct(F.col(by).alias("by"), *[c for c in ("print", "n", "u", "comp") if c in labelled.columns])).alias("pivot")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), pivot).filter("c_lo <> c_hi").select(F.col("key").alias("a_key"), "pivot")
+    return labelled.join(mixed, F.col("key") == F.col("a_key")).drop("a_key")
+
+
+def _can_link(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(print) of the rows' classes, without those that have so many shingles in no other of them that they can't reach
+    the wanted similarity with any."""
+    own = sets.join(rows.select("print").distinct(), "print")
+    once = own.select("print", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("print").alias("l_print")).filter("c = 1")
+    alone = once.groupBy("l_print").agg(F.count("*").alias("u"))
+    counted = own.select("print", F.size("shingles").alias("n")).join(alone, F.col("print") == F.col("l_print"), "left")
+    return counted.filter(100 * (F.col("n") - F.coalesce("u", F.lit(0))) >= percent * F.col("n")).select("print")
+
+
+def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(print, n, u, prefix) of the rows' classes: n shingles, u of them in no other of these classes, and the rarest ones,
+    so many that two sets of the wanted similarity have one of them in common."""
+    shingles = sets.join(rows, "print").select("print", F.explode("shingles").alias("s"))
+    common = shingles.groupBy("s").agg(F.count("*").alias("c")).withColumnRenamed("s", "c_s")
+    by_class = shingles.join(common, F.col("s") == F.col("c_s")).groupBy("print").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("r")).withColumn("n", F.size("r"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    return by_class.select("print", "n", F.size(F.filter("r", lambda x: x["c"] == 1)).alias("u"), F.transform(F.slice("r", F.lit(1), length), lambda x: x["s"]).alias("prefix"))
+
+
+def _bound(na: Column, ua: Column, nb: Column, ub: Column, percent: int) -> Column:
+    """Whether sets of these sizes and numbers of shingles of their own can be similar enough: what they share is no more
+    than what is not their own, and their union no less than the one and the other's own."""
+    return (100 * (na - ua) >= percent * (na + ub)) & (100 * (nb - ub) >= percent * (nb + ua)) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept, and print (the set's digest).
 
@@ -147,36 +194,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = MIN_
     members = scratch.save(rows.join(shared, F.col("key") == F.col("s_key")).select("print", "n", "key", "lo"))
 
     wanted = members.select("print").distinct()
-    chosen = classes.select("print", "doc_id").join(wanted, "print")
-    # One text for each class; a null id can't be joined on, so that its class is found by its digest alone.
-    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text"))
-    by_id = texts.join(chosen, F.col("t_id").eqNullSafe(F.col("doc_id"))).select("print", "text")
-    made = by_id.mapInArrow(_sets(shingle), "print binary, shingles array<long>")
-    # Rows that repeat an id may bring another text's set: only the set with the class's own number of shingles can be it.
-    sets = scratch.save(made.join(classes.select(F.col("print").alias("c_print"), "n"), F.col("print") == F.col("c_print")).filter(F.size("shingles") == F.col("n")).groupBy("print").agg(F.first("shingles").alias("shingles")))
+    # One text for each class, by its least id; texts that only repeat an id drop out as their own digest isn't wanted.
+    ids = scratch.save(classes.select("print", "doc_id").join(wanted, "print", "left_semi").select("doc_id").distinct())
+    texts = semi_join(docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text")), ids, "t_id", "doc_id")
+    made = texts.select("text").mapInArrow(_sets(shingle), "print long, shingles array<long>")
+    sets = scratch.save(made.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("shingles").alias("shingles")))
 
     first = members.filter("print <> lo").groupBy("print").agg(F.min("lo").alias("a")).select("a", F.col("print").alias("b"))
-    links = scratch.save(verified(first, sets, percent))
-    checked = scratch.save(first)
-    for step in ("pivot", "pairs"):
-        comp = components(links, scratch)
-        labelled = members.join(comp.withColumnRenamed("node", "c_node"), F.col("print") == F.col("c_node"), "left").select("print", "n", "key", F.coalesce("least", "print").alias("comp"))
-        apart = labelled.groupBy("key").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.min(F.struct(F.xxhash64("print", "key"), "print", "comp")).alias("pivot")).filter("c_lo <> c_hi").select(F.col("key").alias("a_key"), "pivot")
-        open_rows = labelled.join(apart, F.col("key") == F.col("a_key"))
+    comp = components(verified(first, sets, percent), scratch)
+    open_rows = scratch.save(_apart(members, comp))
+    able = scratch.save(_can_link(open_rows, sets, percent))
+    ranked = scratch.save(_prefixes(able, sets, percent))
+    near = open_rows.select("print", "key").join(ranked.select(F.col("print").alias("o_print"), "n", "u"), F.col("print") == F.col("o_print")).drop("o_print")
+    for step in () if ranked.isEmpty() else ("pivot", "best", "rest"):
         if step == "pivot":
-            pairs = open_rows.filter("comp <> pivot.comp").select(F.least("print", "pivot.print").alias("a"), F.greatest("print", "pivot.print").alias("b"))
+            rows = _apart(near, comp, "u").filter(F.col("comp") != F.col("pivot.comp")).filter(_bound(F.col("n"), F.col("u"), F.col("pivot.n"), F.col("pivot.u"), percent))
+            pairs = rows.groupBy("print").agg(F.min("pivot").alias("pivot")).select(F.least("print", "pivot.print").alias("a"), F.greatest("print", "pivot.print").alias("b")).distinct()
+        elif step == "best":
+            rows = _labelled(ranked, comp).select("print", "n", "comp", F.posexplode("prefix").alias("at", "s"))
+            mixed = rows.groupBy("s").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi")).filter("c_lo <> c_hi").select(F.col("s").alias("m_s"))
+            rows = scratch.save(rows.join(mixed, F.col("s") == F.col("m_s"), "left_semi"))
+            left = rows.select("s", *[F.col(c).alias(f"{c}_a") for c in ("print", "n", "at", "comp")])
+            right = rows.select(F.col("s").alias("s_b"), *[F.col(c).alias(f"{c}_b") for c in ("print", "n", "at", "comp")])
+            # What stands before the first shingle in common isn't shared, and what stands from there on bounds what is. At
+            # later ones the bound is too low, but a pair that reaches the bar gets through at its first.
+            most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+            close = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+            joint = left.join(right, (F.col("s") == F.col("s_b")) & (F.col("print_a") < F.col("print_b")) & (F.col("comp_a") != F.col("comp_b")) & close)
+            apart = scratch.save(joint.groupBy(F.col("print_a").alias("a"), F.col("print_b").alias("b")).agg(F.max(most / (F.col("n_a") + F.col("n_b") - most)).alias("bound"), F.min("comp_a").alias("ca"), F.min("comp_b").alias("cb")))
+            # Of the pairs between two components one link is enough: the most promising first.
+            pairs = apart.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")
         else:
-            own = scratch.save(open_rows.select("print", "n", "key", "comp"))
-            keys = classes.select(F.col("print").alias("k_print"), "keys")
-            left = own.join(keys, F.col("print") == F.col("k_print")).select(F.col("print").alias("a"), F.col("n").alias("na"), "key", F.col("comp").alias("ca"), F.col("keys").alias("ka"))
-            right = own.join(keys, F.col("print") == F.col("k_print")).select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("key").alias("b_key"), F.col("comp").alias("cb"), F.col("keys").alias("kb"))
-            comparable = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-            first_common = F.element_at(F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1) == F.col("key")
-            pairs = left.join(right, (F.col("key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & comparable & first_common).select("a", "b")
-        pairs = scratch.save(pairs.distinct().join(checked, ["a", "b"], "left_anti"))
-        links = scratch.save(links.unionByName(verified(pairs, sets, percent)))
-        checked = scratch.save(checked.unionByName(pairs))
-    comp = components(links, scratch)
+            label = comp.withColumnRenamed("node", "c_node")
+            still = apart.join(label, F.col("a") == F.col("c_node"), "left").select("a", "b", F.coalesce("least", "a").alias("ca"))
+            pairs = still.join(label, F.col("b") == F.col("c_node"), "left").filter(F.col("ca") != F.coalesce("least", "b")).select("a", "b")
+        new = scratch.save(verified(scratch.save(pairs), sets, percent))
+        if not new.isEmpty():
+            comp = components(new.unionByName(comp.select(F.col("node").alias("a"), F.col("least").alias("b"))), scratch)
     of_class = classes.select("print", "doc_id").join(comp.withColumnRenamed("node", "c_node"), F.col("print") == F.col("c_node"), "left").select("print", "doc_id", F.coalesce("least", "print").alias("comp"))
     ids = of_class.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     labels = scratch.save(of_class.select("print", "comp").join(ids, "comp").select(F.col("print").alias("l_print"), "component_id"))
