@@ -47,6 +47,22 @@ def overlap(claim: Column, support: Column) -> Column:
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, T.tokens(support))) / F.size(own))
 
 
+def claim_overlaps(claims: DataFrame, documents: DataFrame, hot: int = 50_000) -> DataFrame:
+    """(item_id, doc_id, overlap) for each pair of a row of claims (item_id, text) and a row of documents (doc_id, text) that
+    share a token: the share of the claim's distinct tokens that occur in the document. All rows of both take part; rows that
+    repeat an id, or have none, are rows of their own. A token of more than ``hot`` documents is spread over several keys."""
+    own = claims.select(F.monotonically_increasing_id().alias("c_row"), "item_id", F.array_distinct(T.tokens(F.col("text"))).alias("own"))
+    c = own.select("c_row", "item_id", F.size("own").alias("n"), F.explode("own").alias("c_token"))
+    # The row is named before the texts are exploded; in one select the name would come after.
+    d = documents.select(F.monotonically_increasing_id().alias("d_row"), "doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("has")).select("d_row", "doc_id", F.explode("has").alias("token"))
+    d = d.join(c.select("c_token").distinct(), F.col("token") == F.col("c_token"), "left_semi")
+    spread = d.groupBy(F.col("token").alias("h_token")).agg(F.count("*").alias("docs")).filter(F.col("docs") > hot).select("h_token", F.ceil(F.col("docs") / hot).alias("salts"))
+    salted = d.join(F.broadcast(spread), F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64("d_row"), F.coalesce("salts", F.lit(1)))).drop("h_token", "salts")
+    dealt = c.join(F.broadcast(spread), F.col("c_token") == F.col("h_token"), "left").withColumn("c_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
+    pairs = salted.join(dealt, (F.col("token") == F.col("c_token")) & (F.col("salt") == F.col("c_salt")))
+    return pairs.groupBy("c_row", "item_id", "n", "d_row", "doc_id").agg(F.count("*").alias("shared")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+
+
 def claim_confidence(score: Column, rerank: Column, shared: Column, coverage: Column, contradiction: Column) -> Column:
     return F.round(clip(0.4 * score + 0.2 * rerank + 0.2 * shared + 0.1 * coverage + 0.1 * (1 - contradiction)), 4)
 

@@ -345,6 +345,12 @@ def claim_overlap(spark, sf):
     return b.join(d, F.col("k") == F.col("k2")).select("item_id", "doc_id", F.round(evidence.overlap(F.col("claim"), F.col("support")), 6).alias("overlap"))
 
 
+@query()
+def claim_overlap_all(spark, sf):
+    """Every claim against every document; the pairs that share a token. claim_overlap has the pairs its SQL names."""
+    return evidence.claim_overlaps(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+
+
 @query(f"""{_RANKED}, a AS (SELECT paper_id, section_name, avg(score) AS s, avg(rerank_score) AS r, avg(importance) AS o FROM ranked GROUP BY paper_id, section_name)
 SELECT paper_id, section_name, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.4::DOUBLE * s + 0.2::DOUBLE * r + 0.2::DOUBLE * o + 0.1::DOUBLE * 0.5::DOUBLE + 0.1::DOUBLE * (1 - 0.25::DOUBLE))), 4) AS confidence FROM a""")
 def claim_confidence(spark, sf):

@@ -74,3 +74,26 @@ def test_gate_keeps_all_when_none_passes(spark):
 def test_similarity_ratio(spark):
     rows = spark.createDataFrame([("abcd", "bcde"), (None, "x")], "a string, b string")
     assert [r["similarity"] for r in evidence.similarity(rows, "a", "b").collect()] == [0.75, 0.0]
+
+
+def test_claims_meet_every_document(spark):
+    import re
+
+    from siftwell import lexicons as L
+
+    words = lambda t: {w for w in re.findall("[a-z0-9]+", (t or "").lower()) if w not in L.STOPWORDS}
+    claims = [(1, "Rank decomposition of weights"), (2, "weights weights matter"), (2, "other claim here"), (3, ""), (4, None), (None, "lost rank")]
+    docs = [(i, "weights everywhere") for i in range(40, 50)] + [(200, "Rank of a matrix"), (987, "decomposition; weights, RANK"), (987, "matter"), (None, "claim"), (5, None), (6, "nothing shared")]
+    want = [(i, d, round(len(words(c) & words(t)) / len(words(c)), 6)) for i, c in claims for d, t in docs if words(c) & words(t)]
+    for hot in (3, 50_000):
+        got = evidence.claim_overlaps(spark.createDataFrame(claims, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), hot)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_claim_query_leaves_out_no_document(spark):
+    from siftwell.plans import catalog
+    from tests.conftest import SF
+
+    got = {(r["item_id"], r["doc_id"]): r["overlap"] for r in catalog.QUERIES["claim_overlap_all"](spark, SF).collect()}
+    part = {(r["item_id"], r["doc_id"]): r["overlap"] for r in catalog.QUERIES["claim_overlap"](spark, SF).collect() if r["overlap"] > 0}
+    assert part.items() <= got.items() and any(i % 40 != d % 40 for i, d in got)
