@@ -34,7 +34,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 _ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.amazonaws\.com\b")
 _HEX_BYTES = bytes(ord("x") if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN = b"x" * 24

@@ -249,6 +249,17 @@ def test_secrets_match_the_patterns_and_links_need_company(spark):
     assert added == {0: [], 1: [], 2: [], 3: [], 4: ["endpoint", "secret"], 5: [], 6: [], 7: ["secret"], 8: []}
 
 
+@pytest.mark.parametrize("form", ["AWS_SECRET_ACCESS_KEY={}", 'AWS_SECRET_ACCESS_KEY="{}"', "aws_secret_access_key: {}", '{{"SecretAccessKey": "{}"}}', "?key={}&x=1"])
+def test_a_key_is_linked_in_every_usual_form(spark, form):
+    texts = [f"AWS_ACCESS_KEY_ID={ACCESS}\n{form.format(KEY)}\nhttps://s3.example.org", form.format(KEY), f"{ACCESS} {form.format('A' + KEY)}"]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["kind"] in secrets.WEAK] for r in secrets.find_secrets(rows, ["doc_id"]).collect()}
+    at = texts[0].index(KEY)
+    assert got[0][0] == ("secret", at, at + 40) and [s[0] for s in got[0]] == ["secret", "endpoint"] and not got[1] and not got[2]
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
+    assert KEY not in masked[0] and masked[1] == texts[1]
+
+
 def test_secret_query_over_all_documents(spark, docs, duck):
     got = {r["doc_id"]: r for r in queries()["op4_secret_scan"](spark, SF).collect()}
     for r in docs.collect():
