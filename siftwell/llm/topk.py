@@ -2,15 +2,15 @@
 
 With M no less than any candidate's norm, appending sqrt(M^2 - |x|^2) to a candidate x and 0 to a query q turns the
 largest inner product into the nearest distance, |q|^2 + M^2 - 2<q, x>. There, queries and candidates are grouped by
-their nearest pivot. Per cell, small summaries are kept: its radius, its k nearest members' distances to the pivot, and
+their nearest pivot. Per cell, small summaries are kept: its radius, the distances of its k + 1 nearest ids to the pivot, and
 the greatest distance of its queries. From these alone follow, per group of queries, a bound that its k-th neighbour can't exceed,
 and per candidate, |p_i p_j| - |s p_j| - radius of the queries as the least distance it can have to any of them; only
 what can lie within the bound is joined. Joins are solved locally, block against block, in exact arithmetic, and
 each block passes on its k best per query, which are merged in two steps.
 
-Pivots are a bounded sample (PIVOTS, fixed by hash); the driver holds pivots and summaries, PIVOTS * (k + 2) numbers,
+Pivots are a bounded sample (PIVOTS, fixed by hash); the driver holds pivots and summaries, PIVOTS * 2 * (k + 2) numbers,
 never data. Queries, the smaller side (a twentieth), are what is replicated, to the blocks of the cells they need; a cell of any size is
-cut into blocks of about BLOCK candidates, so that a hot cell becomes more tasks. On data without structure the bounds exclude
+cut by row into blocks of about BLOCK candidates, so that a hot cell or a hot vec_id becomes more tasks. On data without structure the bounds exclude
 little (distances concentrate), and the join is then the blocked comparison of the query set with all rows.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do those of another length than the
@@ -36,6 +36,7 @@ SCALE = 64
 EVERY = 20
 #: Sums of products below this are exact in double precision.
 _EXACT = 2.0**53
+_NEVER = np.iinfo(np.int64).min
 _ROWS = "query_id long, vec_id long, score long"
 
 
@@ -91,11 +92,12 @@ def _solve(k: int, dim: int):
         for q_ids, q in queries:
             for i in range(0, len(q), 256):
                 part, p_ids = exact(q[i : i + 256], x), q_ids[i : i + 256]
-                n = min(k + 1, len(ids))  # one more, as the query itself may be among them
+                part[p_ids[:, None] == ids] = _NEVER  # the query itself, on however many rows
+                n = min(k, len(ids))
                 floor = np.partition(part, len(ids) - n, axis=1)[:, len(ids) - n]
                 r, c = np.nonzero(part >= floor[:, None])
-                own = p_ids[r] != ids[c]
-                r, c = r[own], c[own]
+                other = p_ids[r] != ids[c]
+                r, c = r[other], c[other]
                 keep = best(r, ids[c], part[r, c], k)
                 r, c = r[keep], c[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(p_ids[r]), pa.array(ids[c]), pa.array(part[r, c])], names=["query_id", "vec_id", "score"])
@@ -133,30 +135,40 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS,
     p = np.array(at)
     p = np.concatenate([p, np.sqrt(np.maximum(top - (p * p).sum(1), 0))[:, None]], axis=1)
     schema = "vec_id long, v array<double>, cell int, dist double"
-    placed = scratch.save(data.mapInArrow(_assign(p, top, False), schema))
+    placed = scratch.save(data.mapInArrow(_assign(p, top, False), schema).withColumn("row", F.monotonically_increasing_id()))
     asked = scratch.save(queries.mapInArrow(_assign(p, top, True), schema))
 
-    # Summaries: per cell its size and radius, and the k + 1 least distances to its pivot (one may be the query itself).
+    # Summaries: per cell its size and radius, and the least distances to its pivot of k + 1 ids (one may be the query's own,
+    # whose rows, however many, don't count).
     def least(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in rows:
-            cells, dists = b["cell"].to_numpy(), b["dist"].to_numpy()
+            cells, ids, dists = b["cell"].to_numpy(), b["vec_id"].to_numpy(), b["dist"].to_numpy()
             for c in np.unique(cells):
-                held[c] = np.sort(np.concatenate([held.get(c, np.zeros(0)), dists[cells == c]]))[: k + 1]
-        for c, d in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(d), pa.int32()), pa.array(d)], names=["cell", "dist"])
-
-    near: dict[int, list[float]] = {}
-    ranked = placed.select("cell", "dist").mapInArrow(least, "cell int, dist double").withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("dist"))).filter(F.col("r") <= k + 1)
+                old, mine = held.get(c, (ids[:0], dists[:0])), cells == c
+                i, d = np.concatenate([old[0], ids[mine]]), np.concatenate([old[1], dists[mine]])
+                order = np.argsort(d, kind="stable")
+                once = order[np.sort(np.unique(i[order], return_index=True)[1])[: k + 1]]
+                held[c] = i[once], d[once]
+        for c, (i, d) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(d), pa.int32()), pa.array(i), pa.array(d)], names=["cell", "vec_id", "dist"])
+
+    near: dict[int, list[tuple[float, int]]] = {}
+    single = placed.select("cell", "vec_id", "dist").mapInArrow(least, "cell int, vec_id long, dist double").groupBy("cell", "vec_id").agg(F.min("dist").alias("dist"))
+    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "vec_id"))).filter(F.col("r") <= k + 1)
     for r in ranked.collect():
-        near.setdefault(r["cell"], []).append(r["dist"])
+        near.setdefault(r["cell"], []).append((r["dist"], r["vec_id"]))
     cells = {r["cell"]: (r["n"], r["lo"], r["hi"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
     groups = {r["cell"]: (r["n"], r["hi"]) for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("hi")).collect()}
     between = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(2), 0))
     slack = 1e-6 * (1 + np.sqrt(top))
     bound, needed = {}, {}
     for i, (_, radius) in groups.items():
-        upper = sorted(radius + between[i, j] + d for j, ds in near.items() for d in ds)
+        of_id: dict[int, float] = {}
+        for j, ds in near.items():
+            for d, v in ds:
+                of_id[v] = min(of_id.get(v, float("inf")), radius + between[i, j] + d)
+        upper = sorted(of_id.values())
         bound[i] = upper[k] + slack if len(upper) > k else float("inf")
         needed[i] = [j for j, (_, _, hi) in cells.items() if between[i, j] - radius - hi <= bound[i]]
     blocks = {j: max(1, -(-n // block)) for j, (n, _, _) in cells.items()}
@@ -167,7 +179,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS,
         return empty
     by = lambda x: F.create_map(*[F.lit(z) for kv in x.items() for z in kv])
     least_dist = by({j: float(min(between[i, j] - groups[i][1] - bound[i] for i in groups)) for j in cells})
-    candidates = placed.filter(F.col("dist") >= least_dist[F.col("cell")]).withColumn("block", by(first)[F.col("cell")] + F.pmod(F.xxhash64(F.lit(6), "vec_id"), by(blocks)[F.col("cell")]))
+    candidates = placed.filter(F.col("dist") >= least_dist[F.col("cell")]).withColumn("block", by(first)[F.col("cell")] + F.pmod(F.xxhash64(F.lit(6), "vec_id", "row"), by(blocks)[F.col("cell")]))
     spans = F.create_map(*[x for i, js in needed.items() for x in (F.lit(i), F.flatten(F.array(*[F.sequence(F.lit(first[j]), F.lit(first[j] + blocks[j] - 1)) for j in js])).cast("array<bigint>"))])
     wanted = asked.withColumn("block", F.explode(spans[F.col("cell")]))
     sides = candidates.select("vec_id", "v", F.col("block").cast("long"), F.lit(0).alias("side")).unionByName(wanted.select("vec_id", "v", F.col("block").cast("long"), F.lit(1).alias("side")))

@@ -311,6 +311,17 @@ def test_top_k_with_few_or_no_rows(spark):
         assert sorted(map(tuple, topk.top_k(data.filter("vec_id % 20 = 0"), data).collect())) == plain_top(rows, 20)
 
 
+def test_top_k_of_ids_on_more_rows_than_k(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (np.eye(4)[i % 4] * 10 + rng.normal(size=4) * 0.1).tolist()) for i in range(1, 200) if i % 20]
+    # Many rows of a query's id, in its own cell and alone in a cell; an id that lies in two cells; many rows of a neighbour.
+    rows += [(20, [11.0, 0.0, 0.0, 0.0])] * 60 + [(40, [0.0, 0.0, -30.0, 0.0])] * 90 + [(60, [0.0, 9.0, 0.0, 0.0]), (5, [0.0, 9.0, 0.0, 0.0])] + [(7, [0.0, 0.0, 10.0, 1.0])] * 30
+    data = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for block in (16, 4096):
+        got = topk.top_k(data.filter("vec_id % 20 = 0").dropDuplicates(["vec_id"]), data, k=20, pivots=8, block=block).collect()
+        assert sorted(map(tuple, got)) == plain_top(rows, 20)
+
+
 def test_top_k_leaves_out_cells_that_cannot_matter(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (np.eye(4)[i % 4] * 100 + rng.normal(size=4) * 0.01).tolist()) for i in range(400)]
