@@ -22,10 +22,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates; rows that repeat an id are one document.
-    The pipeline's bar is five-word shingles at 80 percent."""
-    gone = near_dups.near_duplicates(docs, shingle=5).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row, that with the least id, of each group of near-duplicates, and all rows without words; it goes by row, as
+    ids may be null or repeat. The pipeline's bar is five-word shingles at 80 percent."""
+    return near_dups.one_of_each(docs.select(*COLUMNS), shingle=5)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

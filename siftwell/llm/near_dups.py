@@ -104,7 +104,7 @@ def _digest(shingles: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else None
 
 
-def _signatures(shingle: int):
+def _signatures(shingle: int, carried: list[str] = []):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for batch in batches:
@@ -112,7 +112,7 @@ def _signatures(shingle: int):
                 sets = [shingle_set(t, shingle) for t in part["text"].to_pylist()]
                 prints = [_digest(s) for s in sets]
                 keys = [signer.bands(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "keys"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(part[c] for c in carried)], names=["doc_id", "n_shingles", "print", "keys", *carried])
 
     return run
 
@@ -127,10 +127,13 @@ def _sets(shingle: int):
     return run
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, print (64-bit digest of the set; null if empty), keys (one per band) of each row."""
+def signatures(docs: DataFrame, shingle: int = SHINGLE, carried: list[str] = []) -> DataFrame:
+    """doc_id, n_shingles, print (64-bit digest of the set; null if empty), keys (one per band) of each row, and the carried
+    columns (whole numbers)."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, print long, keys array<long>")
+    more = [F.col(c).cast("long").alias(c) for c in carried]
+    schema = ", ".join(["doc_id long, n_shingles long, print long, keys array<long>", *(f"`{c}` long" for c in carried)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(_signatures(shingle, carried), schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,14 +183,15 @@ def _bound(na: Column, ua: Column, nb: Column, ub: Column, percent: int) -> Colu
     return (100 * (na - ua) >= percent * (na + ub)) & (100 * (nb - ub) >= percent * (nb + ua)) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept, and print (the set's digest).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = MIN_PERCENT, carried: list[str] = []) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept, and print (the set's digest). With carried columns also these
+    and comp, the component's least print (null if the set is empty), which names components where ids are null or repeat.
 
     Wants 100 * intersection >= percent * union on sets of shingles of so many words.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dups")
-    signed = scratch.save(signatures(docs, shingle))
+    signed = scratch.save(signatures(docs, shingle, carried))
     classes = scratch.save(signed.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     rows = classes.select("print", "n", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo <> hi").select(F.col("key").alias("s_key"), "lo")
@@ -233,10 +237,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = MIN_
             comp = components(new.unionByName(comp.select(F.col("node").alias("a"), F.col("least").alias("b"))), scratch)
     of_class = classes.select("print", "doc_id").join(comp.withColumnRenamed("node", "c_node"), F.col("print") == F.col("c_node"), "left").select("print", "doc_id", F.coalesce("least", "print").alias("comp"))
     ids = of_class.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labels = scratch.save(of_class.select("print", "comp").join(ids, "comp").select(F.col("print").alias("l_print"), "component_id"))
-    out = signed.select("doc_id", "n_shingles", "print").join(labels, F.col("print") == F.col("l_print"), "left")
+    more = [*carried, "comp"] if carried else []
+    labels = scratch.save(of_class.select("print", "comp").join(ids, "comp").select(F.col("print").alias("l_print"), "component_id", *more[-1:]))
+    out = signed.select("doc_id", "n_shingles", "print", *carried).join(labels, F.col("print") == F.col("l_print"), "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "print")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "print", *more)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
+    """docs with exactly one row of each component: the one with the least id (nulls last), then by a hash of the text, then
+    by its place. Rows of an empty set all stay."""
+    place = "__row"
+    named = docs.withColumn(place, F.monotonically_increasing_id())
+    found = near_duplicates(named.withColumn("__hash", F.xxhash64("text")), shingle, percent, [place, "__hash"]).filter("print is not null").select(place, "comp", F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "__hash", place).alias("by"))
+    found = Scratch(docs.sparkSession, "one-of-each").save(found)
+    first = found.groupBy("comp").agg(F.min("by").alias("by")).select(F.col(f"by.{place}").alias(place))
+    gone = found.select(place).join(first, place, "left_anti")
+    return named.join(gone, place, "left_anti").select(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

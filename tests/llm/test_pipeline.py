@@ -55,5 +55,16 @@ def test_odd_rows_pass_through(spark):
     assert nothing.count() == 0
 
 
+def test_near_duplicates_go_by_row(spark):
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcdef"]
+    rows = [(None, long[0]), (None, long[0]), (None, long[0] + " more"), (3, long[1]), (3, long[1]), (1, long[2]), (4, long[2]), (4, long[3]), (None, long[4]), (9, long[4] + " x"), (None, ""), (None, None), (7, " "), (7, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3).cache()
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    lost = [r for r in got if r[0] is None and r[1] and r[1].startswith("a0 ")]
+    assert len(lost) == 1 and lost[0] in rows
+    rest = [(3, long[1]), (1, long[2]), (4, long[3]), (9, long[4] + " x"), (None, ""), (None, None), (7, " "), (7, " ")]
+    assert Counter(got) == Counter(lost + rest)
+
+
 def test_whole_run(spark):
     assert corpus_pipeline.run(spark, SF).filter(F.col("bin_id").isNotNull()).count() > 0
