@@ -130,3 +130,12 @@ def rank_tables(rows: DataFrame, query: str, k: int) -> DataFrame:
         value = value + F.when(F.col("table_type") == "ablation", 0.14).otherwise(0.0)
     value = value + F.when(F.coalesce(F.length("caption"), F.lit(0)) > 0, 0.12).otherwise(0.0)
     return top(rows.withColumn("value", F.round(value, 6)), k, F.desc("value"), F.desc(F.length("text")), F.asc("table_id"))
+
+
+def buckets(rows: DataFrame, most: int = 6) -> DataFrame:
+    """The best rows (chunk_id, bucket, content, importance, role_confidence) of each bucket, of those with the same summary
+    in lower case only the best; rows without a summary are left out."""
+    order = [F.desc("importance"), F.desc("role_confidence"), F.asc("chunk_id")]
+    named = rows.filter("bucket is not null").withColumn("norm", F.trim(F.lower(S.summary(F.col("content"))))).filter("norm <> ''")
+    once = named.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "norm").orderBy(*order))).filter("r = 1")
+    return once.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter(F.col("r") <= most).drop("r", "norm")

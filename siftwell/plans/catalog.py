@@ -224,6 +224,12 @@ def inferred_buckets(spark, sf):
     return once.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter("r <= 6").select("bucket", "chunk_id", "importance")
 
 
+@query()
+def inferred_buckets_by_summary(spark, sf):
+    """Chunks of one summary count once, as in the reference; inferred_buckets goes by what its SQL can say, the opening."""
+    return retrieval.buckets(_annotated(spark, sf).withColumn("bucket", T.lookup(F.col("role"), _BUCKET, None))).select("bucket", "chunk_id", "importance")
+
+
 # Documents
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) - 1 AS pos FROM documents)"

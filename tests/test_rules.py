@@ -97,3 +97,10 @@ def test_claim_query_leaves_out_no_document(spark):
     got = {(r["item_id"], r["doc_id"]): r["overlap"] for r in catalog.QUERIES["claim_overlap_all"](spark, SF).collect()}
     part = {(r["item_id"], r["doc_id"]): r["overlap"] for r in catalog.QUERIES["claim_overlap"](spark, SF).collect() if r["overlap"] > 0}
     assert part.items() <= got.items() and any(i % 40 != d % 40 for i, d in got)
+
+
+def test_buckets_drop_repeated_summaries_only(spark):
+    same = "A passage that many chunks of a paper open with, "
+    rows = [(1, same + "first.", 0.9), (2, same + "second.", 0.8), (3, (same + "FIRST.").upper(), 0.7), (4, "   ", 0.9), (5, None, 0.9), *((10 + i, f"Number {i}.", 0.5 - i / 100) for i in range(9))]
+    got = retrieval.buckets(spark.createDataFrame([(i, "methods", t, w, 0.5) for i, t, w in rows] + [(50, None, "no bucket", 1.0, 1.0)], "chunk_id long, bucket string, content string, importance double, role_confidence double"))
+    assert sorted(r["chunk_id"] for r in got.collect()) == [1, 2, 10, 11, 12, 13]
