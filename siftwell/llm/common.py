@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -38,10 +38,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset and all run on
+    this machine. On a cluster without one, scratch tables would be torn apart over local disks: an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="siftwell-shared-")
         sc.setCheckpointDir(root)
     path = sc._jvm.org.apache.hadoop.fs.Path(root)
@@ -64,11 +67,29 @@ class Scratch:
         self._keep = [*getattr(self, "_keep", []), out]
         return out
 
+    def save_counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The saved table and its number of rows, counted as it is written."""
+        seen = Observation()
+        out = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         path = self.paths.get(id(df))
         if path:
-            jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jvm.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm, True)
+            self._delete(path)
+
+    def drop_all(self) -> None:
+        """Removes all tables of the run; for those that nothing reads any more."""
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jvm.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast if a count shows at most so many rows; its columns must be of a bounded width."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "left") -> DataFrame:
