@@ -3,19 +3,22 @@
 With M no less than any candidate's norm, appending sqrt(M^2 - |x|^2) to a candidate x and 0 to a query q turns the
 largest inner product into the nearest distance, |q|^2 + M^2 - 2<q, x>. There, queries and candidates are grouped by
 their nearest pivot. Per cell, small summaries are kept: its radius, the distances of its k + 1 nearest ids to the pivot, and
-the greatest distance of its queries. From these alone follow, per group of queries, a bound that its k-th neighbour can't exceed,
-and per candidate, |p_i p_j| - |s p_j| - radius of the queries as the least distance it can have to any of them; only
-what can lie within the bound is joined. Joins are solved locally, block against block, in exact arithmetic, and
-each block passes on its k best per query, which are merged in two steps.
-
-Pivots are a bounded sample (PIVOTS, fixed by hash); the driver holds pivots and summaries, PIVOTS * 2 * (k + 2) numbers,
-never data. Queries, the smaller side (a twentieth), are what is replicated, to the blocks of the cells they need; a cell of any size is
-cut by row into blocks of about BLOCK candidates, so that a hot cell or a hot vec_id becomes more tasks. On data without structure the bounds exclude
-little (distances concentrate), and the join is then the blocked comparison of the query set with all rows.
-
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do those of another length than the
-most frequent one's; a null vec_id takes no part; rows that repeat a vec_id are candidates of their own, but as queries count once each; with fewer than k candidates all are returned; ties
-go to the smaller vec_id; other columns are ignored.
+the greatest distance of its queries. From these alone follow, per group of queries, a bound that its k-th neighbour can't
+exceed, and the cells that can hold a nearer one; only what can lie within the bound is joined. Joins are solved locally,
+block against block, in exact arithmetic, and each passes on its k best per query, which are merged in two steps.
+
+Vectors only meet those of their own length. Pivots are a sample by hash whose number grows with the square root of the rows
+(16 to MAX_PIVOTS), for each of the PIVOT_LENGTHS most frequent lengths; rows of other lengths make one cell per length, which no bound
+leaves out. The driver holds pivots and their summaries, at most PIVOT_LENGTHS * MAX_PIVOTS * (k + 2 + MAX_PIVOTS) numbers, never data.
+A cell of any size is cut by row into blocks of candidates, and the queries that need it into blocks by id, so that a hot cell or a
+hot vec_id becomes more tasks and a task holds one block of candidates and streams one of queries. Queries, the smaller side (a
+twentieth), are replicated to the blocks of the cells they need. On data without structure the bounds exclude little (distances
+concentrate), and the join is then the blocked comparison of the query set with all rows.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, nor does a null vec_id; empty
+vectors score 0 with each other; rows that repeat a vec_id are candidates of their own, but as queries count once each, with
+the least of their vectors; with fewer than k candidates all are returned; ties go to the smaller vec_id; scores beyond the
+range of a long stop at its ends; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,46 +27,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, table
+from .common import Scratch, broadcast_if_small, ship, table
 
 K = 20
-PIVOTS = 16
-BLOCK = 4096
+MAX_PIVOTS, PIVOT_LENGTHS = 512, 8
+#: Candidates and queries of a block; blocks of candidates grow with the rows up to so many bytes.
+BLOCK, QUERY_BLOCK, BLOCK_BYTES = 4096, 16_384, 16 << 20
 SCALE = 64
 EVERY = 20
 #: Sums of products below this are exact in double precision.
 _EXACT = 2.0**53
-_NEVER = np.iinfo(np.int64).min
+#: Beyond this squared norm distances say nothing, and no cell is left out.
+_LARGE = 1e200
+_NEVER, _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 _ROWS = "query_id long, vec_id long, score long"
+_PLACED = "vec_id long, v array<double>, dim int, cell int, dist double"
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v): components floor(scale * x) as doubles, of the rows that take part."""
-    good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    whole = vectors.filter(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    sizes = whole.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    return whole.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    # ceil and floor of doubles give longs, which end too soon.
+    down = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    return vectors.filter(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: down(x.cast("double") * scale)).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _assign(pivots: np.ndarray, top: float, query: bool):
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    lens = batch["v"].value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(lens):
+        yield int(n), batch if (lens == n).all() else batch.take(pa.array(np.flatnonzero(lens == n)))
+
+
+def _assign(pivots: dict[int, tuple[np.ndarray, float]], query: bool):
+    """Each row's length, nearest pivot and its distance; cell 0 at distance 0 where a length has no pivots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch["v"], pivots.shape[1] - 1)
-            norms = (x * x).sum(1)
-            lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(top - norms, 0))
-            x = np.concatenate([x, lift[:, None]], axis=1)
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1), 0))
-            cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(cell, pa.int32()), pa.array(d[np.arange(len(x)), cell])], names=["vec_id", "v", "cell", "dist"])
+            for dim, part in _by_dim(batch):
+                cell, dist = np.zeros(len(part), np.int32), np.zeros(len(part))
+                if dim in pivots:
+                    at, top = pivots[dim]
+                    x = _matrix(part["v"], dim)
+                    lift = np.zeros(len(x)) if query else np.sqrt(np.maximum(top - (x * x).sum(1), 0))
+                    x = np.concatenate([x, lift[:, None]], axis=1)
+                    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ at.T + (at * at).sum(1), 0))
+                    cell = d.argmin(1).astype(np.int32)
+                    dist = d[np.arange(len(x)), cell]
+                yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(np.full(len(part), dim, np.int32)), pa.array(cell), pa.array(dist)], names=["vec_id", "v", "dim", "cell", "dist"])
 
     return run
 
@@ -77,115 +94,72 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def _solve(k: int, dim: int):
-    """Of a partition sorted by (block, side): candidates (side 0), then the queries that need them, batch by batch."""
-
-    def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        if np.sqrt((q * q).sum(1).max() * (x * x).sum(1).max()) < _EXACT:
-            return (q @ x.T).astype(np.int64)
-        return np.array([[sum(int(a) * int(b) for a, b in zip(u, w)) for w in x] for u in q], np.int64)
-
-    def join(queries: list, data: list) -> Iterator[pa.RecordBatch]:
-        if not queries or not data:
-            return
-        ids, x = np.concatenate([d[0] for d in data]), np.concatenate([d[1] for d in data])
-        for q_ids, q in queries:
-            for i in range(0, len(q), 256):
-                part, p_ids = exact(q[i : i + 256], x), q_ids[i : i + 256]
-                part[p_ids[:, None] == ids] = _NEVER  # the query itself, on however many rows
-                n = min(k, len(ids))
-                floor = np.partition(part, len(ids) - n, axis=1)[:, len(ids) - n]
-                r, c = np.nonzero(part >= floor[:, None])
-                other = p_ids[r] != ids[c]
-                r, c = r[other], c[other]
-                keep = best(r, ids[c], part[r, c], k)
-                r, c = r[keep], c[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(p_ids[r]), pa.array(ids[c]), pa.array(part[r, c])], names=["query_id", "vec_id", "score"])
+def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows that hold whole numbers."""
+    if not q.shape[1]:
+        return np.zeros((len(q), len(x)), np.int64)
+    if (q * q).sum(1).max() * (x * x).sum(1).max() < _EXACT**2:
+        return (q @ x.T).astype(np.int64)
+    ints = [[int(a) for a in w] for w in x]
+    return np.array([[min(max(sum(int(a) * b for a, b in zip(u, w)), _LEAST), _MOST) for w in ints] for u in q], np.int64)
+
+
+def _solve(k: int):
+    """Of a partition sorted by (dim, cell, block, query block, side): candidates (side 0), then the queries that need them."""
+
+    def join(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(256, (4 << 20) // len(ids)))
+        for i in range(0, len(q), step):
+            part, p_ids = exact_products(q[i : i + step], x), q_ids[i : i + step]
+            part[p_ids[:, None] == ids] = _NEVER  # the query itself, on however many rows
+            n = min(k, len(ids))
+            floor = np.partition(part, len(ids) - n, axis=1)[:, len(ids) - n]
+            r, c = np.nonzero((part >= floor[:, None]) & (part != _NEVER))
+            keep = best(r, ids[c], part[r, c], k)
+            r, c = r[keep], c[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(p_ids[r]), pa.array(ids[c]), pa.array(part[r, c])], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data = None, []
+        now, data, ready = None, [], None
         for batch in batches:
-            if not len(batch):
-                continue
-            block, side = batch["block"].to_numpy(), batch["side"].to_numpy()
-            ids, x = batch["vec_id"].to_numpy(), _matrix(batch["v"], dim)
-            cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(side) != 0)) + 1), len(block)]
-            for a, b in zip(cuts, cuts[1:]):
-                if block[a] != now:
-                    now, data = block[a], []
-                if side[a] == 0:
-                    data.append((ids[a:b], x[a:b].copy()))
-                else:
-                    yield from join([(ids[a:b], x[a:b])], data)
+            for dim, part in _by_dim(batch):
+                keys = np.stack([part[c].to_numpy().astype(np.int64) for c in ("dim", "cell", "block", "q_block", "side")])
+                ids, x = part["vec_id"].to_numpy(), _matrix(part["v"], dim)
+                cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1), len(ids)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if (name := tuple(keys[:4, a])) != now:
+                        now, data, ready = name, [], None
+                    if keys[4, a] == 0:
+                        data.append((ids[a:b], x[a:b].copy()))
+                    elif data:
+                        if ready is None:
+                            ready = tuple(map(np.concatenate, zip(*data)))
+                        yield from join(ids[a:b], x[a:b], *ready)
 
     return run
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of rows (vec_id, v), v whole numbers as doubles, a query's own id left out."""
-    spark = data.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "top-k")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    stats = data.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.max(F.size("v")).alias("dim")).first()
-    if not stats["n"]:
-        return empty
-    top, dim = stats["top"], stats["dim"]
-    at = [r["v"] for r in data.select("v").orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(pivots).collect()]
-    p = np.array(at)
-    p = np.concatenate([p, np.sqrt(np.maximum(top - (p * p).sum(1), 0))[:, None]], axis=1)
-    schema = "vec_id long, v array<double>, cell int, dist double"
-    placed = scratch.save(data.mapInArrow(_assign(p, top, False), schema).withColumn("row", F.monotonically_increasing_id()))
-    asked = scratch.save(queries.mapInArrow(_assign(p, top, True), schema))
-
-    # Summaries: per cell its size and radius, and the least distances to its pivot of k + 1 ids (one may be the query's own,
-    # whose rows, however many, don't count).
-    def least(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _least(k: int):
+    """Of each cell of a partition, the k + 1 nearest ids and their distances."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for b in rows:
-            cells, ids, dists = b["cell"].to_numpy(), b["vec_id"].to_numpy(), b["dist"].to_numpy()
-            for c in np.unique(cells):
-                old, mine = held.get(c, (ids[:0], dists[:0])), cells == c
+            names, ids, dists = b["dim"].to_numpy().astype(np.int64) << 32 | b["cell"].to_numpy(), b["vec_id"].to_numpy(), b["dist"].to_numpy()
+            for c in np.unique(names):
+                old, mine = held.get(c, (ids[:0], dists[:0])), names == c
                 i, d = np.concatenate([old[0], ids[mine]]), np.concatenate([old[1], dists[mine]])
                 order = np.argsort(d, kind="stable")
                 once = order[np.sort(np.unique(i[order], return_index=True)[1])[: k + 1]]
                 held[c] = i[once], d[once]
         for c, (i, d) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(d), pa.int32()), pa.array(i), pa.array(d)], names=["cell", "vec_id", "dist"])
+            yield pa.RecordBatch.from_arrays([pa.array([c >> 32] * len(d), pa.int32()), pa.array([c & 0xFFFFFFFF] * len(d), pa.int32()), pa.array(i), pa.array(d)], names=["dim", "cell", "vec_id", "dist"])
 
-    near: dict[int, list[tuple[float, int]]] = {}
-    single = placed.select("cell", "vec_id", "dist").mapInArrow(least, "cell int, vec_id long, dist double").groupBy("cell", "vec_id").agg(F.min("dist").alias("dist"))
-    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "vec_id"))).filter(F.col("r") <= k + 1)
-    for r in ranked.collect():
-        near.setdefault(r["cell"], []).append((r["dist"], r["vec_id"]))
-    cells = {r["cell"]: (r["n"], r["lo"], r["hi"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
-    groups = {r["cell"]: (r["n"], r["hi"]) for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("hi")).collect()}
-    between = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(2), 0))
-    slack = 1e-6 * (1 + np.sqrt(top))
-    bound, needed = {}, {}
-    for i, (_, radius) in groups.items():
-        of_id: dict[int, float] = {}
-        for j, ds in near.items():
-            for d, v in ds:
-                of_id[v] = min(of_id.get(v, float("inf")), radius + between[i, j] + d)
-        upper = sorted(of_id.values())
-        bound[i] = upper[k] + slack if len(upper) > k else float("inf")
-        needed[i] = [j for j, (_, _, hi) in cells.items() if between[i, j] - radius - hi <= bound[i]]
-    blocks = {j: max(1, -(-n // block)) for j, (n, _, _) in cells.items()}
-    first = dict(zip(blocks, np.cumsum([0, *blocks.values()]).tolist()))
-
-    # A candidate of cell j at distance d from its pivot can matter to query group i if |p_i p_j| - radius_i - d <= bound_i.
-    if not groups:
-        return empty
-    by = lambda x: F.create_map(*[F.lit(z) for kv in x.items() for z in kv])
-    least_dist = by({j: float(min(between[i, j] - groups[i][1] - bound[i] for i in groups)) for j in cells})
-    candidates = placed.filter(F.col("dist") >= least_dist[F.col("cell")]).withColumn("block", by(first)[F.col("cell")] + F.pmod(F.xxhash64(F.lit(6), "vec_id", "row"), by(blocks)[F.col("cell")]))
-    spans = F.create_map(*[x for i, js in needed.items() for x in (F.lit(i), F.flatten(F.array(*[F.sequence(F.lit(first[j]), F.lit(first[j] + blocks[j] - 1)) for j in js])).cast("array<bigint>"))])
-    wanted = asked.withColumn("block", F.explode(spans[F.col("cell")]))
-    sides = candidates.select("vec_id", "v", F.col("block").cast("long"), F.lit(0).alias("side")).unionByName(wanted.select("vec_id", "v", F.col("block").cast("long"), F.lit(1).alias("side")))
-    found = sides.repartition(F.col("block")).sortWithinPartitions("block", "side").mapInArrow(_solve(k, dim), _ROWS)
-
-    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _merge(k: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
         for b in rows:
             held = [np.concatenate([h, b[c].to_numpy()]) for h, c in zip(held, ("query_id", "vec_id", "score"))]
@@ -198,13 +172,89 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS,
         keep = best(*held, k)
         yield pa.RecordBatch.from_arrays([pa.array(h[keep]) for h in held], names=["query_id", "vec_id", "score"])
 
+    return run
+
+
+def _pivots(data: DataFrame, pivots: int | None) -> dict[int, tuple[np.ndarray, float]]:
+    """For the most frequent lengths: lifted pivots, and the greatest squared norm of the length's rows."""
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    stats = data.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), "dim").limit(PIVOT_LENGTHS).collect()
+    out = {}
+    for r in stats:
+        if r["dim"] and r["top"] < _LARGE:
+            most = pivots or min(MAX_PIVOTS, max(16, round(r["n"] ** 0.5 / 8)))
+            p = np.array([x["v"] for x in data.filter(F.size("v") == r["dim"]).select("v").orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id", "v").limit(most).collect()])
+            out[r["dim"]] = np.concatenate([p, np.sqrt(np.maximum(r["top"] - (p * p).sum(1), 0))[:, None]], axis=1), r["top"]
+    return out
+
+
+def _needed(placed: DataFrame, asked: DataFrame, pivots: dict[int, tuple[np.ndarray, float]], k: int) -> list[tuple[int, int, int, float]]:
+    """(dim, q_cell, cell, least): the cells that a group of queries needs, and the least distance to their pivot from which on
+    a candidate can matter to it. For lengths that have pivots."""
+    own = F.col("dim").isin(list(pivots))
+    single = placed.filter(own).select("dim", "cell", "vec_id", "dist").mapInArrow(_least(k), "dim int, cell int, vec_id long, dist double").groupBy("dim", "cell", "vec_id").agg(F.min("dist").alias("dist"))
+    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("dist", "vec_id"))).filter(F.col("r") <= k + 1)
+    near: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for r in ranked.collect():
+        near.setdefault((r["dim"], r["cell"]), []).append((r["dist"], r["vec_id"]))
+    radius = {(r["dim"], r["cell"]): r["hi"] for r in placed.filter(own).groupBy("dim", "cell").agg(F.max("dist").alias("hi")).collect()}
+    out = []
+    for g in asked.filter(own).groupBy("dim", "cell").agg(F.max("dist").alias("hi")).collect():
+        dim, i, wide = g["dim"], g["cell"], g["hi"]
+        p, top = pivots[dim]
+        between = np.sqrt(np.maximum(((p - p[i]) ** 2).sum(1), 0))
+        of_id: dict[int, float] = {}
+        for (d, j), ds in near.items():
+            if d == dim:
+                for dist, v in ds:
+                    of_id[v] = min(of_id.get(v, float("inf")), wide + between[j] + dist)
+        # One id may be the query's own, whose rows, however many, don't count.
+        upper = sorted(of_id.values())
+        bound = upper[k] + 1e-6 * (1 + top**0.5) if len(upper) > k else float("inf")
+        out += [(dim, i, j, float(between[j] - wide - bound)) for (d, j), hi in radius.items() if d == dim and between[j] - wide - hi <= bound]
+    return out
+
+
+def _blocks(n: Column, size: Column | int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+
+
+def top_k(queries: DataFrame, data: DataFrame, k: int = K, pivots: int | None = None, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score) of rows (vec_id, v), v whole numbers as doubles, a query's own id left out."""
+    spark = data.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "top-k")
+    at = _pivots(data, pivots)
+    placed = scratch.save(data.select("vec_id", "v").mapInArrow(_assign(at, False), _PLACED).withColumn("row", F.monotonically_increasing_id()))
+    asked = scratch.save(queries.groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_assign(at, True), _PLACED))
+
+    # Which cells each group of queries needs, and into how many blocks both sides of a cell are cut.
+    by_bound = spark.createDataFrame(_needed(placed, asked, at, k), "dim int, q_cell int, cell int, least double")
+    cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"))
+    groups = asked.groupBy(F.col("dim").alias("g_dim"), F.col("cell").alias("q_cell")).agg(F.count("*").alias("n_asked"))
+    plain = cells.filter(~F.col("dim").isin(list(at))).select("dim", F.lit(0).alias("q_cell"), "cell", F.lit(float("-inf")).alias("least"))
+    needs = by_bound.unionByName(plain).join(groups, (F.col("dim") == F.col("g_dim")) & (by_bound["q_cell"] == groups["q_cell"])).select("dim", groups["q_cell"], "cell", "least", "n_asked")
+    total = needs.groupBy(F.col("dim").alias("t_dim"), F.col("cell").alias("t_cell")).agg(F.sum("n_asked").alias("asked"), F.min("least").alias("least"))
+    # Blocks grow with the cell, so that fewer copies are made, as far as a task's memory goes.
+    size = F.greatest(F.lit(block), F.least(F.col("n") / 64, F.floor(F.lit(BLOCK_BYTES) / (8 * (F.col("dim") + 1)))))
+    plan = scratch.save(cells.join(total, (F.col("dim") == F.col("t_dim")) & (F.col("cell") == F.col("t_cell"))).select("dim", "cell", "least", _blocks(F.col("n"), size).alias("blocks"), _blocks(F.col("asked"), query_block).alias("q_blocks")))
+    wanted = scratch.save(needs.select(F.col("dim").alias("w_dim"), "q_cell", F.col("cell").alias("w_cell")).join(plan.drop("least"), (F.col("w_dim") == F.col("dim")) & (F.col("w_cell") == F.col("cell"))).select("w_dim", "q_cell", "w_cell", "blocks", "q_blocks"))
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = broadcast_if_small(plan.withColumnsRenamed({"dim": "p_dim", "cell": "p_cell"}))
+    candidates = placed.join(mine, (F.col("dim") == F.col("p_dim")) & (F.col("cell") == F.col("p_cell")) & (F.col("dist") >= F.col("least")))
+    candidates = candidates.select("vec_id", "v", "dim", "cell", F.pmod(F.xxhash64(F.lit(6), "row"), F.col("blocks")).cast("int").alias("block"), each(F.col("q_blocks")).alias("q_block"), F.lit(0).alias("side"))
+    asks = asked.join(broadcast_if_small(wanted), (F.col("dim") == F.col("w_dim")) & (F.col("cell") == F.col("q_cell")))
+    asks = asks.select("vec_id", "v", "dim", F.col("w_cell").alias("cell"), each(F.col("blocks")).alias("block"), F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.col("q_blocks")).cast("int").alias("q_block"), F.lit(1).alias("side"))
+    group = ["dim", "cell", "block", "q_block"]
+    found = candidates.unionByName(asks).repartition(*group).sortWithinPartitions(*group, "side").mapInArrow(_solve(k), _ROWS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.mapInArrow(merge, _ROWS).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.mapInArrow(_merge(k), _ROWS).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Scratch(spark, "top-k").save(quantized(table(spark, sf_dir, "embeddings")))
-    return top_k(rows.filter(F.col("vec_id") % EVERY == 0).dropDuplicates(["vec_id"]), rows)
+    return top_k(rows.filter(F.col("vec_id") % EVERY == 0), rows)
 
 
 SQL = """
