@@ -7,7 +7,7 @@ scratch tables and older ones dropped; the rounds needed grow with the logarithm
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -22,7 +22,7 @@ def _least(pairs: DataFrame) -> DataFrame:
 def _round(edges: DataFrame) -> DataFrame:
     """edges (u, v), v < u, to edges that bring nodes nearer to their component's least node."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    large = _least(both).filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
+    large = _least(both).filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y")
     small = _least(large)
     out = small.filter("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("x").alias("u"), F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
@@ -30,12 +30,15 @@ def _round(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, least) for every node of an edge but the least of each component. Nodes are of any orderable type."""
-    now = scratch.save(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
+    now, mark = None, None
+    step = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # The state of a round is seen as it is written: its number of edges and the sum of their hashes.
+        seen = Observation()
+        last, now = now, scratch.save(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        if last is not None:
+            scratch.drop(last)
+        state = (seen.get["n"], seen.get["h"])
         if state[0] == 0 or state == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("least"))
-        last, mark = now, state
-        now = scratch.save(_round(last))
-        scratch.drop(last)
+        mark, step = state, _round(now)
