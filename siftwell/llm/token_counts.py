@@ -11,9 +11,11 @@ carries the word end). The stored count of a prefix is the closed one, that is,
 cut there. ``prefix_counts`` stores it for every prefix of every text, and ``n_tokens``, ``fits``, ``cut_at`` answer
 count, budget and truncation questions from the stored array alone, without encoding again.
 
-Positions count characters of the text as the tokenizer normalises it; for composed text that lower-casing leaves as
-long, they are the text's own. Within a contraction or a special token's string, and in words outside Latin script, the
-count of an inner prefix comes from the library.
+Positions count characters of the text as it is given. Words of any script go the same way: the tokenizer's own normalizer
+and pre-tokenizer cut a word into pieces, and the recurrence runs over each piece's bytes, so that work is linear in the
+length of a text without blanks. Parts of a text that normal forms join (a letter and its combining marks) count as they end;
+for a prefix that ends within such a part, the library encodes the piece that it stands in, and for a text whose normal
+form isn't that of its parts, each prefix.
 
 Defined results: null and empty texts have the single prefix of length 0 with count 0; a null doc_id and repeated rows
 give a row each; other columns are left out; an empty table gives an empty result.
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
+from unicodedata import combining, is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,11 @@ from .words import PIECE, SHORT_PIECES, Encoder, WordTable, blanks, symbols
 
 LIMIT = 2048
 _END = "</w>"
-_NEVER = 1 << 60
+_NEVER, _ONE = 1 << 60, (1,)
 #: Prefixes of this length are kept with their counts, so many at most: words share them.
 HEAD, HEADS = 6, 100_000
+#: Pairs of tokens whose compatibility is kept, and normal forms of single characters.
+PAIRS, FORMS = 1_000_000, 50_000
 _tables: dict[str, WordTable] = {}
 
 
@@ -54,13 +59,19 @@ class PrefixCounter:
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         # Every token's text: bit 0 if it is a token, bit 1 if it is one with the word end.
         self.kinds = {t: (t in vocab) + 2 * (t + _END in vocab) for t in (v.removesuffix(_END) if len(v) > len(_END) else v for v in vocab)}
-        self.longest = max(map(len, self.kinds))
+        # By a token's last two symbols: how long those are that end so, the longest first. All single symbols are tokens.
+        lengths: dict[str, set[int]] = defaultdict(lambda: {1})
+        for t in self.kinds:
+            lengths[t[-2:]].add(len(t))
+        self.lengths = {t: tuple(sorted(n, reverse=True)) for t, n in lengths.items() if len(t) == 2}
         self.heads: dict[str, tuple] = {}
         self.made: dict[str, tuple[str, str]] = {}
         self.edges: dict[str, list | None] = {}
-        # Which tokens may follow a token, as they are and with the word end: no more than pairs of tokens met.
+        # Which tokens may follow a token, as they are and with the word end; PAIRS at most.
         self.after: dict[str, dict[str, bool]] = defaultdict(dict)
         self.ends: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_pairs = 0
+        self.forms: dict[str, str] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def merged(self, parts: list[str]) -> tuple[str, ...]:
@@ -116,12 +127,16 @@ class PrefixCounter:
         Of all tokens that end at a prefix, one is compatible with the last token of what stands before it, as the word
         goes on, and one as it ends there.
         """
-        kinds, after, ends = self.kinds, self.after, self.ends
+        kinds, after, ends, lengths = self.kinds, self.after, self.ends, self.lengths
+        if self.n_pairs > PAIRS:
+            after.clear()
+            ends.clear()
+            self.n_pairs = 0
         for i in range(len(last), len(text) + 1):
             token_open, n_open, n_closed = None, 0, 0
-            for j in range(max(0, i - self.longest), i):
-                left = last[j]
-                if left is None:
+            for n in lengths.get(text[i - 2 : i], _ONE) if i > 1 else _ONE:
+                j = i - n
+                if j < 0 or (left := last[j]) is None:
                     continue
                 token = text[j:i]
                 kind = kinds.get(token)
@@ -131,12 +146,14 @@ class PrefixCounter:
                     ok = after[left].get(token)
                     if ok is None:
                         ok = after[left][token] = self.compatible(left, token)
+                        self.n_pairs += 1
                     if ok:
                         token_open, n_open = token, opened[j] + 1
                 if kind & 2 and not n_closed:
                     ok = ends[left].get(token)
                     if ok is None:
                         ok = ends[left][token] = self.compatible(left, token + _END)
+                        self.n_pairs += 1
                     if ok:
                         n_closed = opened[j] + 1
                 if n_closed and token_open is not None:
@@ -167,28 +184,85 @@ class PrefixCounter:
             self.pieces[piece] = got
         return got
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Counts of all prefixes of what stands between blanks, from length 1."""
-        if not self.encoder.plain(word):
-            full = self.encoder.tokenizer
-            text, cut = word, []
-            while text:
-                cut.append(len(full.encode(text, add_special_tokens=False).ids))
-                text = text[:-1]
-            return tuple(cut[::-1])
-        if word.isascii() and word.isalpha():
-            return self.piece(word.lower())
+    def counted(self, pieces: list[tuple[str, int]], length: int) -> list[int]:
+        """Counts of all prefixes, from length 1, of a normalised text of pieces (with their places)."""
         out: list[int] = []
         base = 0
-        for m in PIECE.finditer(word.lower()):
-            p = m[0]
-            out += [base] * (m.start() - len(out))
+        for p, at in pieces:
+            out += [base] * (at - len(out))
             counts = self.piece(p)
             if p[0] == "'" and len(p) > 1 and p[1].isalpha():
                 counts = tuple(sum(self.piece(q)[-1] for q in PIECE.findall(p[:i])) for i in range(1, len(p))) + counts[-1:]
             out += [base + c for c in counts]
             base = out[-1]
-        return tuple(out)
+        return out + [base] * (length - len(out))
+
+    def form(self, part: str) -> str:
+        """A part's normal form."""
+        got = self.forms.get(part)
+        if got is None:
+            got = self.encoder.tokenizer.normalizer.normalize_str(part)
+            if len(part) == 1 and len(self.forms) < FORMS:
+                self.forms[part] = got
+        return got
+
+    def by_library(self, text: str) -> list[int]:
+        return [len(self.encoder.tokenizer.encode(text[:i], add_special_tokens=False).ids) for i in range(1, len(text) + 1)]
+
+    def stretch(self, text: str) -> list[int]:
+        """Counts of all prefixes of a text without special tokens' strings, in any script, from length 1."""
+        parts, whole, blank = parts_of(text), [], False
+        for part in parts:  # the normalizer makes one blank of several
+            form = self.form(part)
+            whole.append("" if blank and form == " " else form)
+            blank = form == " " or blank and not form
+        normal = "".join(whole)
+        # Marks after the dot of a lower-cased İ would change places if they were normalised again.
+        if ("İ" in text and len(parts) < len(text)) or normal != self.encoder.tokenizer.normalizer.normalize_str(text):
+            return self.by_library(text)
+        pieces = [(normal[a:b], a) for _, (a, b) in self.encoder.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        counts = [0, *self.counted(pieces, len(normal))]
+        out, at, k = [], 0, 0
+        for part, form in zip(parts, whole):
+            if len(part) > 1:
+                while k < len(pieces) and pieces[k][1] + len(pieces[k][0]) < at:
+                    k += 1
+                start = min(pieces[k][1], at) if k < len(pieces) else at
+                out += [counts[start] + len(self.encoder.tokenizer.encode(normal[start:at] + part[:i], add_special_tokens=False).ids) for i in range(1, len(part))]
+            at += len(form)
+            out.append(counts[at])
+        return out
+
+    def word(self, word: str) -> tuple[int, ...]:
+        """Counts of all prefixes of what stands between blanks, from length 1."""
+        if not self.encoder.plain(word) or "İ" in word:  # in lower case two characters
+            out: list[int] = []
+            base = 0
+            while True:  # a special token's string cuts a word in two, but only when it is whole
+                at, special = min(((word.find(s), s) for s in self.encoder.special if s in word), default=(-1, ""))
+                if at < 0:
+                    return tuple(out + [base + c for c in self.stretch(word)])
+                counts = self.stretch(word[: at + len(special) - 1])
+                out += [base + c for c in counts]
+                base += (counts[at - 1] if at else 0) + 1
+                out.append(base)
+                word = word[at + len(special) :]
+        if word.isascii() and word.isalpha():
+            return self.piece(word.lower())
+        return tuple(self.counted([(m[0], m.start()) for m in PIECE.finditer(word.lower())], len(word)))
+
+
+def parts_of(text: str) -> list[str]:
+    """The parts of a text whose normal forms (NFC) stand side by side in that of the text."""
+    if is_normalized("NFC", text):
+        return list(text)
+    parts: list[str] = []
+    for c in text:
+        if parts and (combining(c) or normalize("NFC", parts[-1] + c) != normalize("NFC", parts[-1]) + normalize("NFC", c)):
+            parts[-1] += c
+        else:
+            parts.append(c)
+    return parts
 
 
 def prefix_arrays(texts: list[str | None], path: str) -> list[np.ndarray]:

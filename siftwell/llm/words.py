@@ -15,8 +15,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Words kept by a worker; when full, the table starts anew.
-MAX_WORDS = 600_000
+#: Words kept by a worker, and characters in them; when full, the table starts anew.
+MAX_WORDS, MAX_CHARS = 600_000, 16_000_000
 #: Short pieces kept besides.
 SHORT_PIECES = 50_000
 #: The pre-tokenizer's pattern.
@@ -52,6 +52,7 @@ class _Ids(dict):
 
     def __missing__(self, word: str) -> int:
         self.owner.new.append(self.owner.make(word))
+        self.owner.held += len(word)
         self[word] = at = len(self)
         return at
 
@@ -64,13 +65,13 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.new = _Ids(self), []
+        self.ids, self.new, self.held = _Ids(self), [], 0
         self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, self.dtype)
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """The index of each word; what is missing is made."""
-        if len(self.ids) > self.max_words:
+        if len(self.ids) > self.max_words or self.held > MAX_CHARS:
             self.clear()
         at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         if self.new:
