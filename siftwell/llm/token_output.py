@@ -12,10 +12,11 @@ out, and the file ends with two indexes and a fixed trailer:
 
 A file is written under a temporary name and renamed, and its name and bytes follow from the shard alone, so that a task
 that runs again after a lost executor replaces it with the same file. Global offsets come from the shard trailers: the
-driver holds one small row per shard (a file each), nothing per document.
+driver holds one small row per shard (a file each, MAX_SHARDS at most: beyond that shards grow), nothing per document.
+Rows are dealt by id, then by the text's hash, then by place, so that an id on very many rows becomes more shards.
 
 Defined results: a null or empty text has only the end id; documents with a null doc_id come first; rows that repeat a
-doc_id stay apart, ordered by text; an empty table gives an empty result; other columns are left out.
+doc_id stay apart, ordered by a hash of the text; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ MAGIC = b"SWBP1\0\0\0"
 BLOCK = 65_536
 END_ID = 2
 NULL_ID = -(2**63)
-SHARD_BYTES = 16 << 20
+SHARD_BYTES, MAX_SHARDS = 16 << 20, 50_000
+#: Schemes of Hadoop's stores that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 _tables: dict[str, WordTable] = {}
 
 
@@ -141,7 +144,8 @@ class ShardReader:
 def file_system(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -211,18 +215,21 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, path: str, base: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, base: str, shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_SHARDS) -> DataFrame:
     """Writes the shards of (doc_id, text) under the URI base; a table of (shard, file, n_docs, n_ids, start)."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "token-shards")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(max(1, -(-total // shard_bytes)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    shards = min(max_shards, max(1, -(-total // shard_bytes)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc_nulls_first(), F.col("row").asc()]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     made = scratch.save(dealt.mapInArrow(_write(base, path), "shard int, file string, n_docs long, n_ids long"))
-    starts, n = {}, 0
+    rows, n = [], 0
     for r in sorted(made.collect(), key=lambda r: r["shard"]):
-        starts[r["shard"]], n = n, n + r["n_ids"]
-    rows = [(r["shard"], r["file"], r["n_docs"], r["n_ids"], starts[r["shard"]]) for r in made.collect()]
+        rows.append((r["shard"], r["file"], r["n_docs"], r["n_ids"], n))
+        n += r["n_ids"]
     return spark.createDataFrame(rows, "shard int, file string, n_docs long, n_ids long, start long")
 
 
