@@ -8,7 +8,8 @@ only when both an access identifier and a weak secret do.
 The scan finds parts per text, batch by batch. Linking is a Spark join of weak parts with the parts that complete them:
 both sides carry the scope-wide bin they lie in (the weak side its bin and both neighbours), the join key is (row, bin), a
 distance condition makes it exact, and it is a semi join, so that no pairs are made, however many parts a text holds. Only
-texts that hold a weak part and an access identifier take part; their texts are not shuffled.
+texts that hold a weak part and an access identifier take part, and only they are shuffled where columns are carried along.
+All patterns take linear time, also on long lines.
 
 Defined results: a null or empty text has no spans and the digest of the empty string; rows that repeat a doc_id, or have
 none, are scanned each for themselves; offsets are code points, ends exclusive; other columns are left out.
@@ -17,6 +18,7 @@ none, are scanned each for themselves; offsets are code points, ends exclusive;
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +37,10 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-_ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.amazonaws\.com\b")
+_URL = re.compile(r"https?://[^\s\"'<>]+")
+#: Whole runs of what host names are made of, each looked at once.
+_HOST = re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9][A-Za-z0-9.-]*+")
+_SUFFIX = ".amazonaws.com"
 _HEX_BYTES = bytes(ord("x") if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN = b"x" * 24
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -57,7 +62,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_spans(text: str) -> list[tuple[str, int, int]]:
-    return [("secret", *m.span()) for m in _SECRET.finditer(text)] + [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
+    out = [("secret", *m.span()) for m in _SECRET.finditer(text)] + [("endpoint", *m.span()) for m in _URL.finditer(text)]
+    taken = [m for _, *m in out if _ == "endpoint"]
+    for m in _HOST.finditer(text) if _SUFFIX in text.lower() else ():
+        end = m[0].lower().rfind(_SUFFIX) + len(_SUFFIX)
+        if end > len(_SUFFIX) and not m[0][end : end + 1].isalnum():
+            # A host within a URL is part of it.
+            at = bisect_right(taken, [m.start(), len(text)]) - 1
+            if at < 0 or taken[at][1] <= m.start():
+                out.append(("endpoint", m.start(), m.start() + end))
+    return out
 
 
 def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -96,25 +110,29 @@ def near(weak: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
     return here.join(there, (F.col("row") == F.col("p_row")) & (F.col("bin") == F.col("p_bin")) & close, "left_semi").select("row", "kind", "start", "end").distinct()
 
 
-def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row, linked): the weak spans of each row that complementary parts complete. scanned: row, base, weak."""
-    some = scanned.filter(F.size("weak") > 0)
-    weak = some.select("row", F.inline("weak")).persist()
-    access = some.select("row", F.inline("base")).filter("kind = 'access'").persist()
-    secret = near(weak.filter("kind = 'secret'"), access, scope)
+def link(scanned: DataFrame, scratch: Scratch, scope: int = SCOPE) -> DataFrame:
+    """(l_row, linked): the weak spans of each row that complementary parts complete. scanned: row, base, weak."""
+    weak = scratch.save(scanned.select("row", F.inline("weak")))
+    access = scratch.save(scanned.select("row", F.inline("base")).filter("kind = 'access'"))
+    secret = scratch.save(near(weak.filter("kind = 'secret'"), access, scope))
     endpoint = near(near(weak.filter("kind = 'endpoint'"), access, scope), secret, scope)
-    return secret.unionByName(endpoint).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
+    return secret.unionByName(endpoint).groupBy(F.col("row").alias("l_row")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
 
 
 def find_secrets(docs: DataFrame, columns: list[str], scope: int = SCOPE) -> DataFrame:
-    """The named columns of docs with ``base`` and ``spans`` (base and linked weak ones, by start and kind) per row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "secrets")
-    found = scratch.save(scan(docs, columns).withColumn("row", F.monotonically_increasing_id()))
-    linked = link(found, scope).withColumn("linked", F.transform("linked", lambda s: F.struct(s["kind"], s["start"], s["end"])))
-    both = found.join(linked.withColumnRenamed("row", "l_row"), F.col("row") == F.col("l_row"), "left")
-    by = F.transform(F.concat("base", F.coalesce(F.col("linked").cast(SPANS), F.array().cast(SPANS))), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return both.withColumn("spans", F.transform(F.array_sort(by), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))).drop("row", "l_row", "linked", "weak")
+    """The named columns of docs with ``base`` and ``spans`` (base and linked weak ones, by start and kind) per row; columns
+    of docs that are called so give way."""
+    scratch = Scratch(docs.sparkSession, "secrets")
+    given = [c for c in columns if c not in ("base", "spans")]
+    inner = {c: f"given {i}" for i, c in enumerate(given)}
+    found = scratch.save(scan(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], F.col("text")), list(inner.values())).withColumn("row", F.monotonically_increasing_id()))
+    some = found.filter(F.size("weak") > 0)
+    linked = link(some.select("row", "base", "weak"), scratch, scope).withColumn("linked", F.transform("linked", lambda s: F.struct(s["kind"], s["start"], s["end"])).cast(SPANS))
+    joined = some.join(linked, F.col("row") == F.col("l_row"), "left").drop("l_row")
+    both = found.filter(F.size("weak") == 0).withColumn("linked", F.lit(None).cast(SPANS)).unionByName(joined)
+    by = F.transform(F.concat("base", F.coalesce("linked", F.array().cast(SPANS))), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = F.transform(F.array_sort(by), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return both.select(*[F.col(f"`{n}`").alias(c) for c, n in inner.items()], "base", spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -124,7 +142,8 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with each found span replaced by a mask (overlapping spans by one), and n_chars brought in line if there."""
     columns = docs.columns
-    found = find_secrets(docs, columns)
+    renamed = docs.withColumnsRenamed({c: f"own {c}" for c in ("base", "spans") if c in columns})
+    found = find_secrets(renamed, renamed.columns)
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -136,7 +155,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     out = found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    return out.drop("base", "spans").withColumnsRenamed({f"own {c}": c for c in ("base", "spans")}).select(*columns)
 
 
 def _equals(kind: str):
