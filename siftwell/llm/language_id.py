@@ -4,8 +4,10 @@ A known word scores the log of its relative frequency in each language; an unsee
 n-grams (word edges marked), longest order first: the first order of which any n-gram is known gives the mean of their
 log frequencies. A text's language is the one with the highest mean score per word.
 
-The model is learned on Spark from a sample of labelled documents of at most about MAX_TRAIN (chosen by hash), and
-keeps the MAX_WORDS most frequent words and the MAX_GRAMS most frequent n-grams of each order.
+Words are runs of letters (\\p{L}) in lower case. The model is learned on Spark from a sample of labelled documents of at
+most about MAX_TRAIN (chosen by hash), for all languages in it, and keeps the MAX_WORDS most frequent words of at least
+MIN_COUNT occurrences and the MAX_GRAMS most frequent n-grams of each order. What is kept is the size of the model; what
+is scored is every word of every text.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; ties go to the language that sorts first;
 without any labelled document, every text is ``und``; a null doc_id counts as not held out; other columns are ignored.
@@ -14,11 +16,11 @@ without any labelled document, every text is ``und``; a null doc_id counts as no
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,11 @@ from .common import ship, table
 from .token_output import slices
 
 MAX_TRAIN = 12_000
-MAX_WORDS = 60_000
+MAX_WORDS, MIN_COUNT = 60_000, 2
 MAX_GRAMS = 30_000
 ORDERS = (5, 4, 3, 2, 1)
 KEPT = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _caches: dict[object, tuple] = {}
 
 
@@ -47,7 +49,7 @@ def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
     """Learns from rows (doc_id, text, lang); the result holds at most max_words + len(ORDERS) * max_grams entries."""
     rows = bounded_sample(labelled.filter("text is not null and lang is not null"), "doc_id", max_train, 9)
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(1000).collect()]
+    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return {"langs": [], "words": {}, "grams": {}}
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("w", "lang").agg(F.count("*").alias("n"))
@@ -66,7 +68,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_
         cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.col("w").substr(i, F.lit(n))))
         pieces = marked.filter(F.length("w") >= n).select(cut.alias("w"), "n", *cols)
         grams[n] = logs(pieces.groupBy("w").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols]), max_grams)
-    model = {"langs": langs, "words": logs(wide.filter("n > 1"), max_words), "grams": grams}
+    model = {"langs": langs, "words": logs(wide.filter(F.col("n") >= MIN_COUNT), max_words), "grams": grams}
     wide.unpersist()
     return model
 
