@@ -1,13 +1,14 @@
 """Operator 8: conflict-constrained best-fit packing.
 
 Documents are cut into pieces of at most ``capacity`` words; a full piece is a bin of its own, the rest are items. Items
-are dealt by a hash of the document to shards of a bounded expected size, and each shard is packed on its own, largest
-item first. In a shard, open bins are ordered by residual capacity and carry two bitmaps: the sources and the duplicate
+are dealt by a hash of the document and its copy number to shards of a bounded expected size, and each shard is packed on
+its own, largest item first. In a shard, open bins are ordered by residual capacity and carry two bitmaps: the sources and the duplicate
 clusters they hold. The search starts at the smallest residual that takes the item and goes on to the successor until
 the tightest compatible bin is found, that is, one that shares neither a source nor a cluster with the item.
 
-A shard's work is bounded by its expected number of items, whatever the corpus; a hot source or a large group of copies
-is spread over all shards and only opens more bins. No text is shuffled.
+A shard's work is bounded by its expected number of items, whatever the corpus; a hot source, a large group of copies or an
+id on very many rows is spread over all shards and only opens more bins. No text is shuffled. Copy numbers are counted within
+partitions, with offsets from counts per id and partition, so that no window gathers the rows of an id.
 
 Defined results: a null or blank text has size 0 and one piece of size 0 in the bin of the tightest fit; a null source
 is a source of its own; a null cluster conflicts with nothing; rows repeated with the same doc_id are told apart by
@@ -19,7 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, ship, table
@@ -75,8 +76,7 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int
 
 def _pack(capacity: int, shards: int):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size", "cluster"], na_position="last", kind="stable")
-        rows["copy"] = rows.groupby("doc_id", dropna=False).cumcount() + 1
+        rows = rows.sort_values(["doc_id", "copy"], na_position="last", kind="stable")
         sources = {s: 1 << i for i, s in enumerate(sorted(rows["source"].dropna().unique()))}
         none = 1 << len(sources)
         repeated = rows["cluster"].value_counts()
@@ -102,6 +102,20 @@ def _pack(capacity: int, shards: int):
     return pack
 
 
+def numbered(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """items (doc_id, row, ...) with ``copy``: 1, or the place among the rows of the same doc_id. items is a stored table."""
+    here = items.withColumn("part", F.shiftright("row", 33))  # the partition that monotonically_increasing_id names
+    per = here.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("doc_id").orderBy("part")
+    counted = per.withColumn("before", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("doc_id")))
+    repeated, n = scratch.save_counted(counted.filter("all > 1").select(F.col("doc_id").alias("r_id"), F.col("part").alias("r_part"), "before"))
+    if not n:
+        return items.withColumn("copy", F.lit(1))
+    found = here.join(repeated, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("part") == F.col("r_part")), "left")
+    within = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("row"))
+    return found.filter("before is null").withColumn("copy", F.lit(1)).unionByName(found.filter("before is not null").withColumn("copy", (F.col("before") + within).cast("int"))).select(*items.columns, "copy")
+
+
 def pack(docs: DataFrame, size: Column | None = None, cluster: Column | None = None, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """One row per piece: doc_id, copy, piece, bin_id, size, bin_start, n_in_bin, residual.
 
@@ -109,12 +123,13 @@ def pack(docs: DataFrame, size: Column | None = None, cluster: Column | None = N
     """
     spark = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "pack")
     size = word_count(F.col("text")) if size is None else size
     cluster = F.md5("text") if cluster is None else cluster.cast("string")
-    items = Scratch(spark, "pack").save(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.cast("long").alias("size"), cluster.alias("cluster")))
-    shards = max(1, -(-items.count() // shard_items))
-    shard = F.pmod(F.xxhash64(F.lit(8), F.coalesce(F.col("doc_id").cast("string"), F.col("cluster"))), F.lit(shards))
-    return items.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(capacity, shards), SCHEMA)
+    items, n = scratch.save_counted(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.cast("long").alias("size"), cluster.alias("cluster"), F.monotonically_increasing_id().alias("row")))
+    shards = max(1, -(-n // shard_items))
+    shard = F.pmod(F.xxhash64(F.lit(8), F.coalesce(F.col("doc_id").cast("string"), F.col("cluster")), "copy"), F.lit(shards))
+    return numbered(items, scratch).drop("row").withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(capacity, shards), SCHEMA)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
