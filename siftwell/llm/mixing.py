@@ -3,11 +3,14 @@
 Words are aggregated per source, the repetition rate of a source is its target over its size, and each document is
 emitted floor(rate) times plus one further copy that a hash-seeded Bernoulli draw grants with the fraction as its
 probability. The only wide step over documents carries (id, source, size), never texts; texts meet their rate through
-a per-source table that is broadcast after its row count was checked, and through a skew-splittable join otherwise.
+a per-source table that is broadcast after its row count was checked, and through a skew-splittable join otherwise. The
+per-source table itself may be of any length: sources are numbered by range partitions and counts of these, and the targets'
+level is found by a few aggregations, so that no window spans all sources.
 
 Defined results: a null or blank text has size 0 and is never counted; null is a source of its own and comes last; a
 source of size 0 has target 0 and rate 0; an empty table gives an empty result; repeated rows of one doc_id draw alike;
-a null doc_id draws by the text's digest; other columns pass through ``mix`` untouched.
+a null doc_id draws by the text's digest; other columns pass through ``mix`` untouched, but for one called ``copy``, which
+gives way to the copy's number.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, join_small, table
+from .common import WORD, Scratch, broadcast_if_small, join_small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3.0
@@ -26,31 +29,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """sources (source, ...) with ``turn``: the place of each in code-point order from 0, null last."""
+    order = F.col("source").asc_nulls_last()
+    dealt = scratch.save(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    per = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = per.select(F.col("part").alias("b_part"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return dealt.withColumn("local", local).join(F.broadcast(before), F.col("part") == F.col("b_part")).withColumn("turn", F.col("before") + F.col("local")).drop("part", "b_part", "before", "local")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """(source, source_size, target) of rows (source, size).
 
     Sources in code-point order, null last, take the weights in turn. Targets share the total by weight, but stop at
     max_repeats times the source's size; the excess goes to the others by weight until none is above. That is a water
-    level: ordered by cap / weight, the first k sources are capped, where k is the least number for which the level of
-    the rest, (total - caps so far) / (weights left), is no higher than the next cap / weight.
+    level: (total - what the capped take) / (weights of the others), raised until it caps no more of them.
     """
+    scratch = Scratch(sizes.sparkSession, "targets")
     by_source = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
-    ranked = by_source.withColumn("turn", turn).withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
-    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("turn").asc())
-    everything = Window.partitionBy()
-    level = (
-        ranked.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("w_all", F.sum("w").over(everything))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("w_before", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before")))
-        .withColumn("level", F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))
-    )
-    water = F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.round(F.least(F.col("cap"), F.coalesce(water * F.col("w"), F.col("cap"))), 6)
-    return level.withColumn("target", target).select("source", "source_size", "target")
+    rows = scratch.save(ranked(by_source, scratch).withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_repeats))).drop("turn"))
+    total = float(rows.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("cap") < F.lit(level) * F.col("w")
+        now = rows.agg(F.count_if(above), F.sum(F.when(above, F.col("cap")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w")))).first()
+        if now[0] == capped or not now[2]:
+            break
+        capped, level = now[0], (total - now[1]) / now[2]
+    return rows.select("source", "source_size", F.round(F.least(F.col("cap"), F.lit(level) * F.col("w")), 6).alias("target"))
 
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -75,11 +83,13 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS,
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row of docs as often as its rate and draw say, with all its columns and ``copy`` from 1."""
     scratch = Scratch(docs.sparkSession, "mix")
+    docs = docs.drop("copy")
+    source, rate, n = (next(f"{name}{i}" for i in range(len(docs.columns) + 1) if f"{name}{i}" not in docs.columns) for name in ("source of rate ", "rate ", "copies "))
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    targets = scratch.save(source_targets(sizes, weights, max_repeats)).select("source", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    rated = join_small(docs, targets, "source")
-    n = (F.floor("__rate") + F.when(draw(docs["doc_id"], docs["text"], seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
-    return rated.withColumn("__n", n).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__rate")
+    targets = scratch.save(source_targets(sizes, weights, max_repeats).select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate)))
+    rated = docs.join(broadcast_if_small(targets), docs["source"].eqNullSafe(targets[source]))
+    more = F.when(draw(docs["doc_id"], docs["text"], seed) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    return rated.withColumn(n, (F.floor(rate) + more).cast("int")).filter(F.col(n) > 0).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
