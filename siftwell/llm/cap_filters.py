@@ -81,7 +81,7 @@ class Caps:
             if tables <= 40 or passed > directions / 2:
                 break
             passed *= 2
-        for _ in range(min(tables, 200) - 1):
+        for _ in range(tables - 1):
             self._add(rng, dim)
 
     def _add(self, rng, dim: int) -> None:
