@@ -7,57 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from . import text as T
-from .queries import first_best
-
-
-def _bind(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def role(content: Column, section: Column, subsection: Column, keywords: dict[str, list[str]] = L.ROLE_KEYWORDS, roles: list[str] = L.ROLES) -> Column:
-    """struct(role, confidence) from a score per role; the first of equals wins, an unsure one gives way to the section's prior."""
-    low = F.lower(content)
-    at = F.coalesce(T.section_name(subsection), T.section_name(section))
-    hint = T.lookup(at, L.SECTION_ROLE_HINTS, None)
-    signals = F.struct(hint.alias("hint"), T.equation_signal(content).alias("equation"), T.pseudocode_signal(content).alias("pseudo"), T.result_signal(content).alias("result"), T.metric_signal(content).alias("metric"))
-    bonus = {"equation": [("equation", 0.75)], "formula": [("equation", 0.55)], "theory": [("equation", 0.35)], "algorithm": [("equation", 0.12), ("pseudo", 0.35)], "implementation": [("pseudo", 0.15)], "evaluation": [("result", 0.35), ("metric", 0.45)], "discussion": [("result", 0.1)]}
-
-    def scores(sig: Column) -> Column:
-        out = []
-        for r in roles:
-            s = F.when(sig["hint"] == r, 1.0).otherwise(0.0) + T.kwsum(low, keywords.get(r, [])) * 0.18
-            for test, more in bonus.get(r, []):
-                s = s + F.when(sig[test], more).otherwise(0.0)
-            out.append(F.round(s, 6))
-        return F.array(*out)
-
-    def decide(s: Column) -> Column:
-        by_name = {r: F.element_at(s, i + 1) for i, r in enumerate(roles)}
-        ranked = F.sort_array(s, asc=False)
-        return F.struct(
-            first_best(list(by_name.items())).alias("top"), F.element_at(ranked, 1).alias("best"), (F.element_at(ranked, 1) - F.element_at(ranked, 2)).alias("margin"),
-            T.lookup(at, {k: i for i, k in enumerate(L.SECTION_ROLE_PRIORS)}, None).alias("key"), F.array(*[first_best([(n, by_name.get(n, F.lit(0.0))) for n in names]) for names in L.SECTION_ROLE_PRIORS.values()]).alias("priors"),
-        )
-
-    def finish(d: Column) -> Column:
-        sure = F.greatest(F.lit(0.2), F.least(F.lit(1.0), 0.35 + d["margin"] + F.least(F.lit(0.35), d["best"] / 4)))
-        unsure = (sure < 0.6) & d["key"].isNotNull()
-        nothing = F.coalesce(at == "related_work", F.lit(False)) | (d["best"] <= 0.01)
-        name = F.when(nothing, "other").when(unsure, F.element_at(d["priors"], d["key"] + 1)).otherwise(d["top"])
-        return F.struct(name.alias("role"), F.round(F.when(nothing, 0.25).when(unsure, F.greatest(sure, F.lit(0.45))).otherwise(sure), 4).alias("confidence"))
-
-    return _bind(_bind(_bind(signals, scores), decide), finish)
-
-
-def importance(content: Column, section: Column, index: Column, n: Column) -> Column:
-    at, position = T.section_name(section), index / F.greatest(F.lit(1), n - 1)
-    out = F.when(at.isin("abstract", "introduction", "conclusion", "discussion"), 0.45).when(at.isin("method", "methodology", "algorithm", "evaluation", "results", "experiment"), 0.37).otherwise(0.25)
-    out = out + F.when(position <= 0.15, 0.15).when(position >= 0.9, 0.12).otherwise(0.0)
-    out = out + F.least(F.lit(0.3), T.technical_density(content) * 0.6)
-    for test in (T.equation_signal(content), T.pseudocode_signal(content), T.result_signal(content)):
-        out = out + F.when(test, 0.08).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 4)
+
+
+#: What signals of a text add to the score of a role.
+ROLE_BONUS = {"equation": [("equation", 0.75)], "formula": [("equation", 0.55)], "theory": [("equation", 0.35)], "algorithm": [("equation", 0.12), ("pseudo", 0.35)], "implementation": [("pseudo", 0.15)], "evaluation": [("result", 0.35), ("metric", 0.45)], "discussion": [("result", 0.1)]}
 
 
 def role_match(kind: Column, role_name: Column) -> Column:
@@ -111,20 +64,3 @@ def summary(text: Column, most: int = 300, enough: int = 140) -> Column:
     whole = got == F.array_join(parts, " ")
     first = F.concat(F.regexp_replace(F.substring(F.element_at(parts, 1), 1, most - 3), r"\s\S*$", ""), F.lit("..."))
     return F.when(F.size(parts) == 0, F.lit(None)).when(got == "", first).when(whole, got).otherwise(F.when(F.length(got) > most - 3, cut).otherwise(F.concat(got, F.lit("..."))))
-
-
-def quality_pass(text: Column, role_name: Column, confidence: Column) -> Column:
-    """Whether a summary says enough: confident, of a known role, long, starting like a sentence, with words."""
-    s = F.trim(F.coalesce(text, F.lit("")))
-    low, n = F.lower(s), T.word_count(s)
-    short = (n > 0) & (n <= 40) & (
-        (role_name.isin("equation", "formula", "theory") & (F.contains(s, F.lit("=")) | F.contains(low, F.lit("[equation]"))))
-        | ((role_name == "evaluation") & T.metric_signal(s))
-        | (role_name.isin("method", "algorithm") & T.contains_any(low, ["objective", "loss", "defined as", "denotes", "represents"]))
-    )
-    banned = F.lit(False)
-    for p in ("figure", "fig.", "table", "eq.", "equation:", "index terms:"):
-        banned = banned | low.startswith(p)
-    words = T.matches(s, r"[A-Za-z][A-Za-z\-]*")
-    good = (role_name != "other") & (F.length(s) >= 40) & s.rlike(r"^[A-Z0-9\[]") & ~banned & ~s.rlike(r"^[0-9\s+\-*/^=<>()\[\]{}|.,:;%]+$") & (T.letters(s) >= 20) & (words > 1)
-    return (confidence >= 0.35) & (short | good)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 
 WORD = r"[\p{L}\p{N}_]+"
+#: Long plain words, and signs of formulas.
+TECHNICAL = r"(?<![\p{L}\p{N}_])[a-zA-Z]{7,}(?![\p{L}\p{N}_])"
+SYMBOLS = r"[=<>+\-*/^]|O\(|\\[a-zA-Z]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -62,7 +66,7 @@ def truncate(text: Column, most: int) -> Column:
 
 def lines(text: Column) -> Column:
     """Trimmed lines that aren't blank."""
-    return F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda s: F.btrim(s, F.lit(_BLANKS))), lambda s: s != "")
 
 
 def tokens(text: Column, stopwords: list[str] = L.STOPWORDS) -> Column:
@@ -79,7 +83,13 @@ def letters(text: Column) -> Column:
 
 
 def digits(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^0-9]", ""))
+    return F.length(text) - F.length(F.translate(text, "0123456789", ""))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places by its binary value, half up: 0.53875, which lies just below, becomes 0.5387."""
+    scale = 10.0**places
+    return F.floor(x * scale + 0.5) / scale
 
 
 def section_name(name: Column) -> Column:
@@ -94,9 +104,7 @@ def section_name(name: Column) -> Column:
 
 def technical_density(text: Column) -> Column:
     n = word_count(text)
-    technical = matches(text, r"(?<![\p{L}\p{N}_])[a-zA-Z]{7,}(?![\p{L}\p{N}_])")
-    symbols = matches(text, r"[=<>+\-*/^]|O\(|\\[a-zA-Z]+")
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), (technical + 2 * symbols) / n))
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), (matches(text, TECHNICAL) + 2 * matches(text, SYMBOLS)) / n))
 
 
 def citation_density(text: Column, patterns: list[str] = L.CITATIONS) -> Column:
@@ -104,33 +112,10 @@ def citation_density(text: Column, patterns: list[str] = L.CITATIONS) -> Column:
     return total([matches(low, p) for p in patterns]) / F.greatest(F.lit(1), word_count(text))
 
 
-def table_density(text: Column) -> Column:
-    rows = lines(text)
-
-    def noisy(s: Column) -> Column:
-        upper = F.length(F.regexp_replace(s, r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), letters(s))
-        return F.contains(s, F.lit("|")) | F.contains(s, F.lit("\t")) | (digits(s) / F.greatest(F.lit(1), F.length(s)) > 0.35) | ((upper > 0.85) & (F.length(s) < 40))
-
-    return F.when(F.size(rows) == 0, 0.0).otherwise(F.size(F.filter(rows, noisy)) / F.size(rows))
-
-
-def heading_penalty(text: Column) -> Column:
-    s = squeeze(text)
-    return F.when(F.length(s) < 20, 1.0).when(word_count(s) <= 4, 0.8).otherwise(0.0)
-
-
-def quality_score(text: Column) -> Column:
-    n, low, size = word_count(text), F.lower(text), F.greatest(F.lit(1), F.length(text))
-    cite, rows = citation_density(text), table_density(text)
-    score = F.when(n >= 80, 1.0).when(n >= 40, 0.6).when(n >= 20, 0.2).otherwise(-0.4)
-    score = score - F.when(letters(text) / size < 0.45, 0.6).otherwise(0.0)
-    score = score - F.when(cite > 0.03, 1.35).when(cite > 0.015, 0.7).otherwise(0.0)
-    score = score - F.when(rows > 0.6, 1.0).when(rows > 0.35, 0.7).otherwise(0.0)
-    score = score - F.when((digits(text) / size > 0.18) & (kwcount(text, "\n") / F.greatest(F.lit(1), n) > 0.12), 0.8).otherwise(0.0)
-    score = score - heading_penalty(text)
-    score = score - F.when(low.startswith("table ") | low.startswith("figure ") | low.startswith("equation:"), 0.8).otherwise(0.0)
-    score = score + F.when(contains_any(low, ["we propose", "our proposed", "in this work"]), 0.3).otherwise(0.0)
-    return F.round(F.when(n == 0, -2.0).otherwise(score), 4)
+def noisy_line(s: Column) -> Column:
+    """Whether a line looks like one of a table: bars or tabs, many digits, or short and in capitals."""
+    upper = F.length(F.regexp_replace(s, r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), letters(s))
+    return F.contains(s, F.lit("|")) | F.contains(s, F.lit("\t")) | (digits(s) / F.greatest(F.lit(1), F.length(s)) > 0.35) | ((F.length(s) < 40) & (upper > 0.85))
 
 
 def equation_signal(text: Column) -> Column:

@@ -94,6 +94,22 @@ TABLE_TYPES = {
     "results": ["accuracy", "wer", "cer", "bleu", "rouge", "benchmark", "results"],
     "architecture": ["layer", "component", "module", "parameter", "architecture"],
 }
+BANNED_STARTS = ["figure", "fig.", "table", "eq.", "equation:", "index terms:"]
+BANNED_FRAGMENTS = [r"\bms rate\b", r"\bx\s*n\s*\+", r"\b1/2\s*x\b", r"\bsubsampling\b"]
+VERBS = [
+    "is", "are", "was", "were", "be", "been", "being", "am", "has", "have", "had", "do", "does", "did", "can", "could", "may", "might", "will", "would", "should",
+    "propose", "proposes", "proposed", "introduce", "introduces", "introduced", "show", "shows", "showed", "demonstrate", "demonstrates", "demonstrated",
+    "contain", "contains", "contained", "consist", "consists", "consisted", "include", "includes", "included", "improve", "improves", "improved",
+    "achieve", "achieves", "achieved", "evaluate", "evaluates", "evaluated", "use", "uses", "used", "perform", "performs", "performed", "yield", "yields", "yielded",
+    "reduce", "reduces", "reduced", "increase", "increases", "increased", "outperform", "outperforms", "outperformed", "appear", "appears", "appeared",
+    "allow", "allows", "allowed", "provide", "provides", "provided",
+]
+CONTINUATIONS = ["where ", "where,", "under ", "for ", "on ", "when ", "while ", "with ", "which ", "this ", "these ", "it ", "they ", "we ", "our ", "such "]
+EXPLANATIONS = ["denotes", "represents", "is defined as", "is computed as", "is the", "refer to", "corresponds to", "objective", "loss"]
+CLAIM_METRICS = ["wer", "cer", "bleu", "rouge", "f1", "accuracy", "error rate", "latency"]
+TABLE_METRICS = ["wer", "cer", "bleu", "rouge", "f1", "accuracy", "latency", "perplexity", "precision", "recall"]
+TABLE_DATASETS = ["mnli", "sst-2", "mrpc", "cola", "qnli", "qqp", "rte", "sts-b", "librispeech", "wikisql", "webnlg", "dart", "samsum"]
+EQUATION_MARKS = ["=", "∑", "Σ", "argmax", "argmin", "log", "exp", "lambda", "β", "α"]
 CLAUSES = [" and ", " or ", " while ", " versus ", " vs "]
 COMPARISONS = ["compare", "difference", "baseline", "tradeoff"]
 CRITIQUES = ["why", "weakness", "limitation", "critique", "reproduc"]

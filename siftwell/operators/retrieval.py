@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import structure as S
 from ..functions import text as T
 from ..functions.vectors import cosine, literal
+from . import annotate as A
 
 
 def query_vector(vectors: DataFrame, vec_id: int, key: str = "vec_id") -> Column:
@@ -44,27 +45,83 @@ def with_page(chunks: DataFrame, subsections: DataFrame) -> DataFrame:
     return chunks.join(pages, on, "left").drop("p_paper", "p_section", "p_subsection")
 
 
-def annotate(rows: DataFrame, keywords: dict | None = None, roles: list | None = None, group: tuple = ()) -> DataFrame:
-    """role, role_confidence, importance, quality_score, quality_pass; the position basis is the number of candidates."""
-    extra = {"keywords": keywords, "roles": roles} if keywords else {}
-    n = F.count("*").over(Window.partitionBy(*group))
-    out = rows.withColumn("r", S.role(F.col("content"), F.col("section_name"), F.col("subsection_name"), **extra)).withColumn("n_candidates", n)
-    out = out.withColumn("role", F.col("r.role")).withColumn("role_confidence", F.col("r.confidence")).drop("r")
-    out = out.withColumn("importance", S.importance(F.col("content"), F.col("section_name"), F.col("chunk_index"), F.col("n_candidates")))
-    return out.withColumn("quality_score", T.quality_score(F.col("content"))).withColumn("quality_pass", S.quality_pass(S.summary(F.col("content")), F.col("role"), F.col("role_confidence")))
+def _with_stat(rows: DataFrame, group: tuple[str, ...], name: str, stat: Column) -> DataFrame:
+    """rows with an aggregate of their group; without a group, of all rows: one number, joined, not a window over all."""
+    if group:
+        return rows.withColumn(name, stat.over(Window.partitionBy(*group)))
+    whole = rows.agg(stat.alias(name)).withColumn("g_one", F.lit(1))
+    return rows.withColumn("g_one", F.lit(1)).join(F.broadcast(whole), "g_one").drop("g_one")
 
 
-def gate(rows: DataFrame, group: tuple = ()) -> DataFrame:
-    """Keeps rows that pass, or all of a group in which none does; then drops poor ones that score below the best."""
+def gate(rows: DataFrame, group: tuple[str, ...] = (), formula: bool = False) -> DataFrame:
+    """Keeps candidates that pass, or all of a group in which none does; then drops poor ones that score below the best. In
+    formula mode (rows with role, content) what looks like a formula also passes, and stays if it scores near the best."""
+    passes = F.col("quality_pass")
+    if formula:
+        rows = rows.withColumn("g_formula", T.formula_candidate_bonus(F.col("role"), F.col("content")) >= 0.75)
+        passes = passes | F.col("g_formula")
+    passed = _with_stat(rows.withColumn("g_pass", passes), group, "g_any", F.max(F.col("g_pass").cast("int"))).filter(F.col("g_pass") | (F.col("g_any") == 0))
+    best = _with_stat(passed, group, "g_best", F.max("score"))
+    poor = ((F.col("quality_score") <= -0.5) & (F.col("score") < F.col("g_best") - 0.01)) | ((F.col("quality_score") <= -0.2) & (F.col("score") < F.col("g_best") - 0.05))
+    if formula:
+        poor = poor & ~(F.col("g_formula") & (F.col("score") >= F.col("g_best") - 0.12))
+    return best.filter(~poor).drop("g_pass", "g_any", "g_best", "g_formula")
+
+
+def rerank(rows: DataFrame, kind: str, formula: bool = False) -> DataFrame:
+    """rows with role_match_weight, intent_role_weight and rerank_score."""
+    value = 0.5 * F.col("score") + 0.3 * S.role_match(F.lit(kind), F.col("role")) + 0.2 * F.col("importance")
+    if formula:
+        value = value + 0.18 * T.formula_candidate_bonus(F.col("role"), F.col("content"))
+    return rows.withColumns({"role_match_weight": S.role_match(F.lit(kind), F.col("role")), "intent_role_weight": S.role_weight(F.lit(kind), F.col("role")), "rerank_score": F.round(value, 4)})
+
+
+def normalised(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """rows with semantic_rank_score: the place of a score between the least and the greatest of its group; 1 if all are equal."""
     w = Window.partitionBy(*group)
-    passed = rows.withColumn("any_pass", F.max(F.col("quality_pass").cast("int")).over(w)).filter(F.col("quality_pass") | (F.col("any_pass") == 0))
-    best = passed.withColumn("best", F.max("score").over(w))
-    poor = ((F.col("quality_score") <= -0.5) & (F.col("score") < F.col("best") - 0.01)) | ((F.col("quality_score") <= -0.2) & (F.col("score") < F.col("best") - 0.05))
-    return best.filter(~poor).drop("any_pass", "best")
+    span = F.max("score").over(w) - F.min("score").over(w)
+    return rows.withColumn("semantic_rank_score", F.round(F.when(span > 0, (F.col("score") - F.min("score").over(w)) / span).otherwise(1.0), 4))
+
+
+def overfetched(rows: DataFrame, key: tuple[str, ...], k: int, least: int = 40, tie: str = "chunk_id") -> DataFrame:
+    """The best of each query's scored rows, several times as many as are wanted, since the gate will drop some."""
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), F.asc(tie))
+    return rows.withColumn("fetched", F.row_number().over(order)).filter(F.col("fetched") <= max(4 * k, least)).drop("fetched")
+
+
+RANKED = ("rerank_score", "score", "importance")
+
+
+def retrieve(rows: DataFrame, key: tuple[str, ...], kind: str, k: int = 18, formula: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
+    """The chain for scored rows of any number of queries (key): over-fetch, annotate, gate, rerank, the best 2 k of each. All but the
+    first step see candidates only."""
+    found = normalised(A.annotated(overfetched(rows, key, k), key, keywords, roles), key)
+    ranked = rerank(gate(found, key, formula), kind, formula)
+    order = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in RANKED], F.coalesce(F.nullif("page_number", F.lit(0)), F.lit(10**6)) if "page_number" in rows.columns else F.asc("chunk_id"), F.asc("chunk_id"))
+    return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * k)
+
+
+def rerank_group(rows: DataFrame, key: tuple[str, ...], kind: str, k: int, formula: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
+    """The best k of each group, annotated and gated anew within the group."""
+    drop = {"role", "role_confidence", "importance", "quality_score", "summary", "quality_pass", "n_candidates", "role_match_weight", "intent_role_weight", "rerank_score", "place"}
+    ranked = rerank(gate(A.annotated(rows.drop(*drop), key, keywords, roles), key, formula), kind, formula)
+    order = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in RANKED], F.asc("chunk_index"), F.asc("chunk_id"))
+    return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def rerank(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.withColumn("rerank_score", S.rerank(F.col("score"), F.lit(kind), F.col("role"), F.col("importance")))
+def select_balanced(rows: DataFrame, key: tuple[str, ...], sections: list[str], kind: str, k: int = 12, per_section: int = 3, formula: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
+    """Of each query's candidates (a retrieve's rows, chunk_id unique per query): the selected sections' best few near their best, then the best of the rest
+    where these are fewer than k; ranked anew, k in all."""
+    extra = {"keywords": keywords, "roles": roles}
+    named = rows.withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
+    own = rerank_group(named.filter(F.col("section_name").isin(sections)), (*key, "section_name"), kind, per_section, formula, **extra)
+    own = own.withColumn("g_best", F.max("rerank_score").over(Window.partitionBy(*key, "section_name"))).filter((F.col("rerank_score") >= F.col("g_best") - 0.12) & (F.col("quality_score") > -0.2))
+    first = own.select(*key, "chunk_id", F.lit(True).alias("g_first"))
+    rest = rerank_group(named, key, kind, 10**6, formula, **extra).filter((F.col("quality_score") > -0.1) & (F.col("importance") > 0.1)).select(*key, "chunk_id", F.lit(True).alias("g_rest"))
+    tiers = named.join(first, [*key, "chunk_id"], "left").join(rest, [*key, "chunk_id"], "left").filter("g_first or g_rest")
+    enough = F.count("g_first").over(Window.partitionBy(*key)) >= k
+    merged = tiers.withColumn("g_enough", enough).filter("g_first or not g_enough").drop("g_first", "g_rest", "g_enough")
+    return rerank_group(merged, key, kind, k, formula, **extra)
 
 
 def balanced_select(rows: DataFrame, k: int, per_section: int = 3, near: float = 0.12) -> DataFrame:

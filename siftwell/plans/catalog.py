@@ -11,7 +11,7 @@ from .. import lexicons as L
 from ..functions import queries as Q
 from ..functions import structure as S
 from ..functions import text as T
-from ..operators import conversation, documents, evidence, retrieval
+from ..operators import annotate, conversation, documents, evidence, retrieval
 from ..sources.tables import chunks, section_of, table
 from . import sql as X
 
@@ -101,7 +101,8 @@ def table_rank(spark, sf):
 
 @query(f"WITH d AS (SELECT doc_id, text, {X.words('text')} AS n_words, {X.citations('text')} AS cite, {X.table_density('text')} AS rows FROM documents) SELECT doc_id, n_words::INTEGER AS n_words, {X.quality('text')} AS quality_score FROM d")
 def quality_score(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"), T.quality_score(F.col("text")).alias("quality_score"))
+    rows = annotate.with_quality(annotate.text_features(table(spark, sf, "documents"), "text"), "text")
+    return rows.select("doc_id", F.col("f_words").alias("n_words"), "quality_score")
 
 
 @query(f"SELECT doc_id, round({X.citations('text')}, 6) AS citation_density FROM documents")
@@ -111,7 +112,7 @@ def citation_density(spark, sf):
 
 @query(f"SELECT doc_id, round({X.table_density('text')}, 6) AS table_density FROM documents")
 def table_density(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(T.table_density(F.col("text")), 6).alias("table_density"))
+    return annotate.text_features(table(spark, sf, "documents"), "text").select("doc_id", F.round("f_table", 6).alias("table_density"))
 
 
 @query(f"SELECT doc_id, round({X.technical('text')}, 6) AS technical_density FROM documents")
@@ -172,7 +173,7 @@ ranked AS (SELECT * EXCLUDE (ranked), {X.quality('content')} AS quality_score, r
 def _annotated(spark, sf):
     rows = chunks(spark, sf)
     scored = retrieval.scored(rows, retrieval.query_vector(rows, 0, "chunk_id"))
-    return retrieval.rerank(retrieval.annotate(scored, L.TEST_ROLES, ROLES, group=("paper_id",)), "method")
+    return retrieval.rerank(annotate.annotated(scored, ("paper_id",), L.TEST_ROLES, ROLES), "method")
 
 
 @query(f"WITH {_ROLE} SELECT chunk_id, role, role_confidence FROM roled")
@@ -531,7 +532,8 @@ def metric_first_seen(spark, sf):
 o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY importance DESC, role_confidence DESC, score DESC, chunk_id) = 1) SELECT chunk_id, importance, score FROM o ORDER BY importance DESC, role_confidence DESC, score DESC, chunk_id LIMIT 10""")
 def merge_evidence(spark, sf):
     rows = _annotated(spark, sf).select("chunk_id", "section_name", "role", "importance", "role_confidence", "score")
-    parts = [rows.filter(F.col("section_name").isin("results", "method")), rows.filter("role = 'evaluation'")]
+    # Both parts are of the same rows, which are annotated once.
+    parts = [rows.filter(F.col("section_name").isin("results", "method") | (F.col("role") == "evaluation"))]
     return evidence.merge_ranked(parts, "chunk_id", [F.desc("importance"), F.desc("role_confidence"), F.desc("score"), F.asc("chunk_id")], 10).select("chunk_id", "importance", "score")
 
 
