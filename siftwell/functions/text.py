@@ -201,5 +201,5 @@ def number(text: Column, pattern: str, kind: str = "double") -> Column:
 def confidence(value: Column) -> Column:
     """A confidence given as a number or in words, from 0 to 1."""
     low = F.lower(F.trim(value))
-    named = lookup(low, {"very high": 0.95, "high": 0.85, "medium": 0.6, "moderate": 0.6, "low": 0.35, "very low": 0.2}, None)
+    named = lookup(low, {"very high": 0.95, "high": 0.8, "medium": 0.6, "moderate": 0.6, "low": 0.35, "very low": 0.2}, None)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(low.try_cast("double"), named, F.lit(0.5))))

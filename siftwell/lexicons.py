@@ -115,6 +115,39 @@ COMPARISONS = ["compare", "difference", "baseline", "tradeoff"]
 CRITIQUES = ["why", "weakness", "limitation", "critique", "reproduc"]
 PUBLIC_DATASETS = ["librispeech", "imagenet", "coco", "cifar", "mnist", "wmt", "squad"]
 REPO_SOURCE_BONUS = {"paper_link": 0.35, "paperswithcode": 0.25, "github_search": 0.15}
+MODEL_FAMILIES = {"conformer": ["conformer"], "transformer": ["transformer", "attention"], "recurrent": ["lstm", "gru", "rnn"], "cnn": ["cnn", "convolution", "resnet"]}
+TASK_TYPES = {
+    "speech_asr": ["librispeech", "common voice", "speech", "asr", "transcript", "wer"],
+    "image_classification": ["imagenet", "cifar", "mnist", "classification", "accuracy", "top-1"],
+    "sequence_to_sequence": ["translation", "summarization", "seq2seq", "bleu"],
+}
+LOSS_ALIASES = {
+    "cross_entropy": ["cross entropy", "cross-entropy", "ce", "nll"],
+    "bce_with_logits": ["bce", "bcewithlogits", "binary cross entropy", "binary_cross_entropy"],
+    "mse": ["mse", "mean squared error", "l2 loss"],
+    "ctc": ["ctc", "ctc loss"],
+}
+CANONICAL_ARCHITECTURES = {"transformer model": "Transformer", "transformer": "Transformer", "conformer": "Conformer", "rnn": "RNN", "recurrent neural network": "RNN", "cnn": "CNN", "convolutional neural network": "CNN"}
+ARCHITECTURE_ALIASES = {
+    "Mask-Conformer": [r"\bmask[\s-]?conformer\b"], "Transformer": [r"\btransformer\b", r"\btransducer\b"], "Conformer": [r"\bconformer\b"], "CNN": [r"\bcnn\b", r"\bconvolutional neural network\b"],
+    "RNN": [r"\brnn\b", r"\brecurrent neural network\b"], "LSTM": [r"\blstm\b"], "GRU": [r"\bgru\b"], "GAN": [r"\bgan\b", r"\bgenerative adversarial network\b"], "Diffusion": [r"\bdiffusion\b"], "Autoencoder": [r"\bautoencoder\b"],
+    "Graph Neural Network": [r"\bgraph neural network\b", r"\bgnn\b"],
+}
+PROPOSAL_PATTERNS = [r"\bwe propose\b", r"\bwe present(?:ed)?\b", r"\bwe introduce(?:d)?\b", r"\bour proposed\b", r"\bour model\b", r"\bnovel\b", r"\bnamed\b", r"\bcalled\b"]
+BASELINE_PATTERNS = [r"\bbaseline\b", r"\bprior work\b", r"\bprevious best\b", r"\bprevious work\b", r"\bcompared with\b", r"\bcompared to\b", r"\boutperforming\b", r"\brelative to\b", r"\bsimilar approaches\b", r"\bcontemporary work\b"]
+SPECIFICITY = {"Mask-Conformer": 0.45, "Conformer": 0.3, "Transformer": 0.05}
+SUPPRESSED_BY = {"Mask-Conformer": ["Conformer", "Transformer"], "Conformer": ["Transformer"]}
+LOSS_NAMES = ["CrossEntropy", "BCEWithLogits", "MSE", "CTC", "RNNT", "Hinge"]
+OPTIMIZER_NAMES = ["Adam", "AdamW", "SGD", "RMSprop", "Adagrad"]
+DATASET_NAMES = ["ImageNet", "COCO", "CIFAR-10", "CIFAR-100", "MNIST", "LibriSpeech", "SQuAD", "WMT"]
+METRIC_NAMES = ["accuracy", "f1", "precision", "recall", "bleu", "rouge", "wer", "latency"]
+SNIPPETS = {
+    "theorems": (r"(theorem\s+[0-9]+[^.]*\.|theorem[^.]*\.)", 8), "proofs": (r"(proof[^.]*\.)", 8), "complexity_claims": (r"(O\([^)]*\)[^.]*\.)", 8),
+    "system_components": (r"(component[^.]*\.|module[^.]*\.|pipeline[^.]*\.|architecture[^.]*\.)", 10), "performance_claims": (r"((?:latency|throughput|speedup|overhead|efficiency)[^.]*\.)", 10),
+    "benchmarks": (r"(benchmark[^.]*\.|evaluation[^.]*\.|workload[^.]*\.)", 10),
+}
+PAPER_DOMAINS = ["ml", "theory", "systems", "security", "networks", "general"]
+FILE_TITLE = r"(?i)(^[0-9]{4}\.[0-9]{5}(v[0-9]+)?$)|(^[0-9a-f-]{20,}$)"
 # End of fixed values.
 
 #: A lexicon that occurs in the invented test corpus, for queries over it.

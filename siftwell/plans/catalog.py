@@ -564,8 +564,11 @@ def parse_number(spark, sf):
     return table(spark, sf, "events").select("event_id", T.number(F.col("props"), r"([0-9]+(\.[0-9]+)?)").alias("number"))
 
 
-@query("""SELECT p_partkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN p_size % 6 = 5 THEN p_size / 40.0::DOUBLE END, CASE p_size % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.85 WHEN 2 THEN 0.6 WHEN 3 THEN 0.2 END::DOUBLE, 0.5::DOUBLE))) AS confidence FROM part""")
+@query("""SELECT p_partkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(CASE WHEN p_size % 6 = 5 THEN p_size / 40.0::DOUBLE END, CASE p_size % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 WHEN 3 THEN 0.2 END::DOUBLE, 0.5::DOUBLE))) AS confidence FROM part""")
 def coerce_confidence(spark, sf):
     k = F.col("p_size") % 6
     said = F.when(k == 0, " Very High").when(k == 1, "high").when(k == 2, "MEDIUM").when(k == 3, "very low").when(k == 5, (F.col("p_size") / 40.0).cast("string"))
     return table(spark, sf, "part").select("p_partkey", T.confidence(said).alias("confidence"))
+
+
+from . import analysis  # noqa: E402,F401  (registers its queries)

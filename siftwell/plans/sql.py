@@ -141,3 +141,61 @@ def follow_up(query: str) -> str:
 def truncate(text: str, most: int) -> str:
     s = squeeze(text)
     return f"CASE WHEN length({s}) <= {most} THEN {s} ELSE rtrim(substr({s}, 1, {most - 3})) || '...' END"
+
+
+def lower_first(text: str, words) -> str:
+    return "(" + " OR ".join(f"starts_with(lower(trim({text})), {q(w)})" for w in words) + ")"
+
+
+def fragments(text: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, {q('(?i)' + p)})" for p in L.BANNED_FRAGMENTS) + ")"
+
+
+def heavy(text: str) -> str:
+    markers = count(f"lower({text})", r"\[equation\]|=|o\(|\\[a-z]+|\bfrac\b")
+    brackets = f"length(regexp_replace({text}, '[^()\\[\\]{{}}]', '', 'g'))"
+    return f"(regexp_full_match({text}, {q(SYMBOLS_ONLY)}) OR {fragments(text)} OR ({markers} >= 3 AND {letters(text)} < 50) OR ({brackets} >= 12 AND {letters(text)} < 80))"
+
+
+SYMBOLS_ONLY = r"[0-9\s+\-*/^=<>()\[\]{}|.,:;%]+"
+
+
+def metric_line(line: str) -> str:
+    low = f"lower({line})"
+    named = f"(regexp_matches({low}, '\\b(test|dev|baseline|ablation|ours|proposed)\\b') AND regexp_matches({line}, '\\b[0-9]+(\\.[0-9]+)?\\b'))"
+    return f"({any_of(low, L.METRICS)} OR regexp_matches({line}, '\\b[0-9]+(\\.[0-9]+)?\\s*%') OR {named})"
+
+
+def cleaned(source: str, text: str) -> str:
+    """CTEs from a relation to ``cleaned``: it with ``clean`` and ``summary``. RE2 has no look-around: sentence ends are marked first."""
+    mark = r"regexp_replace({0}, '([.!?])\s+([A-Z0-9\[])', '\1' || chr(1) || '\2', 'g')"
+    return f"""c_raw AS (SELECT *, {squeeze(f"replace({text}, chr(0), ' ')")} AS c_raw, {lines(text)} AS c_lines FROM {source}),
+c_marked AS (SELECT *, {squeeze("regexp_replace(c_raw, '(?i)' || chr(92) || 'bEQUATION:' || chr(92) || 's*', '[equation] ', 'g')")} AS c_m FROM c_raw),
+c_adv AS (SELECT *, CASE WHEN regexp_matches(c_m, '^[A-Z0-9\\[]') THEN c_m WHEN instr({mark.format('c_m')}, chr(1)) > 0 THEN ltrim(substr({mark.format('c_m').replace(", 'g')", ")")}, instr({mark.format('c_m').replace(", 'g')", ")")}, chr(1)) + 1)) END AS c_a FROM c_marked),
+c_clean AS (SELECT *, CASE WHEN starts_with(lower(c_raw), 'table:') THEN CASE WHEN len(list_filter(c_lines[2:], lambda s: {metric_line('s')})) > 0 THEN {squeeze(f"array_to_string(list_concat(c_lines[1:1], (list_filter(c_lines[2:], lambda s: {metric_line('s')}))[1:4]), chr(10))")} END
+  WHEN c_raw <> '' AND NOT {lower_first('c_raw', L.BANNED_STARTS)} AND NOT {heavy('c_m')} AND NOT {lower_first('c_a', L.BANNED_STARTS)} AND NOT {heavy('c_a')} THEN c_a END AS clean FROM c_adv),
+c_parts AS (SELECT *, (list_filter(list_transform(string_split({mark.format('clean')}, chr(1)), lambda s: trim(s)), lambda s: s <> ''))[1:152] AS c_p FROM c_clean),
+c_sizes AS (SELECT *, list_transform(range(1, len(c_p) + 1), lambda i: length(array_to_string(c_p[1:i], ' '))) AS c_n FROM c_parts),
+c_taken AS (SELECT *, least(len(list_filter(c_n, lambda n: n <= 300)), len(list_filter(c_n, lambda n: n < 140)) + 1, len(c_p)) AS c_t FROM c_sizes),
+c_packed AS (SELECT *, array_to_string(c_p[1:greatest(c_t, 1)], ' ') AS c_s FROM c_taken),
+c_cut AS (SELECT *, CASE WHEN length(c_s) > 297 THEN trim(regexp_replace(substr(c_s, 1, 297), ' [^ ]*$', '')) ELSE c_s END AS c_e FROM c_packed),
+cleaned AS (SELECT * EXCLUDE (c_raw, c_lines, c_m, c_a, c_p, c_n, c_t, c_s, c_e), CASE WHEN len(c_p) > 0 THEN substr(CASE WHEN c_t < len(c_p) THEN CASE WHEN ends_with(c_e, '...') THEN c_e ELSE c_e || '...' END ELSE c_s END, 1, 300) END AS summary FROM c_cut)"""
+
+
+def quality_chunk(summary: str, role: str, confidence: str) -> str:
+    s = f"trim(coalesce({summary}, ''))"
+    # RE2's word boundary is of ASCII: other letters are made word characters first.
+    low, n = f"lower({s})", count(f"regexp_replace({s}, '[À-ÖØ-öø-ɏͰ-῿Ⰰ-퟿]', '_', 'g')", r"\b[A-Za-z][A-Za-z\-]*\b")
+    metric = signals(s)["metric"]
+    short = f"""({words(s)} > 0 AND {words(s)} <= 40 AND (({role} IN ('equation', 'formula', 'theory') AND (contains({s}, '=') OR contains({low}, '[equation]'))) OR ({role} = 'evaluation' AND {metric})
+  OR ({role} IN ('method', 'algorithm') AND {any_of(low, ['objective', 'loss', 'defined as', 'denotes', 'represents'])})))"""
+    phrase = f"({n} <= 1 OR ({n} <= 5 AND NOT regexp_matches({s}, {q('(?i)' + chr(92) + 'b(' + '|'.join(L.VERBS) + ')' + chr(92) + 'b')})))"
+    good = f"({role} <> 'other' AND length({s}) >= 40 AND regexp_matches({s}, '^[A-Z0-9\\[]') AND NOT {lower_first(s, L.BANNED_STARTS)} AND NOT regexp_full_match({s}, {q(SYMBOLS_ONLY)}) AND NOT {fragments(s)} AND {letters(s)} >= 20 AND NOT {phrase})"
+    return f"({confidence} >= 0.35 AND ({short} OR {good}))"
+
+
+def formula_bonus(role: str, text: str) -> str:
+    low = f"lower({text})"
+    signal = f"({any_of(low, ['equation', 'formula', 'objective', 'defined as', 'denotes'])} OR regexp_matches({text}, '=|\\\\[a-zA-Z]+|O\\(|argmax|argmin'))"
+    return f"""least(1.0::DOUBLE, CASE WHEN {role} IN ('equation', 'formula') THEN 1.0::DOUBLE WHEN {role} = 'theory' THEN 0.8 WHEN {role} IN ('method', 'algorithm') THEN 0.35 ELSE 0.0 END + CASE WHEN {signal} THEN 0.45::DOUBLE ELSE 0 END
+  + CASE WHEN regexp_matches({low}, '\\b(w0|ba|ax|h)\\b') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN {any_of(text, ['Δ', '∆', '∈', '×'])} THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN {any_of(low, ['defined as', 'denotes', 'represents', 'objective', 'loss'])} THEN 0.25::DOUBLE ELSE 0 END)"""

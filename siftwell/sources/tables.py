@@ -36,25 +36,33 @@ def pages_from_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def binary_documents(spark: SparkSession, path: str, extract, pattern: str = "*.pdf") -> DataFrame:
-    """Binary files through a text extractor (bytes -> text) that the caller brings; a failure gives an error, not a failed job."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+def write_index(df: DataFrame, path: str, key: str = "paper_id") -> None:
+    """Replaces the partitions of the papers in df, leaving all others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    out.append((name, extract(content), None))
-                except Exception as e:  # the row says what went wrong
-                    out.append((name, None, repr(e)))
-            import pandas as pd
 
-            yield pd.DataFrame(out, columns=["path", "text", "error"])
+def write_embedded(rows: DataFrame, vectors: DataFrame, path: str, on: str = "chunk_id", key: str = "paper_id") -> None:
+    """write_index of rows with their vectors; a row without a vector, or a vector without a row, is an error, not a loss."""
+    both = rows.join(vectors.select(on, "embedding"), on, "full")
+    checked = both.withColumn("embedding", F.when(F.col("embedding").isNotNull() & F.col(key).isNotNull(), F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("no pair for "), F.col(on).cast("string")))))
+    write_index(checked, path, key)
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
+def reset_papers(spark: SparkSession, paths: list[str], papers: list, key: str = "paper_id") -> None:
+    """Removes all that was derived for some papers from partitioned tables, leaving other papers as they are."""
+    fs = None
+    for path in paths:
+        for paper in papers:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={paper}")
+            fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(where, True)
 
-def write_index(df: DataFrame, path: str, key: str = "paper_id") -> None:
-    """Replaces the partitions of the papers in df, leaving all others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+def reset_all(spark: SparkSession, paths: list[str], key: str = "paper_id") -> None:
+    """Empties derived tables; their schema stays readable."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            schema = spark.read.parquet(path).schema
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
