@@ -11,13 +11,20 @@ from .. import lexicons as L
 from . import annotate, documents, evidence, parsing
 
 
-def build_index(docs: DataFrame, id_col: str = "paper_id", text_col: str = "text", aliases: dict[str, str] = L.SECTION_ALIASES, most: int = 400, overlap: int = 50, count: Callable[[str], int] = parsing.count_words) -> dict[str, DataFrame]:
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """rows written and read again: their lineage ends here, and all that follows reads them from there."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def build_index(docs: DataFrame, staging: str, id_col: str = "paper_id", text_col: str = "text", aliases: dict[str, str] = L.SECTION_ALIASES, most: int = 400, overlap: int = 50, count: Callable[[str], int] = parsing.count_words) -> dict[str, DataFrame]:
     """sections, subsections, chunks (clean, with role and importance, those that pass the gate), domains and status of documents
-    (id, text). A document whose text is null or blank is marked in status and gives no other rows; the others aren't held up."""
+    (id, text). A document whose text is null or blank is marked in status and gives no other rows; the others aren't held up.
+    Segments and clean chunks are staged in a folder that all share, so that texts are parsed once for all outputs."""
     good = docs.filter(F.trim(F.coalesce(text_col, F.lit(""))) != "")
     lines = documents.document_lines(good, id_col, text_col).withColumn("page_number", F.lit(None).cast("int"))
-    segs = parsing.parse_sections(lines, id_col, aliases)
-    chunks = prepared(parsing.chunk_sections(segs, id_col, most, overlap, count), id_col)
+    segs = stored(parsing.parse_sections(lines, id_col, aliases), f"{staging}/segments")
+    chunks = stored(prepared(stored(cleaned(parsing.chunk_sections(segs, id_col, most, overlap, count)), f"{staging}/clean"), id_col), f"{staging}/chunks")
     counts = segs.groupBy(F.col(id_col).alias("s_id")).agg(F.count("*").alias("n_segments"))
     status = docs.select(id_col).join(counts, F.col(id_col) == F.col("s_id"), "left").select(id_col, F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.when(F.col("n_segments").isNull(), "no text").alias("error"))
     return {
@@ -26,10 +33,15 @@ def build_index(docs: DataFrame, id_col: str = "paper_id", text_col: str = "text
     }
 
 
+def cleaned(chunks: DataFrame) -> DataFrame:
+    """Chunks with their clean text as content, null where nothing is left."""
+    return annotate.plain(annotate.with_clean(chunks, "content", "f_clean").withColumn("content", F.col("f_clean")))
+
+
 def prepared(chunks: DataFrame, id_col: str) -> DataFrame:
-    """Chunks as they are indexed: clean text, role, importance, summary, of those that pass the gate; their index stays."""
-    clean = annotate.with_clean(chunks, "content", "f_clean").withColumn("content", F.col("f_clean")).drop(*[c for c in ("f_raw", "f_marked", "f_start", "f_advanced", "f_clean")])
-    return annotate.annotated(clean.filter("content is not null"), (id_col,)).filter("quality_pass").drop("n_candidates", "quality_score", "quality_pass")
+    """Clean chunks as they are indexed: with role, importance and summary, those that pass the gate; their index and its basis, the
+    number of all chunks, stay."""
+    return annotate.annotated(chunks, (id_col,)).filter("quality_pass").drop("n_candidates", "quality_score", "quality_pass")
 
 
 def top_chunk_domains(chunks: DataFrame, id_col: str, k: int = 20) -> DataFrame:
