@@ -134,12 +134,21 @@ def chunk_sections(spark, sf):
     return parsing.chunk_sections(_parsed(spark, sf), "doc_id", 120, 20)
 
 
-@query()
+_TABLE = "'TABLE:' || chr(10) || 'Model | WER' || chr(10) || url || ' | 5.1' || chr(10) || 'Our big model | 4'"
+_NAMED = "[" + ", ".join(f"CASE WHEN contains(lower(whole), {X.q(w)}) THEN {X.q(w.upper() if len(w) <= 4 else w.title())} END" for w in L.TABLE_METRICS) + "]"
+
+
+@query(f"""WITH b AS (SELECT page_id AS id, (page_id % 3 + 1)::INTEGER AS page_number, 'Table ' || (page_id % 4)::VARCHAR || ': benchmark results' AS caption, 'Table ' || (page_id % 4)::VARCHAR AS table_label, {_TABLE} AS raw, url FROM pages), w AS (SELECT *, caption || chr(10) || raw AS whole FROM b)
+SELECT id, 0 AS table_index, table_label, caption, page_number, md5(whole) AS text_md5, 'results' AS table_type, array_to_string(list_filter({_NAMED}, lambda x: x IS NOT NULL), ',') AS metric_names, array_to_string(list_filter(['Model', trim(url), 'Our big model'], lambda c: length(c) >= 2 AND NOT (regexp_matches(c, '[0-9]') AND len(string_split({X.squeeze('c')}, ' ')) <= 2)), ',') AS model_names,
+ CASE page_number WHEN 1 THEN 'method' ELSE 'results' END AS section_name, CASE page_number WHEN 1 THEN '0,1,2' WHEN 2 THEN '0,1,2,3' END AS linked_indexes FROM w""")
 def table_artifacts(spark, sf):
-    """Tables among the blocks of pages; compared with a plain version on fixtures in tests."""
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit(1).alias("page_number"), F.posexplode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), r"\n\s*\n")).alias("block_index", "text"))
-    segs = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit(1).alias("page_number"), F.lit(0).alias("section_order"), F.lit("results").alias("section_name"))
-    return parsing.table_artifacts(p, segs)
+    p = table(spark, sf, "pages").withColumn("page_number", (F.col("page_id") % 3 + 1).cast("int"))
+    caption = F.concat(F.lit("Table "), (F.col("page_id") % 4).cast("string"), F.lit(": benchmark results"))
+    body = F.concat(F.lit("TABLE:\nModel | WER\n"), "url", F.lit(" | 5.1\nOur big model | 4"))
+    blocks = p.select(F.col("page_id").alias("id"), "page_number", F.posexplode(F.array(caption, body, F.lit("plain"))).alias("block_index", "text"))
+    segs = p.select(F.col("page_id").alias("id"), F.inline(F.array(*[F.struct(F.lit(n).alias("page_number"), F.lit(n - 1).alias("section_order"), F.lit(s).alias("section_name")) for n, s in ((1, "method"), (2, "results"))])))
+    rows = parsing.table_artifacts(blocks, segs)
+    return rows.select("id", "table_index", "table_label", "caption", "page_number", F.md5("normalized_table_text").alias("text_md5"), "table_type", F.array_join("metric_names", ",").alias("metric_names"), F.array_join("model_names", ",").alias("model_names"), "section_name", "linked_indexes")
 
 
 # Claims and evidence
