@@ -42,7 +42,7 @@ from .token_output import slices
 SHINGLE = 5
 MIN_PERCENT = 80
 PERMUTATIONS, ROWS, BANDS = 48, 4, 24
-KEPT = 400_000
+KEPT = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -111,7 +111,7 @@ def _signatures(shingle: int, carried: list[str] = []):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2 << 20):
                 sets = [shingle_set(t, shingle) for t in part["text"].to_pylist()]
                 prints = [_digest(s) for s in sets]
                 keys = [signer.bands(s) if len(s) else None for s in sets]
@@ -123,7 +123,7 @@ def _signatures(shingle: int, carried: list[str] = []):
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2 << 20):
                 sets = [shingle_set(t, shingle) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["print", "shingles"])
 
