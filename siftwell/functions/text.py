@@ -18,6 +18,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once, where use refers to it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def kwcount(text: Column, word: str) -> Column:
     """Non-overlapping occurrences of a substring."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")

@@ -127,13 +127,13 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 400, ov
     return kept.mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, chunk_index int, content string, token_count int")
 
 
-def claim_units(text: Column, joins: Column | None = None) -> Column:
-    """Sentences of a text, each one that goes on from the one before (no capital at its start) merged into it."""
-    units = F.flatten(F.transform(T.lines(text), lambda s: F.split(s, r"(?<=[.!?])\s+")))
+def claim_units(text: Column) -> Column:
+    """Sentences of a text, each one that goes on from the one before (no capital at its start) merged into it. The places where
+    units start cut the list of sentences, so that each is looked at once."""
+    units = F.filter(F.flatten(F.transform(T.lines(text), lambda s: F.split(s, r"(?<=[.!?])\s+"))), lambda u: u != "")
 
-    def add(acc: Column, u: Column) -> Column:
-        goes_on = (F.size(acc) > 0) & ~u.rlike(r"^[\p{Lu}0-9\[]")
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(goes_on, F.concat(head, F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(" "), u)))).otherwise(F.concat(acc, F.array(u)))
+    def cut(u: Column) -> Column:
+        starts = F.filter(F.transform(u, lambda s, i: F.when((i == 0) | s.rlike(r"^[\p{Lu}0-9\[]"), i + 1)), lambda i: i.isNotNull())
+        return T.bind(F.struct(starts.alias("at"), F.size(u).alias("n")), lambda x: F.transform(x["at"], lambda s, k: F.array_join(F.slice(u, s, F.coalesce(F.try_element_at(x["at"], k + 2), x["n"] + 1) - s), " ")))
 
-    return F.aggregate(F.filter(units, lambda u: u != ""), F.array().cast("array<string>"), add)
+    return T.bind(units, cut)

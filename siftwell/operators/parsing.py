@@ -29,9 +29,13 @@ def table_block(lines: Column) -> Column:
     """Lines of at least two cells (parted by a tab or two blanks) as piped rows of one width; null unless there are two such lines."""
     cells = lambda s: F.filter(F.transform(F.split(s, r"\s{2,}|\t+"), lambda c: F.trim(c)), lambda c: c != "")
     rows = F.filter(F.transform(lines, cells), lambda r: F.size(r) >= 2)
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    piped = F.transform(rows, lambda r: F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "))
-    return F.when(F.size(rows) >= 2, F.concat(F.lit("TABLE:\n"), F.array_join(piped, "\n")))
+
+    def piped(x: Column) -> Column:
+        return F.transform(x["rows"], lambda r: F.array_join(F.concat(r, F.array_repeat(F.lit(""), x["width"] - F.size(r))), " | "))
+
+    wide = lambda r: F.struct(r.alias("rows"), F.array_max(F.transform(r, lambda c: F.size(c))).alias("width"))
+    made = T.bind(T.bind(rows, wide), lambda x: F.when(F.size(x["rows"]) >= 2, F.array_join(piped(x), "\n")))
+    return F.concat(F.lit("TABLE:\n"), made)
 
 
 def equation_line(line: Column, marks: list[str] = L.EQUATION_MARKS) -> Column:

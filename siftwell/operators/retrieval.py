@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import gates as G
 from ..functions import structure as S
 from ..functions import text as T
 from ..functions.vectors import cosine, literal
@@ -124,6 +125,38 @@ def select_balanced(rows: DataFrame, key: tuple[str, ...], sections: list[str],
     return rerank_group(merged, key, kind, k, formula, **extra)
 
 
+def retrieve_sections(rows: DataFrame, key: tuple[str, ...], kind: str, k: int = 3, formula: bool = False, references: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
+    """Scored sections (content, section_name, section_order) of any number of queries: over-fetch, gate, 0.7 score + 0.3 prior (and a bonus
+    in formula mode), one of each name, the best k of each query."""
+    found = gate(A.annotated(overfetched(rows, key, k, 3), key, keywords, roles), key, formula)
+    if not references:
+        found = found.filter(~F.coalesce(T.section_name(F.col("section_name")) == "references", F.lit(False)))
+    value = 0.7 * F.col("score") + 0.3 * S.section_prior(F.lit(kind), F.col("section_name"))
+    if formula:
+        value = value + 0.18 * T.formula_section_bonus(F.col("section_name"))
+    named = found.withColumns({"value": F.round(value, 6), "weight": S.section_weight(F.col("section_name")), "norm": F.coalesce(T.section_name(F.col("section_name")), F.lit(""))})
+    order = [F.desc("value"), F.desc("quality_score"), F.desc("weight"), F.asc("section_order"), F.asc("chunk_id")]
+    one = named.withColumn("r", F.row_number().over(Window.partitionBy(*key, "norm").orderBy(*order))).filter("r = 1").drop("r")
+    return one.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("place") <= k).drop("norm", "weight")
+
+
+def retrieve_subsections(rows: DataFrame, key: tuple[str, ...], sections: list[str], k: int = 6, formula: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
+    """Scored subsections of the given sections: over-fetch, gate, each section's share of k by weighted score in the order of the
+    sections, then the best of the rest, k in all for each query."""
+    wanted = rows.filter(F.col("section_name").isin(sections)) if sections else rows
+    found = gate(A.annotated(overfetched(wanted, key, k, 6), key, keywords, roles), key, formula)
+    value = F.col("score") * S.section_weight(F.col("section_name"))
+    if formula:
+        value = value + 0.16 * G.formula_subsection_bonus(F.col("subsection_name"), F.col("content"))
+    page = F.coalesce(F.nullif("page_number", F.lit(0)), F.lit(10**6)) if "page_number" in rows.columns else F.lit(0)
+    order = [F.desc("value"), F.desc("quality_score"), page.asc(), F.asc("chunk_id")]
+    ranked = found.withColumn("value", F.round(value, 6)).withColumn("r", F.row_number().over(Window.partitionBy(*key, "section_name").orderBy(*order)))
+    share = max(1, k // max(1, len(sections)))
+    at = T.lookup(F.col("section_name"), {s: i for i, s in enumerate(sections)}, len(sections)) if sections else F.lit(0)
+    tier = F.when(F.col("r") <= share, at).otherwise(len(sections) + 1)
+    return ranked.withColumn("tier", tier).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("tier", *order))).filter(F.col("place") <= k).drop("r", "tier")
+
+
 def balanced_select(rows: DataFrame, k: int, per_section: int = 3, near: float = 0.12) -> DataFrame:
     """Each section's best few near its best, then the best of the rest until k are found."""
     order = [F.desc("rerank_score"), F.desc("score"), F.desc("importance"), F.asc("chunk_index"), F.asc("chunk_id")]

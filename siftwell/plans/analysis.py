@@ -66,6 +66,37 @@ def candidate_scores(spark, sf):
     return retrieval.normalised(annotate.annotated(rows, ("paper_id",), L.TEST_ROLES, ROLES), ("paper_id",)).select("chunk_id", "semantic_rank_score", "quality_pass")
 
 
+def _gate_only(fetched: int, where: str = "") -> str:
+    fetch = _FETCH.replace("<= 40", f"<= {fetched}").replace("FROM alltexts)", f"FROM alltexts{where})")
+    bonus = X.formula_bonus("role", "content")
+    return f"""{_ranked(fetch, 'paper_id')}, g1 AS (SELECT *, quality_pass OR {bonus} >= 0.75 AS ok FROM pick), g2 AS (SELECT *, bool_or(ok) OVER (PARTITION BY paper_id) AS any_ok FROM g1), g3 AS (SELECT *, max(score) OVER (PARTITION BY paper_id) AS best FROM g2 WHERE ok OR NOT any_ok),
+g4 AS (SELECT * FROM g3 WHERE NOT (((quality_score <= -0.5 AND score < best - 0.01) OR (quality_score <= -0.2 AND score < best - 0.05)) AND NOT ({bonus} >= 0.75 AND score >= best - 0.12)))"""
+
+
+_SECTION_BONUS = f"CASE WHEN section_name IN ('method', 'theory') THEN 1.0::DOUBLE WHEN section_name IN ({', '.join(map(X.q, L.FORMULA_SECTIONS))}) THEN 0.6 WHEN section_name IN ('results', 'discussion') THEN 0.15 ELSE 0.0 END"
+_SECTION_PRIOR = "CASE " + " ".join(f"WHEN section_name = {X.q(k)} THEN {v}::DOUBLE" for k, v in L.SECTION_PRIORS["method"].items()) + " ELSE 0.1 END"
+_SECTION_WEIGHT = X.case("section_name", L.SECTION_WEIGHTS, "1.0")
+
+
+@query(f"""{_gate_only(12)}, v AS (SELECT *, round(0.7::DOUBLE * score + 0.3::DOUBLE * {_SECTION_PRIOR} + 0.18::DOUBLE * {_SECTION_BONUS}, 6) AS value, {_SECTION_WEIGHT} AS weight FROM g4 WHERE section_name <> 'references'),
+o AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY paper_id, section_name ORDER BY value DESC, quality_score DESC, weight DESC, chunk_index, chunk_id) = 1)
+SELECT paper_id, section_name, chunk_id, value FROM o QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY value DESC, quality_score DESC, weight DESC, chunk_index, chunk_id) <= 3""")
+def retrieve_sections(spark, sf):
+    rows = _scored(spark, sf).withColumn("section_order", F.col("chunk_index"))
+    return retrieval.retrieve_sections(rows, ("paper_id",), "method", 3, True, False, L.TEST_ROLES, ROLES).select("paper_id", "section_name", "chunk_id", "value")
+
+
+_ORDERED = ["method", "results", "theory"]
+_SIGNAL = f"({X.any_of('lower(content)', ['equation', 'formula', 'objective', 'defined as', 'denotes'])} OR regexp_matches(content, '=|\\\\[a-zA-Z]+|O\\(|argmax|argmin'))"
+
+
+@query(f"""{_gate_only(24, " WHERE section_name IN ('method', 'results', 'theory')")}, v AS (SELECT *, round(score * ({_SECTION_WEIGHT})::DOUBLE + 0.16::DOUBLE * least(1.0::DOUBLE, CASE WHEN {X.any_of("lower(coalesce(subsection_name, ''))", L.FORMULA_SUBSECTIONS)} THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN {_SIGNAL} THEN 0.6::DOUBLE ELSE 0 END), 6) AS value FROM g4),
+r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, section_name ORDER BY value DESC, quality_score DESC, chunk_id) AS r FROM v), t AS (SELECT *, CASE WHEN r <= 2 THEN list_position({X.arr(_ORDERED)}, section_name) - 1 ELSE 4 END AS tier FROM r)
+SELECT paper_id, chunk_id, value FROM t QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY tier, value DESC, quality_score DESC, chunk_id) <= 6""")
+def retrieve_subsections(spark, sf):
+    return retrieval.retrieve_subsections(_scored(spark, sf), ("paper_id",), _ORDERED, 6, True, L.TEST_ROLES, ROLES).select("paper_id", "chunk_id", "value")
+
+
 @query()
 def balanced_chain(spark, sf):
     """Over-fetch, gate, rerank and balanced selection in one; compared with a plain version in tests."""
