@@ -114,10 +114,10 @@ class SquareCatcher:
     def note(self, a: int, e: int, p: int) -> None:
         """Takes up that words a to e - 1 agree with those p further on."""
         if e - a >= p:
-            reach = self.reach[a:e]
-            further = reach < e + p
+            reach, period = self.reach[a:e], self.period[a:e]
+            further = (reach < e + p) | ((reach == e + p) & (period > p))
             reach[further] = e + p
-            self.period[a:e][further] = p
+            period[further] = p
 
     def close(self, p: int) -> None:
         a, e = self.open.pop(p)
