@@ -5,7 +5,7 @@ n-grams (word edges marked), longest order first: the first order of which any n
 log frequencies. A text's language is the one with the highest mean score per word.
 
 Words are runs of letters (\\p{L}) in lower case. The model is learned on Spark from a sample of labelled documents of at
-most about MAX_TRAIN (chosen by hash), for all languages in it, and keeps the MAX_WORDS most frequent words of at least
+most about MAX_TRAIN (chosen by a hash of the row's place, so that null and hot ids take part like others), for all languages in it, and keeps the MAX_WORDS most frequent words of at least
 MIN_COUNT occurrences and the MAX_GRAMS most frequent n-grams of each order. What is kept is the size of the model; what
 is scored is every word of every text.
 
@@ -40,15 +40,22 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of their key."""
-    share = most / max(1, rows.count())
-    return rows if share >= 1 else rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def below(most: int, n: int) -> int:
+    """The bound under which about ``most`` of n hashes of 63 bits lie; above 0 for any n."""
+    return max(1, (most << 63) // n)
+
+
+def bounded_sample(rows: DataFrame, most: int, *keys: Column) -> DataFrame:
+    """About ``most`` rows at most, and one at least if there is any, chosen row by row by a hash of the keys."""
+    hashed = F.shiftrightunsigned(F.xxhash64(*keys), 1)
+    n, least = rows.agg(F.count("*"), F.min(hashed)).first()
+    return rows if n <= most else rows.filter(hashed <= max(below(most, n), least))
 
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
     """Learns from rows (doc_id, text, lang); the result holds at most max_words + len(ORDERS) * max_grams entries."""
-    rows = bounded_sample(labelled.filter("text is not null and lang is not null"), "doc_id", max_train, 9)
+    given = labelled.filter("text is not null and lang is not null").withColumn("row", F.monotonically_increasing_id())
+    rows = bounded_sample(given, max_train, F.lit(9), F.col("row")).drop("row")
     langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return {"langs": [], "words": {}, "grams": {}}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,7 +77,8 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int
 
 def _pack(capacity: int, shards: int):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "copy"], na_position="last", kind="stable")
+        # Nulls would turn ids into doubles: they come as 0 with a mark.
+        rows = rows.sort_values(["no_id", "doc_id", "copy"], kind="stable").reset_index(drop=True)
         sources = {s: 1 << i for i, s in enumerate(sorted(rows["source"].dropna().unique()))}
         none = 1 << len(sources)
         repeated = rows["cluster"].value_counts()
@@ -84,19 +86,20 @@ def _pack(capacity: int, shards: int):
         full, items = [], []
         for r in rows.itertuples():
             whole, rest = divmod(int(r.size), capacity)
-            full += [(r.doc_id, r.copy, p) for p in range(whole)]
+            full += [(r.Index, r.copy, p) for p in range(whole)]
             if rest or not whole:
-                items.append((rest, sources.get(r.source, none), masks.get(r.cluster, 0), r.doc_id, r.copy, whole))
+                items.append((rest, sources.get(r.source, none), masks.get(r.cluster, 0), r.Index, r.copy, whole))
         items.sort(key=lambda x: -x[0])
         bins = best_fit([x[:3] for x in items], capacity)
-        out = [(d, c, p, b, s, at) for (s, _, _, d, c, p), (b, at) in zip(items, bins)]
+        out = [(i, c, p, b, s, at) for (s, _, _, i, c, p), (b, at) in zip(items, bins)]
         first = max((b for b, _ in bins), default=-1) + 1
-        out += [(d, c, p, first + i, capacity, 0) for i, (d, c, p) in enumerate(full)]
-        out = pd.DataFrame(out, columns=["doc_id", "copy", "piece", "bin_id", "size", "bin_start"])
+        out += [(i, c, p, first + k, capacity, 0) for k, (i, c, p) in enumerate(full)]
+        out = pd.DataFrame(out, columns=["row", "copy", "piece", "bin_id", "size", "bin_start"])
         by = out.groupby("bin_id")["size"]
         out["n_in_bin"], out["residual"] = by.transform("count"), capacity - by.transform("sum")
         out["bin_id"] = out["bin_id"] * shards + int(rows["shard"].iloc[0])
-        out["doc_id"] = out["doc_id"].astype("Int64")
+        at = out["row"].to_numpy()
+        out["doc_id"] = pd.arrays.IntegerArray(rows["doc_id"].to_numpy(np.int64)[at], rows["no_id"].to_numpy(bool)[at])
         return out[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     return pack
@@ -129,7 +132,8 @@ def pack(docs: DataFrame, size: Column | None = None, cluster: Column | None = N
     items, n = scratch.save_counted(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.cast("long").alias("size"), cluster.alias("cluster"), F.monotonically_increasing_id().alias("row")))
     shards = max(1, -(-n // shard_items))
     shard = F.pmod(F.xxhash64(F.lit(8), F.coalesce(F.col("doc_id").cast("string"), F.col("cluster")), "copy"), F.lit(shards))
-    return numbered(items, scratch).drop("row").withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(capacity, shards), SCHEMA)
+    dealt = numbered(items, scratch).drop("row").withColumn("shard", shard).withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    return dealt.groupBy("shard").applyInPandas(_pack(capacity, shards), SCHEMA)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     ship(spark)
     scratch = Scratch(spark, "quality")
     marked = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    chosen = scratch.save(bounded_sample(marked.filter(~held_out(F.col("doc_id"), 5, 0)), "doc_id", max_train, 10))
+    chosen = scratch.save(bounded_sample(marked.filter(~held_out(F.col("doc_id"), 5, 0)), max_train, F.lit(10), F.col("doc_id")))
     if chosen.count() <= 2 * max_train:
         chosen = F.broadcast(chosen)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")

@@ -139,20 +139,38 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def masked(text: str, spans: list[dict], mask: str) -> str:
+    """The text with each stretch that spans (by start) cover replaced by a mask."""
+    parts, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], mask]
+        at = max(at, s["end"])
+    return "".join([*parts, text[at:]])
+
+
+def _mask(columns: list[str], mask: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts, lengths = part["text"].to_pylist(), part["spans"].value_lengths().to_pylist()
+                for i in [i for i, n in enumerate(lengths) if n]:
+                    texts[i] = masked(texts[i], part["spans"][i].as_py(), mask)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part[c] for c in columns], names=columns)
+
+    return run
+
+
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with each found span replaced by a mask (overlapping spans by one), and n_chars brought in line if there."""
+    """docs with each found span replaced by a mask (overlapping spans by one), and n_chars brought in line if there. Each text is
+    cut at its spans once, whatever their number."""
     columns = docs.columns
     renamed = docs.withColumnsRenamed({c: f"own {c}" for c in ("base", "spans") if c in columns})
     found = find_secrets(renamed, renamed.columns)
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        text = F.when(new, F.concat(acc["text"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["text"])
-        return F.struct(text.alias("text"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    cut = F.aggregate("spans", start, step, lambda acc: F.concat(acc["text"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
+    columns_in = found.columns
+    schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes)
+    out = found.mapInArrow(_mask(columns_in, mask), schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.drop("base", "spans").withColumnsRenamed({f"own {c}": c for c in ("base", "spans")}).select(*columns)

@@ -13,9 +13,9 @@ count, budget and truncation questions from the stored array alone, without enco
 
 Positions count characters of the text as it is given. Words of any script go the same way: the tokenizer's own normalizer
 and pre-tokenizer cut a word into pieces, and the recurrence runs over each piece's bytes, so that work is linear in the
-length of a text without blanks. Parts of a text that normal forms join (a letter and its combining marks) count as they end;
-for a prefix that ends within such a part, the library encodes the piece that it stands in, and for a text whose normal
-form isn't that of its parts, each prefix.
+length of a text without blanks, composed or not. Parts of a text that normal forms join (a letter and its combining marks) count
+as they end; a prefix that ends within such a part goes on from the recurrence's state at the part's start with the normal form of
+what it has of the part. Only a text whose normal form isn't that of its parts one after another would be encoded prefix by prefix.
 
 Defined results: null and empty texts have the single prefix of length 0 with count 0; a null doc_id and repeated rows
 give a row each; other columns are left out; an empty table gives an empty result.
@@ -42,6 +42,8 @@ _END = "</w>"
 _NEVER, _ONE = 1 << 60, (1,)
 #: Prefixes of this length are kept with their counts, so many at most: words share them.
 HEAD, HEADS = 6, 100_000
+#: Pieces up to this length are cut anew with what is added to them; the tokenizer's contractions are no longer than that.
+SHORT = 8
 #: Pairs of tokens whose compatibility is kept, and normal forms of single characters.
 PAIRS, FORMS = 1_000_000, 50_000
 _tables: dict[str, WordTable] = {}
@@ -71,6 +73,8 @@ class PrefixCounter:
         self.after: dict[str, dict[str, bool]] = defaultdict(dict)
         self.ends: dict[str, dict[str, bool]] = defaultdict(dict)
         self.n_pairs = 0
+        #: The longest token, in symbols: what goes on from a prefix looks back so far.
+        self.back = max(map(len, self.kinds))
         self.forms: dict[str, str] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
@@ -217,18 +221,24 @@ class PrefixCounter:
             whole.append("" if blank and form == " " else form)
             blank = form == " " or blank and not form
         normal = "".join(whole)
-        # Marks after the dot of a lower-cased İ would change places if they were normalised again.
-        if ("İ" in text and len(parts) < len(text)) or normal != self.encoder.tokenizer.normalizer.normalize_str(text):
+        if normal != self.encoder.tokenizer.normalizer.normalize_str(text):
             return self.by_library(text)
         pieces = [(normal[a:b], a) for _, (a, b) in self.encoder.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
         counts = [0, *self.counted(pieces, len(normal))]
-        out, at, k = [], 0, 0
+        out, at, k, tail = [], 0, 0, None
         for part, form in zip(parts, whole):
             if len(part) > 1:
                 while k < len(pieces) and pieces[k][1] + len(pieces[k][0]) < at:
-                    k += 1
+                    k, tail = k + 1, None
                 start = min(pieces[k][1], at) if k < len(pieces) else at
-                out += [counts[start] + len(self.encoder.tokenizer.encode(normal[start:at] + part[:i], add_special_tokens=False).ids) for i in range(1, len(part))]
+                if at - start > SHORT and tail is None:
+                    tail = _Tail(self, pieces[k][0])
+                for i in range(1, len(part)):
+                    more = self.form(part[:i])
+                    if at - start > SHORT:
+                        out.append(counts[start] + tail.count(at - start, more))
+                    else:
+                        out.append(counts[start] + sum(self.piece(q)[-1] for q in PIECE.findall(normal[start:at] + more)))
             at += len(form)
             out.append(counts[at])
         return out
@@ -252,6 +262,29 @@ class PrefixCounter:
         return tuple(self.counted([(m[0], m.start()) for m in PIECE.finditer(word.lower())], len(word)))
 
 
+class _Tail:
+    """A piece whose prefixes go on with other characters: its recurrence's states are kept, so that only what is added counts."""
+
+    def __init__(self, counter: PrefixCounter, piece: str):
+        self.counter, self.symbols = counter, symbols(piece)
+        self.last, self.opened, self.closed = counter.extend(self.symbols, [""], [0], [0])
+        self.ends = [0, *accumulate(len(c.encode()) for c in piece)]
+        # A character of the piece's kind: what goes on in the same piece after it does so after the piece.
+        self.kind = "a" if piece[0].isalpha() else "!"
+
+    def count(self, n: int, more: str) -> int:
+        """Tokens of the first n characters and of what is added to them."""
+        first, *rest = PIECE.findall(self.kind + more)
+        end = self.ends[n]
+        if len(first) > 1:
+            a = max(0, end - self.counter.back)
+            text = self.symbols[a:end] + symbols(first[1:])
+            own = self.counter.extend(text, self.last[a : end + 1], self.opened[a : end + 1], self.closed[a : end + 1])[2][-1]
+        else:
+            own = self.closed[end]
+        return own + sum(self.counter.piece(q)[-1] for q in rest)
+
+
 def parts_of(text: str) -> list[str]:
     """The parts of a text whose normal forms (NFC) stand side by side in that of the text."""
     if is_normalized("NFC", text):
