@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,36 +84,34 @@ def linked(tables: DataFrame, segs: DataFrame, span: int = 2) -> DataFrame:
     return found.groupBy("id", "table_id").agg(F.array_join(F.array_sort(F.collect_set(F.greatest(F.col("o"), F.lit(0)))), ",").alias("linked_indexes"))
 
 
-def pack_units(units: list[tuple[str, int]], most: int, overlap: int) -> list[tuple[str, int]]:
-    """Greedy chunks of (text, tokens) of at most ``most`` tokens, each repeating the last units of the one before up to
-    ``overlap`` tokens (one unit at least). A unit too large for a chunk is one by itself, and units then pending are lost."""
-    out, held, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal held, size
-        out.append(("\n".join(u for u, _ in held), size))
-        keep, kept = [], 0
-        for u, n in reversed(held):
-            if keep and kept + n > overlap:
-                break
-            keep.insert(0, (u, n))
-            kept += n
-        held, size = keep, kept
-
-    for unit, n in units:
-        if n >= most:
-            out.append((unit, n))
-            held, size = [], 0
-            continue
-        if held and size + n > most:
-            flush()
-        held.append((unit, n))
-        size += n
-    if held:
-        flush()
+def pack_ranges(counts: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """Greedy chunks of units of so many tokens each, as ranges: at most ``most`` tokens, each repeating the last units of the one
+    before up to ``overlap`` tokens (one unit at least). A unit too large for a chunk is one by itself, and units then pending
+    are lost. Ends and overlaps are found by search among the cumulative counts."""
+    total = [0, *accumulate(counts)]
+    large = [i for i, n in enumerate(counts) if n >= most]
+    out, start, new, n = [], 0, 0, len(counts)  # start: first unit held; new: first one that no chunk has yet
+    while start < n:
+        k = bisect_left(large, new)
+        wall = large[k] if k < len(large) else n
+        end = min(max(bisect_right(total, total[start] + most) - 1, new + 1), wall)
+        if end < wall:
+            out.append((start, end))
+            start, new = max(start, min(bisect_left(total, total[end] - overlap), end - 1)), end
+        elif wall < n:
+            out.append((wall, wall + 1))
+            start = new = wall + 1
+        else:
+            out.append((start, n))
+            break
     return out
 
 
+def pack_units(units: list[tuple[str, int]], most: int, overlap: int) -> list[tuple[str, int]]:
+    """pack_ranges of (text, tokens), as texts of joined lines with their tokens."""
+    return [("\n".join(u for u, _ in units[a:b]), sum(n for _, n in units[a:b])) for a, b in pack_ranges([n for _, n in units], most, overlap)]
+
+
 def pack_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 400, overlap: int = 50) -> DataFrame:
     """Chunks of each text: id, chunk_index, content, token_count. Units are sentences within lines; tokens are words."""
     units = F.flatten(F.transform(T.lines(F.col(text_col)), lambda s: F.split(s, r"(?<=[.!?])\s+(?=[A-Z0-9])")))

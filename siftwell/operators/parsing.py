@@ -69,10 +69,13 @@ def primary_heading(line: Column, aliases: dict[str, str] = L.SECTION_ALIASES) -
     bare = T.squeeze(F.regexp_replace(F.lower(line), r"^\s*[0-9]+(\.[0-9]+)*\s*", ""))
     s = F.trim(line)
     low = F.lower(s)
-    made = lambda name, heading, rest: F.struct(F.lit(name).alias("name"), heading.alias("heading"), rest.alias("rest"))
-    exact = [F.when(bare == a, made(n, s, F.lit(None).cast("string"))) for a, n in aliases.items()]
-    led = [F.when(low.startswith(a + ":") | low.startswith(a + " "), made(n, F.lit(a.title()), F.nullif(F.regexp_replace(F.substring(s, len(a) + 1, 1 << 30), r"^[ :\-\t]+", ""), F.lit("")))) for a, n in aliases.items()]
-    return F.coalesce(*exact, *led)
+    made = lambda name, heading, rest: F.struct(name.alias("name"), heading.alias("heading"), rest.alias("rest"))
+    name = F.try_element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), bare)
+    # The aliases are one constant; the first that the line starts with counts.
+    known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name"), F.lit(a.title()).alias("title")) for a, n in aliases.items()])
+    first = F.try_element_at(F.filter(known, lambda x: F.startswith(low, F.concat(x["alias"], F.lit(":"))) | F.startswith(low, F.concat(x["alias"], F.lit(" ")))), F.lit(1))
+    led = T.bind(first, lambda x: F.when(x.isNotNull(), made(x["name"], x["title"], F.nullif(F.regexp_replace(F.substr(s, F.length(x["alias"]) + 1), r"^[ :\-\t]+", ""), F.lit("")))))
+    return F.when(name.isNotNull(), made(name, s, F.lit(None).cast("string"))).otherwise(led)
 
 
 def parse_sections(lines: DataFrame, id_col: str, aliases: dict[str, str] = L.SECTION_ALIASES, subsections: bool = True) -> DataFrame:
@@ -133,23 +136,30 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
-def chunk_sections(sections: DataFrame, id_col: str, most: int = 400, overlap: int = 50, count: Callable[[str], int] = count_words) -> DataFrame:
+def chunk_sections(sections: DataFrame, id_col: str, most: int = 400, overlap: int = 50, count: Callable[[str], int] = count_words, guard: bool = False) -> DataFrame:
     """Chunks of segments (id, section_order, section_name, subsection_name, content): with chunk_index through each document,
-    content, token_count. ``count`` gives a unit's tokens (words unless a tokenizer is brought)."""
+    content, token_count. ``count`` gives a unit's tokens (words unless a tokenizer is brought, ``functions.tokens``). With
+    guard, a segment that it fails on gives one row with its ``error`` and without content, and the others go on."""
     kind = dict(sections.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, order, name, sub, text in zip(pdf[id_col], pdf["section_order"], pdf["section_name"], pdf["subsection_name"], pdf["content"]):
-                units = [(u, count(u)) for u in merge_units(text_units((text or "").replace("\x00", "")))]
-                rows += [(key, order, i, name, sub, c, n) for i, (c, n) in enumerate(documents.pack_units(units, most, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "section_order", "local", "section_name", "subsection_name", "content", "token_count"])
+                try:
+                    units = merge_units(text_units((text or "").replace("\x00", "")))
+                    sizes = count.many(units) if hasattr(count, "many") else [count(u) for u in units]
+                    rows += [(key, order, i, name, sub, c, n, None) for i, (c, n) in enumerate(documents.pack_units(list(zip(units, sizes)), most, overlap))]
+                except Exception as e:
+                    if not guard:
+                        raise
+                    rows.append((key, order, 0, name, sub, None, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[id_col, "section_order", "local", "section_name", "subsection_name", "content", "token_count", "error"])
 
     kept = sections.select(id_col, "section_order", "section_name", "subsection_name", "content")
-    made = kept.mapInPandas(run, f"`{id_col}` {kind}, section_order int, local int, section_name string, subsection_name string, content string, token_count int")
+    made = kept.mapInPandas(run, f"`{id_col}` {kind}, section_order int, local int, section_name string, subsection_name string, content string, token_count int, error string")
     index = F.row_number().over(Window.partitionBy(id_col).orderBy("section_order", "local")) - 1
-    return made.withColumn("chunk_index", index).select(id_col, "chunk_index", "section_name", "subsection_name", "content", "token_count")
+    return made.withColumn("chunk_index", index).select(id_col, "chunk_index", "section_name", "subsection_name", "content", "token_count", *(["error"] if guard else []))
 
 
 # Tables
