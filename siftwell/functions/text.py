@@ -182,7 +182,7 @@ def lexicon_hits(text: Column, words: list[str]) -> Column:
 
 def title(text: Column) -> Column:
     """The first line that could be a title: 12 to 200 characters, ten letters, no address or brace, not a section's name."""
-    ok = lambda s: F.length(s).between(12, 200) & ~F.lower(s).isin("abstract", "introduction") & ~s.rlike("[@{]") & (letters(s) >= 10)
+    ok = lambda s: F.length(s).between(12, 200) & ~F.lower(s).isin("abstract", "introduction") & ~s.rlike("[@{]") & ~F.contains(F.lower(s), F.lit("google.com")) & (letters(s) >= 10)
     return F.try_element_at(F.filter(F.transform(lines(text), squeeze), ok), F.lit(1))
 
 

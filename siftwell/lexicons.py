@@ -68,9 +68,14 @@ FORMULA_SECTIONS = ["method", "methodology", "theory", "introduction", "prelimin
 FORMULA_SUBSECTIONS = ["equation", "formula", "objective", "loss", "notation", "parameterization", "preliminar", "derivation"]
 FOLLOW_UP_STARTERS = ["it", "they", "them", "that", "this", "those", "these", "he", "she", "there"]
 FOLLOW_UP_PATTERNS = [
-    r"^(what|which|where|why|how)\s+(is|are|does|did|do|was|were)\s+(it|they|that|this|those|these)\b", r"^(what|which)\s+(equation|formula|expression)\b", r"^(what's|whats)\s+(the\s+)?(equation|formula|mathematical expression)\b",
-    r"^where does the paper say that\b", r"^why did you say\b", r"^how does it work\b", r"^what about\b",
-]
+    r"^(?:what|which|where|why|how)\s+(?:is|are|does|did|do|was|were)\s+(?:it|they|that|this|those|these)\b",
+    r"^(?:what|which)\s+(?:equation|formula|expression)\b",
+    r"^(?:what's|whats)\s+(?:the\s+)?(?:equation|formula|mathematical expression)\b",
+    r"^where does the paper say that\b",
+    r"^why did you say\b",
+    r"^how does it work\b",
+    r"^what about\b",
+]
 REFERENCED_ANSWER = ["that", "there", "before", "say that", "why did you say", "where does the paper say"]
 EVIDENCE = {
     "methodology": {"keywords": ["method", "approach", "architecture", "algorithm", "module", "pipeline"], "roles": ["method", "algorithm", "implementation", "theory"], "sections": ["method", "methodology", "algorithm", "implementation"]},
@@ -137,15 +142,74 @@ PROPOSAL_PATTERNS = [r"\bwe propose\b", r"\bwe present(?:ed)?\b", r"\bwe introdu
 BASELINE_PATTERNS = [r"\bbaseline\b", r"\bprior work\b", r"\bprevious best\b", r"\bprevious work\b", r"\bcompared with\b", r"\bcompared to\b", r"\boutperforming\b", r"\brelative to\b", r"\bsimilar approaches\b", r"\bcontemporary work\b"]
 SPECIFICITY = {"Mask-Conformer": 0.45, "Conformer": 0.3, "Transformer": 0.05}
 SUPPRESSED_BY = {"Mask-Conformer": ["Conformer", "Transformer"], "Conformer": ["Transformer"]}
-LOSS_NAMES = ["CrossEntropy", "BCEWithLogits", "MSE", "CTC", "RNNT", "Hinge"]
-OPTIMIZER_NAMES = ["Adam", "AdamW", "SGD", "RMSprop", "Adagrad"]
-DATASET_NAMES = ["ImageNet", "COCO", "CIFAR-10", "CIFAR-100", "MNIST", "LibriSpeech", "SQuAD", "WMT"]
-METRIC_NAMES = ["accuracy", "f1", "precision", "recall", "bleu", "rouge", "wer", "latency"]
+ML_NAMES = {
+    "datasets": ["ImageNet", "COCO", "CIFAR-10", "CIFAR-100", "MNIST", "LibriSpeech", "SQuAD", "WMT"],
+    "losses": ["CrossEntropy", "BCEWithLogits", "MSE", "CTC", "RNNT", "Hinge"],
+    "optimizers": ["Adam", "AdamW", "SGD", "RMSprop", "Adagrad"],
+    "metrics": ["accuracy", "f1", "precision", "recall", "bleu", "rouge", "wer", "latency"],
+}
 SNIPPETS = {
-    "theorems": (r"(theorem\s+[0-9]+[^.]*\.|theorem[^.]*\.)", 8), "proofs": (r"(proof[^.]*\.)", 8), "complexity_claims": (r"(O\([^)]*\)[^.]*\.)", 8),
-    "system_components": (r"(component[^.]*\.|module[^.]*\.|pipeline[^.]*\.|architecture[^.]*\.)", 10), "performance_claims": (r"((?:latency|throughput|speedup|overhead|efficiency)[^.]*\.)", 10),
+    "theorems": (r"(theorem\s+\d+[^.]*\.|theorem[^.]*\.)", 8), "proofs": (r"(proof[^.]*\.)", 8), "complexity_claims": (r"(O\([^)]*\)[^.]*\.)", 8),
+    "system_components": (r"(component[^.]*\.|module[^.]*\.|pipeline[^.]*\.|architecture[^.]*\.)", 10), "performance_claims": (r"((latency|throughput|speedup|overhead|efficiency)[^.]*\.)", 10),
     "benchmarks": (r"(benchmark[^.]*\.|evaluation[^.]*\.|workload[^.]*\.)", 10),
 }
+CONTRIBUTIONS = (r"(we propose[^.]*\.|our method[^.]*\.|we introduce[^.]*\.)", 5)
+DOMAIN_VIEWS = {"ml": "ml", "theory": "theory", "systems": "systems", "security": "systems", "networks": "systems"}
+SYNTHESIS_SECTIONS = ["key_ideas", "methods", "results", "discussion"]
+CODE_INTENT = ["code", "implement", "write", "example", "snippet", "how to build", "python"]
+SUBTASK_TITLES = {
+    "methodology": "Methodology Extraction", "dataset": "Dataset Inspection", "evaluation": "Evaluation Review", "reproducibility": "Reproducibility Check", "comparison": "Baseline Comparison", "limitations": "Limitations Review",
+}
+VOCABULARY = r"(?i)(\d+)\s*(?:wpm|word pieces|wordpiece|vocabulary)"
+NUMBERS = r"\b\d+(\.\d+)?%?\b"
+# Signals of reproducibility by group: the fields they are looked for in, and the words (none: anything at all).
+REPRODUCIBILITY = {
+    "hyperparameters": {
+        "learning_rate": (["training_details"], ["learning rate", "lr ", "warm-up", "peak learning rate"]),
+        "batch_size": (["training_details"], ["batch size", "batchsize"]),
+        "optimizer": (["optimizer"], []),
+        "epochs": (["training_details"], ["epoch", "epochs", "steps"]),
+        "scheduler": (["training_details"], ["schedule", "scheduler", "warm-up", "decay"]),
+    },
+    "training": {
+        "optimizer_detected": (["optimizer"], []),
+        "loss_detected": (["loss"], []),
+        "training_pipeline_described": (["training_details"], ["train", "optimizer", "regularization", "schedule"]),
+        "data_splits_mentioned": (["dataset", "training_details"], ["train", "dev", "validation", "test", "split"]),
+        "augmentation_described": (["training_details"], ["augment", "specaugment", "crop", "mask", "flip"]),
+    },
+    "evaluation": {
+        "metrics_present": (["evaluation_metrics"], []),
+        "test_dataset_specified": (["dataset", "contributions"], ["test", "benchmark", "librispeech", "imagenet", "coco", "wmt", "squad"]),
+        "comparison_baselines_present": (["architectures", "contributions"], ["baseline", "compare", "outperform", "transformer", "contextnet", "cnn"]),
+        "benchmark_dataset_mentioned": (["dataset"], PUBLIC_DATASETS),
+    },
+    "methodology": {
+        "method_present": (["training_details"], ["method", "algorithm", "pipeline", "system"]),
+        "implementation_clues": (["training_details"], ["implementation", "module", "component", "setup"]),
+        "limitations_or_discussion": (["training_details"], ["limitation", "threat", "future work"]),
+    },
+    "results": {
+        "metrics_present": (["evaluation_metrics"], []),
+        "comparisons_present": (["results"], ["baseline", "compare", "improve", "outperform"]),
+        "benchmark_or_workload_present": (["results"], ["benchmark", "dataset", "workload", "testbed"]),
+    },
+}
+ASSIGNMENT = r"[A-Za-zΔ∆WBAqkvroαβσ_′'0-9][^.;\n]{0,40}=\s*[^.;\n]{2,140}"
+TARGETED_EQUATIONS = [
+    r"(?:For\s+)?h\s*=\s*W0x[^.;\n]{0,80}BAx",
+    r"W0\s*\+[^.;\n]{0,24}W\s*=\s*W0\s*\+\s*BA[^.;\n]{0,140}",
+    r"store\s+W\s*=\s*W0\s*\+\s*BA[^.;\n]{0,120}",
+    r"\bBAx\b[^.;\n]{0,80}",
+    r"\bBA\b[^.;\n]{0,100}",
+]
+CHUNK_EQUATIONS = [r"[A-Za-z0-9˜′'`_]+(?:\s*[A-Za-z0-9˜′'`_()]*)?\s*=\s*[^.;\n]{6,180}", r"O\([^)]{1,80}\)"]
+NO_EQUATION = ["table ", "learning rate", "batch size", "max seq", "validation", "accuracy", "wikisql", "mnli", "sam sum", "rouge"]
+NO_FORMULA = ["mask parameter", "time-mask ratio", "warm-up", "dropout"]
+EQUATION_WORDS = ["where ", "defined as", "denotes", "represents", "composition"]
+# Letters and symbols that count in equations, mis-encoded as they are given.
+EQUATION_LETTERS = "A-Za-zÎ”âˆ†Î±Î²Ïƒ"
+EQUATION_SYMBOLS = ["+", "Î”", "âˆ†", "Ã—", "*", "âˆˆ", "â‰ª", "â‰¤", "â‰¥", "/", "^"]
 PAPER_DOMAINS = ["ml", "theory", "systems", "security", "networks", "general"]
 FILE_TITLE = r"(?i)(^[0-9]{4}\.[0-9]{5}(v[0-9]+)?$)|(^[0-9a-f-]{20,}$)"
 # End of fixed values.

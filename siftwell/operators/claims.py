@@ -94,7 +94,7 @@ def with_neighbors(seeds: DataFrame, chunks: DataFrame, wants: Column | None = N
 def equation_score(latex: Column, quality: Column) -> Column:
     low = F.lower(latex)
     out = F.coalesce(quality, F.lit(0.0)) + F.when(F.contains(latex, F.lit("=")), 2.0).otherwise(0.0)
-    out = out + F.when(T.contains_any(latex, ["+", "Δ", "∆", "×", "*", "∈", "≪", "≤", "≥", "/", "^"]), 0.8).otherwise(0.0) + F.when(low.rlike(r"\b(w0|ba|ax|h)\b"), 1.4).otherwise(0.0)
+    out = out + F.when(T.contains_any(latex, ["+", "Δ", "∆", "×", "*", "∈", "≪", "≤", "≥", "/", "^"]), 0.8).otherwise(0.0) + F.when(low.rlike(r"\b(?:w0|ba|ax|h)\b"), 1.4).otherwise(0.0)
     out = out + F.when(T.contains_any(low, ["where ", "defined as", "denotes", "represents", "composition"]), 0.7).otherwise(0.0) - F.when(latex.rlike(r"^[A-Za-zΔ∆αβσ_'\s0-9]+$"), 0.9).otherwise(0.0)
     return F.round(out, 4)
 
@@ -162,7 +162,7 @@ def additional_chunks(found: DataFrame, seen: DataFrame, most: int = 5, over: in
 
 def retrieval_confidence(rows: DataFrame, key: str) -> DataFrame:
     """Mean of 0.7 score + 0.3 importance per key."""
-    return rows.groupBy(key).agg(F.round(F.avg(0.7 * F.col("score") + 0.3 * F.col("importance")), 4).alias("retrieval_confidence"), F.round(F.coalesce(F.avg("importance"), F.lit(0.0)), 4).alias("average_importance"))
+    return rows.groupBy(key).agg(T.rounded(F.avg(0.7 * F.col("score") + 0.3 * F.col("importance")), 4).alias("retrieval_confidence"), T.rounded(F.coalesce(F.avg("importance"), F.lit(0.0)), 4).alias("average_importance"))
 
 
 def allows_background(query: Column, strength: Column) -> Column:

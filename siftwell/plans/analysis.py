@@ -108,7 +108,7 @@ def role_weights(spark, sf):
     return _annotated(spark, sf).select("chunk_id", "intent_role_weight", T.formula_candidate_bonus(F.col("role"), F.col("content")).alias("formula_bonus"))
 
 
-@query(f"{_RANKED} SELECT paper_id, round(avg(0.7::DOUBLE * score + 0.3::DOUBLE * importance), 4) AS retrieval_confidence, round(coalesce(avg(importance), 0), 4) AS average_importance FROM ranked GROUP BY paper_id")
+@query(f"{_RANKED} SELECT paper_id, floor(avg(0.7::DOUBLE * score + 0.3::DOUBLE * importance) * 10000 + 0.5::DOUBLE) / 10000 AS retrieval_confidence, floor(coalesce(avg(importance), 0) * 10000 + 0.5::DOUBLE) / 10000 AS average_importance FROM ranked GROUP BY paper_id")
 def retrieval_confidence(spark, sf):
     return claims.retrieval_confidence(_annotated(spark, sf), "paper_id")
 
@@ -296,7 +296,8 @@ def background_allowed(spark, sf):
 _ARCH = {"Alpha": [r"\bthe\b", r"\balpha\b"], "Beta": [r"\bder\b"], "Gamma": [r"\bque\b"], "Delta": [r"\bles\b"]}
 _PROPOSE, _COMPARE = [r"\bof\b", r"\bund\b", r"\blos\b"], [r"\bin\b", r"\bdes\b"]
 _BONUS, _STOP = {"Alpha": 0.45, "Gamma": 0.3}, {"Alpha": ["Beta"], "Gamma": ["Delta"]}
-_ANY = lambda ps: "regexp_matches(lower(content), '" + "|".join(f"(?:{p})" for p in ps) + "')"
+# Spark's word boundaries know all letters, DuckDB's only those of ASCII: they are spelled out.
+_ANY = lambda ps: "regexp_matches(lower(content), '" + "|".join("(?:" + p.replace(r"\b", r"(?:^|[^\p{L}\p{N}_])", 1)[:-2] + r"(?:[^\p{L}\p{N}_]|$))" for p in ps) + "')"
 _LISTED = lambda test: f"coalesce(list(name ORDER BY place) FILTER ({test}), [])"
 
 

@@ -215,19 +215,9 @@ def role_histogram(spark, sf):
 _BUCKET = {"problem": "key_ideas", "idea": "key_ideas", "method": "methods", "theory": "methods", "evaluation": "results", "discussion": "discussion"}
 
 
-@query(f"""WITH {_ROLE}, {_IMPORTANCE}, b AS (SELECT *, {X.case('role', _BUCKET, 'NULL')} AS bucket, lower(trim(substr(content, 1, 40))) AS head FROM weighed),
-u AS (SELECT * FROM b WHERE bucket IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bucket, head ORDER BY importance DESC, role_confidence DESC, chunk_id) = 1)
-SELECT bucket, chunk_id, importance FROM u QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY importance DESC, role_confidence DESC, chunk_id) <= 6""")
-def inferred_buckets(spark, sf):
-    order = [F.desc("importance"), F.desc("role_confidence"), F.asc("chunk_id")]
-    rows = _annotated(spark, sf).withColumn("bucket", T.lookup(F.col("role"), _BUCKET, None)).withColumn("head", F.lower(F.trim(F.substring("content", 1, 40)))).filter("bucket is not null")
-    once = rows.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "head").orderBy(*order))).filter("r = 1")
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter("r <= 6").select("bucket", "chunk_id", "importance")
-
-
 @query()
 def inferred_buckets_by_summary(spark, sf):
-    """Chunks of one summary count once, as in the reference; inferred_buckets goes by what its SQL can say, the opening."""
+    """Chunks of one summary count once."""
     return retrieval.buckets(_annotated(spark, sf).withColumn("bucket", T.lookup(F.col("role"), _BUCKET, None))).select("bucket", "chunk_id", "importance")
 
 
@@ -344,17 +334,9 @@ def evidence_diagnostics(spark, sf):
     return evidence.diagnostics(_annotated(spark, sf), "paper_id", ["methodology", "limitations"], 3, MARKERS)
 
 
-@query(f"""WITH p AS (SELECT b.item_id, b.text AS claim, d.doc_id, d.text AS support FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id < 200), t AS (SELECT item_id, doc_id, list_distinct({X.tokens('claim')}) AS c, list_distinct({X.tokens('support')}) AS s FROM p)
-SELECT item_id, doc_id, round(CASE WHEN len(c) = 0 THEN 0.0 ELSE len(list_intersect(c, s)) / len(c)::DOUBLE END, 6) AS overlap FROM t""")
-def claim_overlap(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim"), (F.col("item_id") % 40).alias("k"))
-    d = table(spark, sf, "documents").filter("doc_id < 200").select("doc_id", F.col("text").alias("support"), (F.col("doc_id") % 40).alias("k2"))
-    return b.join(d, F.col("k") == F.col("k2")).select("item_id", "doc_id", F.round(evidence.overlap(F.col("claim"), F.col("support")), 6).alias("overlap"))
-
-
 @query()
 def claim_overlap_all(spark, sf):
-    """Every claim against every document; the pairs that share a token. claim_overlap has the pairs its SQL names."""
+    """Every claim against every document; the pairs that share a token."""
     return evidence.claim_overlaps(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
 
 
@@ -571,4 +553,4 @@ def coerce_confidence(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.confidence(said).alias("confidence"))
 
 
-from . import analysis  # noqa: E402,F401  (registers its queries)
+from . import analysis, records  # noqa: E402,F401  (register their queries)
