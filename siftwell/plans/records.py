@@ -73,11 +73,11 @@ def chunk_equations(spark, sf):
 _VALUE = ["{\"id\":", "event_id", ",\"props\":[", "props", ",{\"deep\":{\"list\":[", "props", ",[],null,true,\"a \\\\ \\\"b\\\"\",", "value", "]}},{}],\"type\":\"", "event_type", "\"}"]
 
 
-@query(f"""WITH v AS (SELECT event_id, concat({', '.join(X.q(x) if i % 2 == 0 else ("coalesce(props, 'null')" if x == 'props' else f'{x}::BIGINT' if x != 'event_type' else x) for i, x in enumerate(_VALUE))}) AS v FROM events),
+@query(f"""WITH v AS (SELECT event_id, concat({', '.join(X.q(x) if i % 2 == 0 else ("coalesce(props, 'null')" if x == 'props' else x if x == 'event_type' else f'floor({x})::BIGINT') for i, x in enumerate(_VALUE))}) AS v FROM events),
 l AS (SELECT event_id, j.id AS i, CASE WHEN j.type = 'BOOLEAN' THEN CASE WHEN j.atom::VARCHAR = 'true' THEN 'True' ELSE 'False' END WHEN j.type IN ('NULL', 'ARRAY', 'OBJECT') THEN '' WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' ELSE j.atom::VARCHAR END AS t FROM v, json_tree(v.v) j WHERE j.type NOT IN ('ARRAY', 'OBJECT') OR j.value::VARCHAR IN ('[]', '{{}}'))
 SELECT event_id, md5(string_agg(t, ' ' ORDER BY i)) AS text_md5 FROM l GROUP BY event_id""")
 def nested_text(spark, sf):
-    cols = [F.lit(x) if i % 2 == 0 else (F.coalesce("props", F.lit("null")) if x == "props" else F.col(x) if x == "event_type" else F.floor(F.round(x)).cast("string") if x == "value" else F.col(x).cast("string")) for i, x in enumerate(_VALUE)]
+    cols = [F.lit(x) if i % 2 == 0 else (F.coalesce("props", F.lit("null")) if x == "props" else F.col(x) if x == "event_type" else F.floor(x).cast("string") if x == "value" else F.col(x).cast("string")) for i, x in enumerate(_VALUE)]
     return table(spark, sf, "events").select("event_id", F.md5(N.flattened(F.concat(*cols))).alias("text_md5"))
 
 
