@@ -18,11 +18,11 @@ def heading(line: Column, aliases: dict[str, str] = L.SECTION_ALIASES) -> Column
     """The section that a line opens: an alias, numbering aside, or a line that starts with one; null otherwise."""
     bare = T.squeeze(F.regexp_replace(F.lower(line), r"^\s*[0-9]+(\.[0-9]+)*\s*", ""))
     low = F.trim(F.lower(line))
-    out = T.lookup(bare, aliases, None)
-    for alias, name in aliases.items():
-        starts = low.startswith(f"{alias}:") | low.startswith(f"{alias} ")
-        out = F.coalesce(out, F.when(starts, F.lit(name)))
-    return out
+    name = F.try_element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), bare)
+    # One constant list of aliases: nested choices, one for each, would take planning ages.
+    known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for a, n in aliases.items()])
+    led = F.filter(known, lambda x: F.startswith(low, F.concat(x["alias"], F.lit(":"))) | F.startswith(low, F.concat(x["alias"], F.lit(" "))))
+    return F.coalesce(name, F.try_element_at(led, F.lit(1))["name"])
 
 
 def subheading(line: Column) -> Column:
