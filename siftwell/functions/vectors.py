@@ -24,7 +24,12 @@ def literal(values) -> Column:
 
 
 def hashed_embedding(tokens: Column, dims: int = 64) -> Column:
-    """A deterministic stand-in for an embedder: signed counts of hashed tokens."""
-    place = lambda t: F.pmod(F.xxhash64(t), F.lit(dims))
-    sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(tokens, lambda t: place(t) == d), F.lit(0.0), lambda s, t: s + sign(t)))
+    """A deterministic stand-in for an embedder: signed counts of hashed tokens. Each token is hashed once; its code (place and
+    sign) is sorted among even marks, so that the distances of neighbouring marks are the counts: n log n in the tokens."""
+    minus = lambda t: F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2))
+    codes = F.transform(tokens, lambda t: 4 * F.pmod(F.xxhash64(t), F.lit(dims)) + 2 * minus(t) + 1)
+    marked = F.sort_array(F.concat(codes, F.transform(F.sequence(F.lit(0), F.lit(2 * dims)), lambda j: 2 * j.cast("long"))))
+    marks = F.filter(F.transform(marked, lambda c, i: F.when(c % 2 == 0, i)), lambda i: i.isNotNull())
+    count = lambda p, d: (2 * p[2 * d + 1] - p[2 * d] - p[2 * d + 2]).cast("double")
+    # An array of one holds the marks, as what a lambda refers to is evaluated anew for each element.
+    return F.transform(F.array(marks), lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: count(p, d)))[0]

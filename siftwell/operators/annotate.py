@@ -93,14 +93,23 @@ def with_importance(rows: DataFrame, n: Column) -> DataFrame:
     return rows.withColumn("importance", T.rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)), 4))
 
 
-def annotated(rows: DataFrame, group: tuple[str, ...], keywords: dict | None = None, roles: list | None = None) -> DataFrame:
+#: What importance is made of beside places.
+PARTS = ["f_technical", "f_equation", "f_pseudo", "f_result"]
+
+
+def placed(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """rows (section_name, chunk_index, PARTS) with importance; places count among the candidates of the group."""
+    return with_importance(rows.withColumn("n_candidates", F.count("*").over(Window.partitionBy(*group))), F.col("n_candidates"))
+
+
+def annotated(rows: DataFrame, group: tuple[str, ...], keywords: dict | None = None, roles: list | None = None, parts: bool = False) -> DataFrame:
     """rows (content, section_name, subsection_name, chunk_index) with role, role_confidence, importance, quality_score, summary,
-    quality_pass. The position basis is the number of candidates of the group."""
+    quality_pass. The position basis is the number of candidates of the group. parts: PARTS stay."""
     extra = {"keywords": keywords, "roles": roles} if keywords else {}
     out = with_summary(with_quality(with_role(with_signals(text_features(rows)), **extra)), "content", "summary").withColumn("summary", F.coalesce("summary", F.lit("")))
     out = out.withColumn("quality_pass", G.quality_chunk(F.col("summary"), F.col("role"), F.col("role_confidence")))
     # The count comes after all that is costly: filters on roles or quality stop at its window and don't repeat what they are made of.
-    return plain(with_importance(out.withColumn("n_candidates", F.count("*").over(Window.partitionBy(*group))), F.col("n_candidates")))
+    return plain(placed(out, group), PARTS if parts else [])
 
 
 def with_clean(rows: DataFrame, text: str = "content", out: str = "f_clean") -> DataFrame:
@@ -122,8 +131,15 @@ def with_summary(rows: DataFrame, text: str = "content", out: str = "summary", m
     clean = with_clean(rows, text, "f_clean")
     # A sentence takes two characters at least, with its blank, so that no more of them can matter.
     parts = clean.withColumn("f_parts", F.slice(S.sentences(F.col("f_clean")), 1, most // 2 + 2))
-    sized = parts.withColumn("f_sizes", F.transform(F.sequence(F.lit(1), F.size("f_parts")), lambda i: F.length(F.array_join(F.slice("f_parts", F.lit(1), i), " "))))
-    fitting, done = F.size(F.filter("f_sizes", lambda n: n <= most)), F.size(F.filter("f_sizes", lambda n: n < enough)) + 1
+    # Sizes of growing prefixes, blanks between sentences included: how many fit, and how many don't make enough.
+    none = F.struct(F.lit(-1).alias("size"), F.lit(0).alias("fit"), F.lit(0).alias("few"))
+
+    def add(acc: Column, s: Column) -> Column:
+        size = acc["size"] + 1 + F.length(s)
+        return F.struct(size.alias("size"), (acc["fit"] + (size <= most).cast("int")).alias("fit"), (acc["few"] + (size < enough).cast("int")).alias("few"))
+
+    sized = parts.withColumn("f_sizes", F.aggregate("f_parts", none, add))
+    fitting, done = F.col("f_sizes.fit"), F.col("f_sizes.few") + 1
     taken = sized.withColumn("f_taken", F.least(fitting, done, F.size("f_parts"))).withColumn("f_packed", F.array_join(F.slice("f_parts", F.lit(1), F.greatest("f_taken", F.lit(1))), " "))
     packed = F.col("f_packed")
     cut = F.trim(F.regexp_replace(F.substring(packed, 1, most - 3), r" [^ ]*$", ""))
@@ -132,6 +148,6 @@ def with_summary(rows: DataFrame, text: str = "content", out: str = "summary", m
     return taken.withColumn(out, F.when(F.size("f_parts") > 0, F.substring(F.when(F.col("f_taken") < F.size("f_parts"), ends).otherwise(packed), 1, most)))
 
 
-def plain(rows: DataFrame) -> DataFrame:
+def plain(rows: DataFrame, but: list[str] = []) -> DataFrame:
     """rows without working columns."""
-    return rows.drop(*[c for c in rows.columns if c.startswith(("f_", "s_"))])
+    return rows.drop(*[c for c in rows.columns if c.startswith(("f_", "s_")) and c not in but])

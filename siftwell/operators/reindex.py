@@ -148,6 +148,8 @@ def reindex(store: IndexStore, docs: DataFrame, staging: str, only: DataFrame |
     elif not rebuild and (known := unchanged(store, retry)) is not None:
         wanted = given.join(known, F.col(key).eqNullSafe(F.col("k_key")) & (F.col("digest") == F.col("k_digest")), "left_anti")
     taken = stored(wanted, f"{staging}/taken")
+    if only is None and not rebuild and not batch and taken.isEmpty():
+        return {"succeeded": 0, "failed": 0, "unchanged": given.count()}
     out = index_documents(taken, staging, key, blocks, **how)
     keys = taken.select(key)
     if only is not None:

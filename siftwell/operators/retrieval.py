@@ -54,19 +54,26 @@ def _with_stat(rows: DataFrame, group: tuple[str, ...], name: str, stat: Column)
     return rows.withColumn("g_one", F.lit(1)).join(F.broadcast(whole), "g_one").drop("g_one")
 
 
-def gate(rows: DataFrame, group: tuple[str, ...] = (), formula: bool = False) -> DataFrame:
-    """Keeps candidates that pass, or all of a group in which none does; then drops poor ones that score below the best. In
-    formula mode (rows with role, content) what looks like a formula also passes, and stays if it scores near the best."""
-    passes = F.col("quality_pass")
+def gated(rows: DataFrame, group: tuple[str, ...] = (), formula: bool = False, among: Column | None = None) -> DataFrame:
+    """rows with g_stay: whether a candidate gets through the gate of its group. among: rows that are candidates at all; the others
+    don't count and never stay."""
+    passes, inside = F.col("quality_pass"), F.lit(True) if among is None else among
     if formula:
         rows = rows.withColumn("g_formula", T.formula_candidate_bonus(F.col("role"), F.col("content")) >= 0.75)
         passes = passes | F.col("g_formula")
-    passed = _with_stat(rows.withColumn("g_pass", passes), group, "g_any", F.max(F.col("g_pass").cast("int"))).filter(F.col("g_pass") | (F.col("g_any") == 0))
-    best = _with_stat(passed, group, "g_best", F.max("score"))
+    counted = _with_stat(rows.withColumn("g_pass", F.when(inside, passes)), group, "g_any", F.max(F.col("g_pass").cast("int")))
+    passed = counted.withColumn("g_passed", F.coalesce(inside & (F.col("g_pass") | (F.col("g_any") == 0)), F.lit(False)))
+    best = _with_stat(passed, group, "g_best", F.max(F.when(F.col("g_passed"), F.col("score"))))
     poor = ((F.col("quality_score") <= -0.5) & (F.col("score") < F.col("g_best") - 0.01)) | ((F.col("quality_score") <= -0.2) & (F.col("score") < F.col("g_best") - 0.05))
     if formula:
         poor = poor & ~(F.col("g_formula") & (F.col("score") >= F.col("g_best") - 0.12))
-    return best.filter(~poor).drop("g_pass", "g_any", "g_best", "g_formula")
+    return best.withColumn("g_stay", F.coalesce(F.col("g_passed") & ~poor, F.lit(False))).drop("g_pass", "g_any", "g_passed", "g_best", "g_formula")
+
+
+def gate(rows: DataFrame, group: tuple[str, ...] = (), formula: bool = False) -> DataFrame:
+    """Keeps candidates that pass, or all of a group in which none does; then drops poor ones that score below the best. In
+    formula mode (rows with role, content) what looks like a formula also passes, and stays if it scores near the best."""
+    return gated(rows, group, formula).filter("g_stay").drop("g_stay")
 
 
 def rerank(rows: DataFrame, kind: str, formula: bool = False) -> DataFrame:
@@ -95,34 +102,36 @@ RANKED = ("rerank_score", "score", "importance")
 
 def retrieve(rows: DataFrame, key: tuple[str, ...], kind: str, k: int = 18, formula: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
     """The chain for scored rows of any number of queries (key): over-fetch, annotate, gate, rerank, the best 2 k of each. All but the
-    first step see candidates only."""
-    found = normalised(A.annotated(overfetched(rows, key, k), key, keywords, roles), key)
+    first step see candidates only. What importance is made of stays (annotate.PARTS), for selections that place candidates anew."""
+    found = normalised(A.annotated(overfetched(rows, key, k), key, keywords, roles, parts=True), key)
     ranked = rerank(gate(found, key, formula), kind, formula)
     order = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in RANKED], F.coalesce(F.nullif("page_number", F.lit(0)), F.lit(10**6)) if "page_number" in rows.columns else F.asc("chunk_id"), F.asc("chunk_id"))
     return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * k)
 
 
-def rerank_group(rows: DataFrame, key: tuple[str, ...], kind: str, k: int, formula: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
-    """The best k of each group, annotated and gated anew within the group."""
-    drop = {"role", "role_confidence", "importance", "quality_score", "summary", "quality_pass", "n_candidates", "role_match_weight", "intent_role_weight", "rerank_score", "place"}
-    ranked = rerank(gate(A.annotated(rows.drop(*drop), key, keywords, roles), key, formula), kind, formula)
-    order = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in RANKED], F.asc("chunk_index"), F.asc("chunk_id"))
-    return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+def rerank_group(rows: DataFrame, group: tuple[str, ...], kind: str, formula: bool = False, among: Column | None = None) -> DataFrame:
+    """Rows of a retrieve ranked anew within groups: importance by the places of the group, g_stay by its gate, place among those that
+    stay. Roles, quality and summaries don't depend on the group and are taken as they are."""
+    ranked = rerank(gated(A.placed(rows, group), group, formula, among), kind, formula)
+    order = Window.partitionBy(*group).orderBy(F.desc("g_stay"), *[F.desc(c) for c in RANKED], F.asc("chunk_index"), F.asc("chunk_id"))
+    return ranked.withColumn("place", F.when(F.col("g_stay"), F.row_number().over(order)))
 
 
-def select_balanced(rows: DataFrame, key: tuple[str, ...], sections: list[str], kind: str, k: int = 12, per_section: int = 3, formula: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:
+def select_balanced(rows: DataFrame, key: tuple[str, ...], sections: list[str], kind: str, k: int = 12, per_section: int = 3, formula: bool = False) -> DataFrame:
     """Of each query's candidates (a retrieve's rows, chunk_id unique per query): the selected sections' best few near their best, then the best of the rest
-    where these are fewer than k; ranked anew, k in all."""
-    extra = {"keywords": keywords, "roles": roles}
+    where these are fewer than k; ranked anew, k in all. Windows within a query only: its candidates are shuffled once, for
+    the fetch, and annotated once."""
     named = rows.withColumn("section_name", F.coalesce("section_name", F.lit("unknown")))
-    own = rerank_group(named.filter(F.col("section_name").isin(sections)), (*key, "section_name"), kind, per_section, formula, **extra)
-    own = own.withColumn("g_best", F.max("rerank_score").over(Window.partitionBy(*key, "section_name"))).filter((F.col("rerank_score") >= F.col("g_best") - 0.12) & (F.col("quality_score") > -0.2))
-    first = own.select(*key, "chunk_id", F.lit(True).alias("g_first"))
-    rest = rerank_group(named, key, kind, 10**6, formula, **extra).filter((F.col("quality_score") > -0.1) & (F.col("importance") > 0.1)).select(*key, "chunk_id", F.lit(True).alias("g_rest"))
-    tiers = named.join(first, [*key, "chunk_id"], "left").join(rest, [*key, "chunk_id"], "left").filter("g_first or g_rest")
-    enough = F.count("g_first").over(Window.partitionBy(*key)) >= k
-    merged = tiers.withColumn("g_enough", enough).filter("g_first or not g_enough").drop("g_first", "g_rest", "g_enough")
-    return rerank_group(merged, key, kind, k, formula, **extra)
+    by_section = (*key, "section_name")
+    own = rerank_group(named, by_section, kind, formula, F.col("section_name").isin(sections))
+    few = F.coalesce(F.col("place") <= per_section, F.lit(False))
+    near = F.col("rerank_score") >= F.max(F.when(few, F.col("rerank_score"))).over(Window.partitionBy(*by_section)) - 0.12
+    first = own.withColumn("g_first", few & near & (F.col("quality_score") > -0.2)).drop("g_stay")
+    every = rerank_group(first, key, kind, formula)
+    tiers = every.withColumn("g_rest", F.col("g_stay") & (F.col("quality_score") > -0.1) & (F.col("importance") > 0.1)).drop("g_stay")
+    enough = F.count(F.when(F.col("g_first"), 1)).over(Window.partitionBy(*key)) >= k
+    merged = tiers.withColumn("g_enough", enough).filter("g_first or (g_rest and not g_enough)").drop("g_first", "g_rest", "g_enough")
+    return A.plain(rerank_group(merged, key, kind, formula).filter(F.col("place") <= k).drop("g_stay"))
 
 
 def retrieve_sections(rows: DataFrame, key: tuple[str, ...], kind: str, k: int = 3, formula: bool = False, references: bool = False, keywords: dict | None = None, roles: list | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ def retrieve_subsections(spark, sf):
 @query()
 def balanced_chain(spark, sf):
     """Over-fetch, gate, rerank and balanced selection in one; compared with a plain version in tests."""
-    return retrieval.select_balanced(_retrieved(spark, sf), ("paper_id",), ["method", "results", "theory"], "method", 12, 3, False, L.TEST_ROLES, ROLES).select("paper_id", "chunk_id", "place", "rerank_score")
+    return retrieval.select_balanced(_retrieved(spark, sf), ("paper_id",), ["method", "results", "theory"], "method", 12, 3).select("paper_id", "chunk_id", "place", "rerank_score")
 
 
 @query(f"{_RANKED} SELECT chunk_id, CASE {' '.join(f'WHEN role = {X.q(r)} THEN {v}::DOUBLE' for r, v in L.INTENT_ROLE_WEIGHTS['method'].items())} ELSE 0.4 END AS intent_role_weight, {X.formula_bonus('role', 'content')} AS formula_bonus FROM ranked")
