@@ -37,7 +37,7 @@ from .graph import components
 COSINE = 0.9
 #: Unrelated vectors in a filter, filters of one code that a vector passes, pairs at the wanted cosine that may be missed.
 OCCUPANCY, PASSED, MISS = 8.0, 2.5, 0.004
-BUCKET = 256
+BUCKET = 1024
 _MAX_CODE = 256
 _DIMS = 65_536
 
