@@ -212,6 +212,18 @@ EQUATION_LETTERS = "A-Za-zÎ”âˆ†Î±Î²Ïƒ"
 EQUATION_SYMBOLS = ["+", "Î”", "âˆ†", "Ã—", "*", "âˆˆ", "â‰ª", "â‰¤", "â‰¥", "/", "^"]
 PAPER_DOMAINS = ["ml", "theory", "systems", "security", "networks", "general"]
 FILE_TITLE = r"(?i)(^[0-9]{4}\.[0-9]{5}(v[0-9]+)?$)|(^[0-9a-f-]{20,}$)"
+# Words of a text, the loss they stand for, how sure that is, and why; the first rule that is met counts.
+LOSS_RULES = [
+    (["transducer", "rnnt"], "RNNT", 0.9, "Transducer architectures are typically optimized with RNNT loss."),
+    (["gan", "generator", "discriminator"], "adversarial loss", 0.75, "GAN architectures commonly use adversarial objectives."),
+    (["diffusion", "denoising"], "denoising loss", 0.75, "Diffusion models are commonly trained with denoising objectives."),
+]
+AUGMENTATIONS = ["augmentation", "masking", "noise injection", "mixup", "cutmix", "specaugment", "mask"]
+AUGMENTATION_NAMES = {"specaugment": "SpecAugment"}
+SPEECH_OBJECTIVE = "sequence-to-sequence speech recognition training objective"
+CONTRASTIVE_OBJECTIVE = "contrastive representation learning objective"
+MASKED_OBJECTIVE = "masked language modeling objective"
+OTHER_OBJECTIVE = "training objective centered on "
 # End of fixed values.
 
 #: A lexicon that occurs in the invented test corpus, for queries over it.

@@ -142,3 +142,51 @@ def output_width(training: Column, metrics: Column, architecture: Column) -> Col
     stated = F.regexp_extract(training, L.VOCABULARY, 1).try_cast("int")
     speech = F.contains(F.lower(F.coalesce(metrics, F.lit(""))), F.lit("speech")) | F.contains(F.lower(F.coalesce(architecture, F.lit(""))), F.lit("asr"))
     return F.coalesce(F.nullif(stated, F.lit(0)), F.when(~speech, 10))
+
+
+# Training details
+
+
+def augmentations(details: Column, text: Column, words: list[str] = L.AUGMENTATIONS) -> Column:
+    """Names of the augmentations that stored details or the text speak of, in the order of the words."""
+    low = F.lower(F.concat_ws("\n", F.coalesce(details, F.lit("")), F.coalesce(text, F.lit(""))))
+    named = [F.when(F.contains(low, F.lit(w)), F.lit(L.AUGMENTATION_NAMES.get(w, w.title()))) for w in words]
+    return F.array_distinct(F.array_compact(F.array(*named)))
+
+
+def training_objective(stated: Column, proposed: Column, dataset: Column, loss: Column) -> Column:
+    """The stated objective, else one told by the first architecture, the dataset and the loss."""
+    first = F.try_element_at(proposed, F.lit(1))
+    low = F.lower(F.concat_ws(" ", first, F.coalesce(dataset, F.lit("")), F.coalesce(loss, F.lit(""))))
+    has = lambda w: F.contains(low, F.lit(w))
+    told = F.when(has("speech") | has("librispeech"), L.SPEECH_OBJECTIVE).when(has("contrastive"), L.CONTRASTIVE_OBJECTIVE).when(has("mask") & has("language"), L.MASKED_OBJECTIVE)
+    told = told.when(F.coalesce(loss, F.lit("")) != "", F.concat(F.lit(L.OTHER_OBJECTIVE), loss))
+    return F.coalesce(F.nullif(stated, F.lit("")), told)
+
+
+def training_details(rows: DataFrame, rules: list = L.LOSS_RULES, words: list[str] = L.AUGMENTATIONS, opening: int | None = 2000) -> DataFrame:
+    """rows (loss, loss_inferred, loss_confidence, architecture, proposed, details, dataset, objective, text) with loss, loss_inferred,
+    loss_confidence, loss_inference, augmentations and objective filled in: a stated loss stays, else the first rule counts of
+    which a word stands in the architectures, the details or the text's opening (None: the whole text).
+
+    One projection, nothing is shuffled. Defined results: nulls count as empty; a blank loss isn't stated; a stated confidence of
+    nothing is 1; where no rule is met, loss, confidence and inference are null; other columns stay."""
+    text = F.coalesce("text", F.lit(""))
+    opened = text if opening is None else F.substring(text, 1, opening)
+    low = F.lower(F.concat_ws(" ", F.coalesce("architecture", F.lit("")), F.array_join(F.coalesce("proposed", F.array().cast("array<string>")), " "), F.coalesce("details", F.lit("")), opened))
+    met = None
+    for markers, loss, sure, why in rules:
+        got = F.struct(F.lit(loss).alias("loss"), F.lit(float(sure)).alias("sure"), F.lit(why).alias("why"))
+        met = (F if met is None else met).when(T.contains_any(F.col("f_opened"), markers), got)
+    stated = F.coalesce(F.col("loss"), F.lit("")) != ""
+    told = rows.withColumn("f_opened", low).withColumns({"f_stated": stated, "f_met": F.lit(None).cast("struct<loss:string,sure:double,why:string>") if met is None else met})
+    filled = told.withColumns(
+        {
+            "loss": F.when(F.col("f_stated"), F.col("loss")).otherwise(F.col("f_met.loss")),
+            "loss_inferred": F.when(F.col("f_stated"), F.coalesce("loss_inferred", F.lit(False))).otherwise(F.col("f_met").isNotNull()),
+            "loss_confidence": F.when(F.col("f_stated"), F.coalesce(F.nullif("loss_confidence", F.lit(0.0)), F.lit(1.0))).otherwise(F.col("f_met.sure")),
+            "loss_inference": F.when(~F.col("f_stated"), F.col("f_met.why")),
+            "augmentations": augmentations(F.col("details"), F.col("text"), words),
+        }
+    )
+    return filled.withColumn("objective", training_objective(F.col("objective"), F.col("proposed"), F.col("dataset"), F.col("loss"))).drop("f_opened", "f_stated", "f_met")

@@ -207,3 +207,25 @@ def output_width(spark, sf):
     k = F.col("p_partkey")
     text = F.concat("p_name", F.when(k % 4 == 0, " a vocabulary").when(k % 4 == 1, F.concat(F.lit(" with "), k.cast("string"), F.lit(" word pieces"))).when(k % 4 == 2, " 0 WPM").otherwise(""))
     return table(spark, sf, "part").select("p_partkey", assess.output_width(text, F.col("p_brand"), F.col("p_type")).alias("width"))
+
+
+# Rules and words that occur in the invented corpus.
+_RULES = [(["password", "secret"], "hinge", 0.9, "of secrets"), (["license"], "contrastive", 0.75, "of licences"), ([" der ", " que "], "masked language", 0.5, "of words")]
+_MADE = ["license", "copyright", "token", "de la"]
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, lang, text, CASE WHEN doc_id % 7 = 0 THEN 'CTC' END AS loss, CASE WHEN doc_id % 2 = 0 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS sure, lower(coalesce(source, '') || ' ' || coalesce(text, '')) AS low FROM documents),
+m AS (SELECT *, CASE WHEN loss IS NOT NULL THEN 0 {' '.join(f"WHEN {X.any_of('low', r[0])} THEN {i}" for i, r in enumerate(_RULES, 1))} END AS rule FROM d),
+f AS (SELECT *, CASE rule WHEN 0 THEN loss {' '.join(f"WHEN {i} THEN '{r[1]}'" for i, r in enumerate(_RULES, 1))} END AS found FROM m), o AS (SELECT *, lower(coalesce(source || ' ', '') || coalesce(lang, '') || ' ' || coalesce(found, '')) AS told FROM f)
+SELECT doc_id, found AS loss, coalesce(rule > 0, false) AS loss_inferred, CASE rule WHEN 0 THEN CASE WHEN sure = 0 THEN 1.0::DOUBLE ELSE sure END {' '.join(f"WHEN {i} THEN {r[2]}::DOUBLE" for i, r in enumerate(_RULES, 1))} END AS loss_confidence,
+array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower(coalesce(text, '')), {X.q(w)}) THEN {X.q(w.title())} END" for w in _MADE)}], lambda x: x IS NOT NULL), ',') AS augmentations,
+CASE WHEN contains(told, 'speech') THEN '{L.SPEECH_OBJECTIVE}' WHEN contains(told, 'contrastive') THEN '{L.CONTRASTIVE_OBJECTIVE}' WHEN contains(told, 'mask') AND contains(told, 'language') THEN '{L.MASKED_OBJECTIVE}' WHEN found IS NOT NULL THEN '{L.OTHER_OBJECTIVE}' || found END AS objective FROM o""")
+def training_details(spark, sf):
+    """Losses, augmentations and objectives told by whole texts, some of the losses stated."""
+    none, k = F.lit(None).cast("string"), F.col("doc_id")
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.when(k % 7 == 0, "CTC").alias("loss"), F.lit(None).cast("boolean").alias("loss_inferred"), F.when(k % 2 == 0, 0.0).otherwise(0.6).alias("loss_confidence"), none.alias("architecture"),
+        F.array_compact(F.array("source")).alias("proposed"), none.alias("details"), F.col("lang").alias("dataset"), none.alias("objective"), "text",
+    )
+    found = assess.training_details(rows, _RULES, _MADE, None)
+    return found.select("doc_id", "loss", "loss_inferred", "loss_confidence", F.array_join("augmentations", ",").alias("augmentations"), "objective")

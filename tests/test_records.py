@@ -181,3 +181,32 @@ def test_plans_and_numbers(spark):
     p = lambda xs, s: assess.primary(F.array(*map(F.lit, xs)).cast("array<string>"), F.lit(s).cast("string"))
     row = spark.range(1).select(n("1024 WPM"), n("none"), n("x", "speech WER"), n("x", None, "ASR net"), n("99999999999 vocabulary"), p(["", " ", "A", "B"], "s"), p([], "s"), p([], None)).first()
     assert list(row) == [1024, 10, None, None, 10, "A", "s", None]
+
+
+TRAINING = "loss string, loss_inferred boolean, loss_confidence double, architecture string, proposed array<string>, details string, dataset string, objective string, text string, extra int"
+
+
+def test_training_details_by_rules(spark):
+    rows = [
+        ("CTC", None, 0.0, None, None, None, "LibriSpeech", None, None, 0),
+        ("CTC", True, 0.4, "a GAN", ["Net"], '{"x": "mixup"}', None, None, "SpecAugment and masking", 1),
+        (None, None, None, "a Transducer", None, None, None, None, "a diffusion of noise", 2),
+        ("", None, None, None, ["Encoder", "Discriminator"], None, None, "as said", None, 3),
+        (None, None, None, None, ["Masked net"], '{"y": "Denoising"}', "a language", None, "x" * 3000 + " rnnt", 4),
+        (None, None, None, None, ["Contrastive coder"], None, None, "", "nothing here" + " " * 2000 + "generator", 5),
+        (None, None, None, None, None, None, None, None, None, 6),
+        (None, None, None, None, [], None, "data", None, "", 7),
+    ]
+    given = spark.createDataFrame(rows, TRAINING)
+    get = lambda **how: [tuple(r) for r in assess.training_details(given, **how).orderBy("extra").select("loss", "loss_inferred", "loss_confidence", "augmentations", "objective").collect()]
+    got = get()
+    assert got[0] == ("CTC", False, 1.0, [], "sequence-to-sequence speech recognition training objective")
+    assert got[1] == ("CTC", True, 0.4, ["Masking", "Mixup", "SpecAugment", "Mask"], "training objective centered on CTC")
+    assert got[2] == ("RNNT", True, 0.9, [], "training objective centered on RNNT")
+    assert got[3] == ("adversarial loss", True, 0.75, [], "as said")
+    assert got[4] == ("denoising loss", True, 0.75, [], "masked language modeling objective")
+    assert got[5] == (None, False, None, [], "contrastive representation learning objective")
+    assert got[6] == got[7] == (None, False, None, [], None)
+    whole = get(opening=None)
+    assert whole[4][0] == "RNNT" and whole[5][0] == "adversarial loss" and whole[:4] == got[:4]
+    assert get(rules=[])[2][0] is None and assess.training_details(given.limit(0)).count() == 0
