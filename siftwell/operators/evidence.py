@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
@@ -46,22 +46,79 @@ def overlap(claim: Column, support: Column) -> Column:
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, T.tokens(support))) / F.size(own))
 
 
-def claim_overlaps(claims: DataFrame, documents: DataFrame, hot: int = 50_000) -> DataFrame:
-    """(item_id, doc_id, overlap) for each pair of a row of claims (item_id, text) and a row of documents (doc_id, text) that
-    share a token: the share of the claim's distinct tokens that occur in the document. All rows of both take part; rows that
-    repeat an id, or have none, are rows of their own. A token of more than ``hot`` documents is spread over several keys."""
+def _few(rows: DataFrame, most: int) -> bool:
+    return rows.limit(most + 1).count() <= most
+
+
+def _spread(freq: DataFrame, hot: int) -> DataFrame:
+    """(h_token, salts) of the tokens that more than ``hot`` documents hold."""
+    return freq.filter(F.col("docs") > hot).select(F.col("token").alias("h_token"), F.ceil(F.col("docs") / hot).alias("salts"))
+
+
+def _meeting(posted: DataFrame, asked: DataFrame, spread: DataFrame, few: bool, row: str) -> DataFrame:
+    """posted (token, row and others) joined with asked (c_token and others) on the token; hot tokens go by several keys. There
+    are no more hot tokens than asked tokens, so that few of these bound the broadcast."""
+    hint = F.broadcast if few else lambda rows: rows
+    salted = posted.join(hint(spread), F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64(row), F.coalesce("salts", F.lit(1)))).drop("h_token", "salts")
+    dealt = asked.join(hint(spread), F.col("c_token") == F.col("h_token"), "left").withColumn("c_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
+    return salted.join(dealt, (F.col("token") == F.col("c_token")) & (F.col("salt") == F.col("c_salt"))).drop("salt", "c_salt")
+
+
+def _asked(claims: DataFrame) -> DataFrame:
+    """(c_row, item_id, n, c_token) of the distinct tokens of claims (item_id, text); claims without any drop out."""
     own = claims.select(F.monotonically_increasing_id().alias("c_row"), "item_id", F.array_distinct(T.tokens(F.col("text"))).alias("own"))
-    c = own.select("c_row", "item_id", F.size("own").alias("n"), F.explode("own").alias("c_token"))
+    return own.select("c_row", "item_id", F.size("own").alias("n"), F.explode("own").alias("c_token"))
+
+
+def _posted(documents: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """(d_row, doc_id, token) of the distinct tokens of documents (doc_id, text) that some claim has."""
     # The row is named before the texts are exploded; in one select the name would come after.
     d = documents.select(F.monotonically_increasing_id().alias("d_row"), "doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("has")).select("d_row", "doc_id", F.explode("has").alias("token"))
-    d = d.join(c.select("c_token").distinct(), F.col("token") == F.col("c_token"), "left_semi")
-    spread = d.groupBy(F.col("token").alias("h_token")).agg(F.count("*").alias("docs")).filter(F.col("docs") > hot).select("h_token", F.ceil(F.col("docs") / hot).alias("salts"))
-    salted = d.join(F.broadcast(spread), F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64("d_row"), F.coalesce("salts", F.lit(1)))).drop("h_token", "salts")
-    dealt = c.join(F.broadcast(spread), F.col("c_token") == F.col("h_token"), "left").withColumn("c_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
-    pairs = salted.join(dealt, (F.col("token") == F.col("c_token")) & (F.col("salt") == F.col("c_salt")))
+    vocabulary = asked.select("c_token").distinct()
+    return d.join(F.broadcast(vocabulary) if few else vocabulary, F.col("token") == F.col("c_token"), "left_semi")
+
+
+def claim_overlaps(claims: DataFrame, documents: DataFrame, hot: int = 50_000, most: int = 200_000) -> DataFrame:
+    """(item_id, doc_id, overlap) for each pair of a row of claims (item_id, text) and a row of documents (doc_id, text) that
+    share a token: the share of the claim's distinct tokens that occur in the document. All rows of both take part; rows that
+    repeat an id, or have none, are rows of their own. A token of more than ``hot`` documents is spread over several keys; claims
+    of up to ``most`` tokens in all are broadcast. A pair for any word in common is much: ``claim_supporters`` wants a share."""
+    c = _asked(claims)
+    few = _few(c, most)
+    d = _posted(documents, c, few)
+    pairs = _meeting(d, c, _spread(d.groupBy("token").agg(F.count("*").alias("docs")), hot), few, "d_row")
     return pairs.groupBy("c_row", "item_id", "n", "d_row", "doc_id").agg(F.count("*").alias("shared")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
 
 
+def claim_supporters(claims: DataFrame, documents: DataFrame, percent: int = 50, hot: int = 50_000, most: int = 200_000) -> DataFrame:
+    """(item_id, doc_id, overlap) for each row of claims (item_id, text) and row of documents (doc_id, text) that holds at least
+    so many percent (1 to 100) of the claim's distinct tokens; exact, and without the pairs that share only a common word.
+
+    Claims of the same tokens are one class, as are documents with the same ones of the claims' tokens, so that copies are compared
+    once; classes are named by their tokens, which holds when a lost task runs again. A class that holds k of a claim's n tokens holds one of its n - k + 1 rarest: only these are joined
+    on, and what meets there is counted in full. Claims of up to ``most`` tokens in all are broadcast; else all goes by shuffles,
+    and a token of more than ``hot`` classes by several keys.
+
+    Defined results: claims and documents that are null, empty or without tokens give no row; rows that repeat an id, or have
+    none, are rows of their own; other columns are left out."""
+    named = claims.select("item_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("own")).filter(F.size("own") > 0).withColumn("c_row", F.md5(F.array_join("own", " ")))
+    asks = named.groupBy("c_row").agg(F.first("own").alias("own"))
+    c = asks.select("c_row", F.size("own").alias("n"), F.explode("own").alias("c_token"))
+    few = _few(c, most)
+    hint = F.broadcast if few else lambda rows: rows
+    held = _posted(documents, c, few).groupBy("d_row", "doc_id").agg(F.array_sort(F.collect_list("token")).alias("has")).withColumn("print", F.md5(F.array_join("has", " ")))
+    classes = held.groupBy("print").agg(F.first("has").alias("has"))
+    posted = classes.select("print", F.explode("has").alias("token"))
+    freq = posted.groupBy("token").agg(F.count("*").alias("docs"))
+    ranked = c.join(freq, F.col("c_token") == F.col("token"), "left").withColumn("place", F.row_number().over(Window.partitionBy("c_row").orderBy(F.coalesce("docs", F.lit(0)), "c_token")))
+    rare = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("c_row", "c_token")
+    met = posted.join(F.broadcast(rare), F.col("token") == F.col("c_token")) if few else _meeting(posted, rare, _spread(freq, hot), few, "print")
+    pairs = met.select("c_row", "print").distinct().join(hint(asks), "c_row").join(classes, "print")
+    counted = pairs.select("c_row", "print", F.size("own").alias("n"), F.size(F.array_intersect("own", "has")).alias("shared")).filter(100 * F.col("shared") >= percent * F.col("n"))
+    ids = counted.join(named.select("c_row", "item_id"), "c_row").join(held.select("print", "doc_id"), "print")
+    return ids.select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+
+
 def claim_confidence(score: Column, rerank: Column, shared: Column, coverage: Column, contradiction: Column) -> Column:
     return F.round(clip(0.4 * score + 0.2 * rerank + 0.2 * shared + 0.1 * coverage + 0.1 * (1 - contradiction)), 4)
 
@@ -140,8 +197,6 @@ def recommend(score: Column) -> Column:
 
 def merge_ranked(parts: list[DataFrame], key: str, order: list[Column], k: int) -> DataFrame:
     """The union of parts, one row per key (the first in order), the k first in order."""
-    from pyspark.sql import Window
-
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

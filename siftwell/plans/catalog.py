@@ -340,6 +340,14 @@ def claim_overlap_all(spark, sf):
     return evidence.claim_overlaps(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
 
 
+@query(f"""WITH c AS (SELECT item_id, list_distinct({X.tokens('text')}) AS own FROM benchmark), d AS (SELECT doc_id, list_distinct({X.tokens('text')}) AS has FROM documents),
+p AS (SELECT item_id, doc_id, len(own) AS n, len(list_intersect(own, has)) AS shared FROM c, d)
+SELECT item_id, doc_id, round(shared / n::DOUBLE, 6) AS overlap FROM p WHERE n > 0 AND 100 * shared >= 50 * n""")
+def claim_supporters(spark, sf):
+    """Every claim against every document; the pairs that share half the claim's words."""
+    return evidence.claim_supporters(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+
+
 @query(f"""{_RANKED}, a AS (SELECT paper_id, section_name, avg(score) AS s, avg(rerank_score) AS r, avg(importance) AS o FROM ranked GROUP BY paper_id, section_name)
 SELECT paper_id, section_name, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.4::DOUBLE * s + 0.2::DOUBLE * r + 0.2::DOUBLE * o + 0.1::DOUBLE * 0.5::DOUBLE + 0.1::DOUBLE * (1 - 0.25::DOUBLE))), 4) AS confidence FROM a""")
 def claim_confidence(spark, sf):

@@ -85,11 +85,30 @@ def test_claims_meet_every_document(spark):
     claims = [(1, "Rank decomposition of weights"), (2, "weights weights matter"), (2, "other claim here"), (3, ""), (4, None), (None, "lost rank")]
     docs = [(i, "weights everywhere") for i in range(40, 50)] + [(200, "Rank of a matrix"), (987, "decomposition; weights, RANK"), (987, "matter"), (None, "claim"), (5, None), (6, "nothing shared")]
     want = [(i, d, round(len(words(c) & words(t)) / len(words(c)), 6)) for i, c in claims for d, t in docs if words(c) & words(t)]
-    for hot in (3, 50_000):
-        got = evidence.claim_overlaps(spark.createDataFrame(claims, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), hot)
+    for hot, most in ((3, 200_000), (3, 2), (50_000, 200_000)):
+        got = evidence.claim_overlaps(spark.createDataFrame(claims, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), hot, most)
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_supporters_hold_their_share_of_a_claim(spark):
+    import random
+    import re
+
+    from siftwell import lexicons as L
+
+    rng, vocabulary = random.Random(5), [f"w{i}" for i in range(12)]
+    text = lambda most: " ".join(rng.choices(vocabulary, [40, 20, 10, *[2] * 9], k=rng.randint(0, most)))
+    claims = [(i // 2, text(9)) for i in range(30)] + [(None, "w1 w5"), (3, None), (4, ""), (5, "the of"), (6, "unheard words only"), (6, "unheard w0")]
+    docs = [(i // 2, text(14)) for i in range(60)] + [(None, "w1 w5 w5"), (7, None), (8, ""), (9, "w0 w1 w2"), (9, "w0 w1 w2"), (10, "w2 of W1; w0"), (11, "w4 " * 5000)]
+    words = lambda t: {w for w in re.findall("[a-z0-9]+", (t or "").lower()) if w not in L.STOPWORDS}
+    rows = [spark.createDataFrame([(*r, 1, "x") for r in part], f"{key} long, text string, n int, print string") for part, key in ((claims, "item_id"), (docs, "doc_id"))]
+    for percent, hot, most in ((50, 50_000, 200_000), (50, 2, 3), (70, 50_000, 200_000), (1, 3, 3), (100, 50_000, 200_000)):
+        want = [(i, d, round(len(words(c) & words(t)) / len(words(c)), 6)) for i, c in claims for d, t in docs if words(c) and 100 * len(words(c) & words(t)) >= percent * len(words(c))]
+        got = evidence.claim_supporters(*rows, percent, hot, most)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert evidence.claim_supporters(rows[0].limit(0), rows[1]).count() == evidence.claim_supporters(rows[0], rows[1].limit(0)).count() == 0
+
+
 def test_claim_query_leaves_out_no_document(spark):
     from siftwell.plans import catalog
     from tests.conftest import SF
