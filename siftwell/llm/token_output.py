@@ -132,13 +132,19 @@ class ShardReader:
         """(doc_id, first id's place in the shard, ids), in order; holds one document and one block."""
         held, k, start = np.zeros(0, "<u4"), 0, 0
         for doc_id, n in self.docs.tolist():
-            parts, got = [held], len(held)
-            while got < n:
-                parts.append(self.block(k))
-                got, k = got + len(parts[-1]), k + 1
-            flat = np.concatenate(parts)
-            yield doc_id, start, flat[:n]
-            held, start = flat[n:], start + n
+            # A document within the block at hand is a view of it; only one that goes on beyond is put together.
+            if n > len(held):
+                parts, got = [held], len(held)
+                while got < n:
+                    parts.append(self.block(k))
+                    got, k = got + len(parts[-1]), k + 1
+                rest = parts[-1][len(parts[-1]) - (got - n) :]
+                parts[-1] = parts[-1][: len(parts[-1]) - len(rest)]
+                ids = np.concatenate(parts)
+            else:
+                ids, rest = held[:n], held[n:]
+            yield doc_id, start, ids
+            held, start = rest, start + n
 
 
 def file_system(uri: str):

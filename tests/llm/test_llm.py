@@ -119,7 +119,7 @@ def test_no_documents_make_no_token_rows(spark, empty):
     assert token_output.read_tokens(token_output.write_tokens(empty, PATH, Scratch(spark, "test-tokens").base)).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [[0], [1], [0, 1, 70_000, 5, 65_536, 65_536, 200_000], []])
+@pytest.mark.parametrize("sizes", [[0], [1], [0, 1, 70_000, 5, 65_536, 65_536, 200_000], [65_536, 1, 65_535, 0, 131_072, 3], [10] * 7_000, []])
 @pytest.mark.parametrize("top", [40_000, 2**32])
 def test_shards_round_trip(sizes, top):
     rng, out = np.random.default_rng(1), io.BytesIO()
