@@ -74,3 +74,8 @@ def expanded(query: Column, applies: Column, terms: list[str]) -> Column:
     s = squeeze(query)
     lacking = F.slice(F.filter(F.array(*map(F.lit, terms)), lambda t: ~F.contains(F.lower(s), t)), 1, 4)
     return F.when(applies & (s != "") & (F.size(lacking) > 0), F.concat(s, F.lit(" | focus on "), F.array_join(lacking, "; "))).otherwise(s)
+
+
+def expanded_by_mode(query: Column) -> Column:
+    """A question for formulas with their terms, one for tables with theirs, any other squeezed; null stays null."""
+    return F.when(is_formula_query(query), expanded(query, F.lit(True), L.FORMULA_EXPANSION)).otherwise(expanded(query, is_table_query(query), L.TABLE_EXPANSION))

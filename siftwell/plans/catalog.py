@@ -490,6 +490,21 @@ def query_modes(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", Q.response_mode(t).alias("mode"), Q.is_reference_query(t).alias("about_references"), Q.expanded(t, F.lit(True), L.TABLE_EXPANSION).alias("expanded"))
 
 
+_MORE = lambda terms: f"{X.squeeze('text')} || CASE WHEN trim({X.squeeze('text')}) <> '' AND len({_LACK(terms)}) > 0 THEN ' | focus on ' || array_to_string({_LACK(terms)}, '; ') ELSE '' END"
+#: Questions of each kind, made of benchmark texts, as conversations hold hardly any.
+_ASKED = "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Which formula, or objective: ' WHEN 1 THEN 'Show me the table of ' ELSE '' END || text AS text FROM benchmark"
+
+
+@query(f"""WITH asked AS ({_ASKED} UNION ALL SELECT conv_id + 1000000, text FROM conversations WHERE role = 'user')
+SELECT item_id, CASE WHEN {_QF} THEN {_MORE(L.FORMULA_EXPANSION)} WHEN {_QT} THEN {_MORE(L.TABLE_EXPANSION)} ELSE {X.squeeze('text')} END AS expanded FROM asked""")
+def expanded_questions(spark, sf):
+    """Benchmark texts asked as questions, and all questions of conversations, expanded by their kind."""
+    kind = F.when(F.col("item_id") % 3 == 0, "Which formula, or objective: ").when(F.col("item_id") % 3 == 1, "Show me the table of ").otherwise("")
+    asked = table(spark, sf, "benchmark").select("item_id", F.concat(kind, "text").alias("text"))
+    turns = table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") + 1000000).alias("item_id"), "text")
+    return asked.unionByName(turns).select("item_id", Q.expanded_by_mode(F.col("text")).alias("expanded"))
+
+
 @query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform({X.lines('text')}, lambda s: {X.squeeze('s')}), lambda s: length(s) BETWEEN 12 AND 200 AND lower(s) NOT IN ('abstract', 'introduction') AND NOT regexp_matches(s, '[@{{]') AND {X.letters('s')} >= 10) AS t FROM documents) SELECT doc_id, t[1] AS title FROM l""")
 def title_extract(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.title(F.col("text")).alias("title"))

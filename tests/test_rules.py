@@ -122,3 +122,11 @@ def test_buckets_drop_repeated_summaries_only(spark):
     rows = [(1, same + "first.", 0.9), (2, same + "second.", 0.8), (3, (same + "FIRST.").upper(), 0.7), (4, "   ", 0.9), (5, None, 0.9), *((10 + i, f"Number {i}.", 0.5 - i / 100) for i in range(9))]
     got = retrieval.buckets(spark.createDataFrame([(i, "methods", t, w, 0.5) for i, t, w in rows] + [(50, None, "no bucket", 1.0, 1.0)], "chunk_id long, bucket string, content string, importance double, role_confidence double"))
     assert sorted(r["chunk_id"] for r in got.collect()) == [1, 2, 10, 11, 12, 13]
+
+
+def test_questions_grow_by_their_kind(spark):
+    from siftwell.functions import queries
+
+    asked = {"the  formula": "the formula | focus on equation; mathematical formulation; objective; notation", "a table": "a table | focus on caption; results; metrics", "what else": "what else", "": "", None: None}
+    rows = spark.createDataFrame([(a,) for a in asked], "q string").select("q", queries.expanded_by_mode(F.col("q")).alias("e"))
+    assert {r["q"]: r["e"] for r in rows.collect()} == asked
