@@ -10,7 +10,7 @@ from . import text as T
 
 ONLY_SYMBOLS = r"^[0-9\s+\-*/^=<>()\[\]{}|.,:;%]+$"
 STARTS_WELL = r"^[A-Z0-9\[]"
-VERB = r"(?i)\b(" + "|".join(L.VERBS) + r")\b"
+VERB = T.ascii_edges(r"(?i)\b(" + "|".join(L.VERBS) + r")\b")
 
 
 def banned_prefix(text: Column) -> Column:
@@ -23,21 +23,21 @@ def banned_prefix(text: Column) -> Column:
 def banned_fragment(text: Column) -> Column:
     out = F.lit(False)
     for p in L.BANNED_FRAGMENTS:
-        out = out | text.rlike("(?i)" + p)
+        out = out | text.rlike(T.ascii_edges("(?i)" + p))
     return out
 
 
 def heavy(text: Column) -> Column:
     """Whether a text is symbols only, a known bit of noise, or mostly formula or diagram."""
-    markers = T.matches(F.lower(text), r"\[equation\]|=|o\(|\\[a-z]+|\bfrac\b")
+    markers = T.matches(F.lower(text), T.ascii_edges(r"\[equation\]|=|o\(|\\[a-z]+|\bfrac\b"))
     brackets = F.length(text) - F.length(F.translate(text, "()[]{}", ""))
     return text.rlike(ONLY_SYMBOLS) | banned_fragment(text) | ((markers >= 3) & (T.letters(text) < 50)) | ((brackets >= 12) & (T.letters(text) < 80))
 
 
 def metric_line(line: Column) -> Column:
     low = F.lower(line)
-    named = low.rlike(r"\b(test|dev|baseline|ablation|ours|proposed)\b") & line.rlike(r"\b[0-9]+(\.[0-9]+)?\b")
-    return T.contains_any(low, L.METRICS) | line.rlike(r"\b[0-9]+(\.[0-9]+)?\s*%") | named
+    named = low.rlike(T.ascii_edges(r"\b(test|dev|baseline|ablation|ours|proposed)\b")) & line.rlike(T.ascii_edges(r"\b[0-9]+(\.[0-9]+)?\b"))
+    return T.contains_any(low, L.METRICS) | line.rlike(T.ascii_edges(r"\b[0-9]+(\.[0-9]+)?\s*%")) | named
 
 
 def table_snippet(text: Column, most: int = 4) -> Column:

@@ -117,7 +117,7 @@ def with_clean(rows: DataFrame, text: str = "content", out: str = "f_clean") ->
     null for captions, formulas, diagrams and texts without a sentence start."""
     t = F.col(text)
     first = rows.withColumn("f_raw", T.squeeze(F.translate(t, "\x00", " ")))
-    second = first.withColumn("f_marked", T.squeeze(F.regexp_replace("f_raw", r"(?i)\bEQUATION:\s*", "[equation] ")))
+    second = first.withColumn("f_marked", T.squeeze(F.regexp_replace("f_raw", T.ascii_edges(r"(?i)\bEQUATION:\s*"), "[equation] ")))
     third = second.withColumn("f_start", F.regexp_instr("f_marked", F.lit(r"[.!?]\s+[A-Z0-9\[]")))
     marked = F.col("f_marked")
     fourth = third.withColumn("f_advanced", F.when(marked.rlike(r"^[A-Z0-9\[]"), marked).when(F.col("f_start") > 0, F.ltrim(marked.substr(F.col("f_start") + 1, F.length(marked)))))
