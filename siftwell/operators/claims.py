@@ -69,7 +69,7 @@ def assess_sections(rows: DataFrame, *key: str, cues: dict[str, list[str]] = SEC
 
 def wants_neighbors(role: Column, content: Column) -> Column:
     low = F.lower(content)
-    metric = T.contains_any(low, ["wer", "cer", "bleu", "rouge", "f1", "accuracy", "latency", "error rate", "perplexity"]) | content.rlike(r"\b[0-9]+(\.[0-9]+)?\s*%")
+    metric = T.contains_any(low, ["wer", "cer", "bleu", "rouge", "f1", "accuracy", "latency", "error rate", "perplexity"]) | content.rlike(T.ascii_edges(r"\b[0-9]+(\.[0-9]+)?\s*%"))
     explains = (F.size(T.tokens(content)) <= 40) & T.contains_any(low, ["objective", "loss", "denotes", "represents", "defined as"])
     return role.isin("equation", "formula") | ((role == "evaluation") & metric) | (role.isin("method", "algorithm", "theory") & explains)
 
@@ -94,7 +94,7 @@ def with_neighbors(seeds: DataFrame, chunks: DataFrame, wants: Column | None = N
 def equation_score(latex: Column, quality: Column) -> Column:
     low = F.lower(latex)
     out = F.coalesce(quality, F.lit(0.0)) + F.when(F.contains(latex, F.lit("=")), 2.0).otherwise(0.0)
-    out = out + F.when(T.contains_any(latex, ["+", "Δ", "∆", "×", "*", "∈", "≪", "≤", "≥", "/", "^"]), 0.8).otherwise(0.0) + F.when(low.rlike(r"\b(?:w0|ba|ax|h)\b"), 1.4).otherwise(0.0)
+    out = out + F.when(T.contains_any(latex, ["+", "Δ", "∆", "×", "*", "∈", "≪", "≤", "≥", "/", "^"]), 0.8).otherwise(0.0) + F.when(low.rlike(T.ascii_edges(r"\b(?:w0|ba|ax|h)\b")), 1.4).otherwise(0.0)
     out = out + F.when(T.contains_any(low, ["where ", "defined as", "denotes", "represents", "composition"]), 0.7).otherwise(0.0) - F.when(latex.rlike(r"^[A-Za-zΔ∆αβσ_'\s0-9]+$"), 0.9).otherwise(0.0)
     return F.round(out, 4)
 
@@ -129,7 +129,7 @@ def look_like_equations(entries: Column) -> Column:
 def structural_score(content: Column) -> Column:
     """How much of a text is technical: long words, signs, cues of algorithms and results."""
     low = F.lower(content)
-    return T.matches(content, T.TECHNICAL) + T.matches(content, r"[=<>+\-*/^]|O\(") + 2 * T.matches(low, r"\b(for each|while|if|algorithm|procedure|return)\b") + 2 * T.matches(low, r"\b(results?|benchmark|comparison|ablation|table|figure)\b")
+    return T.matches(content, T.TECHNICAL) + T.matches(content, r"[=<>+\-*/^]|O\(") + 2 * T.matches(low, T.ascii_edges(r"\b(for each|while|if|algorithm|procedure|return)\b")) + 2 * T.matches(low, T.ascii_edges(r"\b(results?|benchmark|comparison|ablation|table|figure)\b"))
 
 
 def relevant_chunks(rows: DataFrame, key: str, k: int = 12) -> DataFrame:
