@@ -42,7 +42,7 @@ def section_weight(section: Column) -> Column:
 
 
 def rerank(score: Column, kind: Column, role_name: Column, weight: Column) -> Column:
-    return F.round(0.5 * score + 0.3 * role_match(kind, role_name) + 0.2 * weight, 4)
+    return T.nearest(0.5 * score + 0.3 * role_match(kind, role_name) + 0.2 * weight, 4)
 
 
 def sentences(text: Column) -> Column:

@@ -81,14 +81,14 @@ def rerank(rows: DataFrame, kind: str, formula: bool = False) -> DataFrame:
     value = 0.5 * F.col("score") + 0.3 * S.role_match(F.lit(kind), F.col("role")) + 0.2 * F.col("importance")
     if formula:
         value = value + 0.18 * T.formula_candidate_bonus(F.col("role"), F.col("content"))
-    return rows.withColumns({"role_match_weight": S.role_match(F.lit(kind), F.col("role")), "intent_role_weight": S.role_weight(F.lit(kind), F.col("role")), "rerank_score": F.round(value, 4)})
+    return rows.withColumns({"role_match_weight": S.role_match(F.lit(kind), F.col("role")), "intent_role_weight": S.role_weight(F.lit(kind), F.col("role")), "rerank_score": T.nearest(value, 4)})
 
 
 def normalised(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
     """rows with semantic_rank_score: the place of a score between the least and the greatest of its group; 1 if all are equal."""
     w = Window.partitionBy(*group)
     span = F.max("score").over(w) - F.min("score").over(w)
-    return rows.withColumn("semantic_rank_score", F.round(F.when(span > 0, (F.col("score") - F.min("score").over(w)) / span).otherwise(1.0), 4))
+    return rows.withColumn("semantic_rank_score", T.nearest(F.when(span > 0, (F.col("score") - F.min("score").over(w)) / span).otherwise(1.0), 4))
 
 
 def overfetched(rows: DataFrame, key: tuple[str, ...], k: int, least: int = 40, tie: str = "chunk_id") -> DataFrame:
@@ -143,7 +143,7 @@ def retrieve_sections(rows: DataFrame, key: tuple[str, ...], kind: str, k: int =
     value = 0.7 * F.col("score") + 0.3 * S.section_prior(F.lit(kind), F.col("section_name"))
     if formula:
         value = value + 0.18 * T.formula_section_bonus(F.col("section_name"))
-    named = found.withColumns({"value": F.round(value, 6), "weight": S.section_weight(F.col("section_name")), "norm": F.coalesce(T.section_name(F.col("section_name")), F.lit(""))})
+    named = found.withColumns({"value": T.nearest(value, 6), "weight": S.section_weight(F.col("section_name")), "norm": F.coalesce(T.section_name(F.col("section_name")), F.lit(""))})
     order = [F.desc("value"), F.desc("quality_score"), F.desc("weight"), F.asc("section_order"), F.asc("chunk_id")]
     one = named.withColumn("r", F.row_number().over(Window.partitionBy(*key, "norm").orderBy(*order))).filter("r = 1").drop("r")
     return one.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("place") <= k).drop("norm", "weight")
@@ -159,7 +159,7 @@ def retrieve_subsections(rows: DataFrame, key: tuple[str, ...], sections: list[s
         value = value + 0.16 * G.formula_subsection_bonus(F.col("subsection_name"), F.col("content"))
     page = F.coalesce(F.nullif("page_number", F.lit(0)), F.lit(10**6)) if "page_number" in rows.columns else F.lit(0)
     order = [F.desc("value"), F.desc("quality_score"), page.asc(), F.asc("chunk_id")]
-    ranked = found.withColumn("value", F.round(value, 6)).withColumn("r", F.row_number().over(Window.partitionBy(*key, "section_name").orderBy(*order)))
+    ranked = found.withColumn("value", T.nearest(value, 6)).withColumn("r", F.row_number().over(Window.partitionBy(*key, "section_name").orderBy(*order)))
     share = max(1, k // max(1, len(sections)))
     at = T.lookup(F.col("section_name"), {s: i for i, s in enumerate(sections)}, len(sections)) if sections else F.lit(0)
     tier = F.when(F.col("r") <= share, at).otherwise(len(sections) + 1)
@@ -179,7 +179,7 @@ def balanced_select(rows: DataFrame, k: int, per_section: int = 3, near: float =
 
 def quota(rows: DataFrame, per_section: int, k: int) -> DataFrame:
     """At most so many rows of a section by weighted score, then the others, k in all."""
-    weighted = F.round(F.col("score") * S.section_weight(F.col("section_name")), 6)
+    weighted = T.nearest(F.col("score") * S.section_weight(F.col("section_name")), 6)
     order = [F.desc("weighted"), F.asc("chunk_id")]
     ranked = rows.withColumn("weighted", weighted).withColumn("r", F.row_number().over(Window.partitionBy("section_name").orderBy(*order)))
     return top(ranked.withColumn("extra", (F.col("r") > per_section).cast("int")), k, F.asc("extra"), *order).drop("r")
@@ -189,7 +189,7 @@ def best_sections(rows: DataFrame, kind: str, k: int, references: bool = False)
     """One row per section name by 0.7 score + 0.3 prior, the k best."""
     if not references:
         rows = rows.filter(~F.coalesce(T.section_name(F.col("section_name")) == "references", F.lit(False)))
-    rows = rows.withColumn("value", F.round(0.7 * F.col("score") + 0.3 * S.section_prior(F.lit(kind), F.col("section_name")), 6))
+    rows = rows.withColumn("value", T.nearest(0.7 * F.col("score") + 0.3 * S.section_prior(F.lit(kind), F.col("section_name")), 6))
     one = rows.withColumn("r", F.row_number().over(Window.partitionBy("section_name").orderBy(F.desc("value"), "chunk_id"))).filter("r = 1").drop("r")
     return top(one, k, F.desc("value"), F.asc("chunk_id"))
 
@@ -228,7 +228,7 @@ def rank_tables(rows: DataFrame, query: str, k: int) -> DataFrame:
     if "ablation" in low:
         value = value + F.when(F.col("table_type") == "ablation", 0.14).otherwise(0.0)
     value = value + F.when(F.coalesce(F.length("caption"), F.lit(0)) > 0, 0.12).otherwise(0.0)
-    return top(rows.withColumn("value", F.round(value, 6)), k, F.desc("value"), F.desc(F.length("text")), F.asc("table_id"))
+    return top(rows.withColumn("value", T.nearest(value, 6)), k, F.desc("value"), F.desc(F.length("text")), F.asc("table_id"))
 
 
 def buckets(rows: DataFrame, most: int = 6) -> DataFrame:
