@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 _loaded: dict[str, object] = {}
 
 
@@ -18,6 +20,8 @@ class TokenCounter:
 
                 _loaded[self.path] = sentencepiece.SentencePieceProcessor(model_file=self.path)
             else:
+                # A task has one core: threads of the library's own would only take memory, each an arena.
+                os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
                 from tokenizers import Tokenizer
 
                 made = Tokenizer.from_file(self.path)

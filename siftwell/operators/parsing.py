@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as T
+from ..functions.batches import slices
 from . import documents
 
 TABLE_LABEL = r"(?i)\btable\s+([0-9]+)\b"
@@ -141,23 +142,30 @@ def chunk_sections(sections: DataFrame, id_col: str, most: int = 400, overlap: i
     content, token_count. ``count`` gives a unit's tokens (words unless a tokenizer is brought, ``functions.tokens``). With
     guard, a segment that it fails on gives one row with its ``error`` and without content, and the others go on."""
     kind = dict(sections.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, order, name, sub, text in zip(pdf[id_col], pdf["section_order"], pdf["section_name"], pdf["subsection_name"], pdf["content"]):
-                try:
-                    units = merge_units(text_units((text or "").replace("\x00", "")))
-                    sizes = count.many(units) if hasattr(count, "many") else [count(u) for u in units]
-                    rows += [(key, order, i, name, sub, c, n, None) for i, (c, n) in enumerate(documents.pack_units(list(zip(units, sizes)), most, overlap))]
-                except Exception as e:
-                    if not guard:
-                        raise
-                    rows.append((key, order, 0, name, sub, None, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[id_col, "section_order", "local", "section_name", "subsection_name", "content", "token_count", "error"])
-
-    kept = sections.select(id_col, "section_order", "section_name", "subsection_name", "content")
-    made = kept.mapInPandas(run, f"`{id_col}` {kind}, section_order int, local int, section_name string, subsection_name string, content string, token_count int, error string")
+    names = [id_col, "section_order", "section_name", "subsection_name"]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.string()]
+
+    def chunked(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []  # of the segment's place in the part, its chunk's place, content, tokens, error
+        for at, text in enumerate(part.column("content").to_pylist()):
+            try:
+                units = merge_units(text_units((text or "").replace("\x00", "")))
+                sizes = count.many(units) if hasattr(count, "many") else [count(u) for u in units]
+                rows += [(at, i, c, n, None) for i, (c, n) in enumerate(documents.pack_units(list(zip(units, sizes)), most, overlap))]
+            except Exception as e:
+                if not guard:
+                    raise
+                rows.append((at, 0, None, 0, f"{type(e).__name__}: {e}"))
+        at, *made = zip(*rows) if rows else [()] * 5
+        own = part.select(names).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, made, types)], [*names, "local", "content", "token_count", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(chunked, slices(batch, "c_bytes"))
+
+    kept = sections.select(id_col, F.col("section_order").cast("int").alias("section_order"), "section_name", "subsection_name", "content", F.octet_length("content").alias("c_bytes"))
+    made = kept.mapInArrow(run, f"`{id_col}` {kind}, section_order int, section_name string, subsection_name string, local int, content string, token_count int, error string")
     index = F.row_number().over(Window.partitionBy(id_col).orderBy("section_order", "local")) - 1
     return made.withColumn("chunk_index", index).select(id_col, "chunk_index", "section_name", "subsection_name", "content", "token_count", *(["error"] if guard else []))
 
