@@ -6,12 +6,13 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as T
+from ..functions.batches import slices
 
 
 def heading(line: Column, aliases: dict[str, str] = L.SECTION_ALIASES) -> Column:
@@ -115,16 +116,21 @@ def pack_units(units: list[tuple[str, int]], most: int, overlap: int) -> list[tu
 def pack_chunks(docs: DataFrame, id_col: str, text_col: str, most: int = 400, overlap: int = 50) -> DataFrame:
     """Chunks of each text: id, chunk_index, content, token_count. Units are sentences within lines; tokens are words."""
     units = F.flatten(F.transform(T.lines(F.col(text_col)), lambda s: F.split(s, r"(?<=[.!?])\s+(?=[A-Z0-9])")))
-    kept = docs.select(F.col(id_col), units.alias("units")).withColumn("sizes", F.transform("units", lambda u: T.word_count(u)))
+    kept = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), units.alias("units"), F.octet_length(text_col).alias("c_bytes")).withColumn("sizes", F.transform("units", lambda u: T.word_count(u)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, us, ns in zip(pdf[id_col], pdf["units"], pdf["sizes"]):
-                rows += [(key, i, c, n) for i, (c, n) in enumerate(pack_units(list(zip(us, map(int, ns))), most, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content", "token_count"])
+    def packed(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for at, (us, ns) in enumerate(zip(part.column("units").to_pylist(), part.column("sizes").to_pylist())):
+            rows += [(at, i, c, n) for i, (c, n) in enumerate(pack_units(list(zip(us, ns)), most, overlap))]
+        at, *made = zip(*rows) if rows else [()] * 4
+        own = part.column(id_col).take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([own, *map(pa.array, made, [pa.int32(), pa.string(), pa.int32()])], [id_col, "chunk_index", "content", "token_count"])
 
-    return kept.mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, chunk_index int, content string, token_count int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from map(packed, slices(batch, "c_bytes"))
+
+    return kept.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, chunk_index int, content string, token_count int")
 
 
 def claim_units(text: Column) -> Column:
