@@ -15,6 +15,10 @@ from ..functions import text as T
 
 _ASSIGNMENT = re.compile(L.ASSIGNMENT)
 _TARGETED = [re.compile(p, re.IGNORECASE) for p in L.TARGETED_EQUATIONS]
+#: L.CHUNK_EQUATIONS for Java, with the same matches in linear time: what stands before an equals sign can be read in one way only, so
+#: that nothing is tried twice, and a first match starts where a run of letters does or where the last match ended.
+_LETTER = "[A-Za-z0-9˜′'`_]"
+_CHUNK_EQUATIONS = [rf"(?:(?<!{_LETTER})|\G){_LETTER}++\s*+[A-Za-z0-9˜′'`_()]*+\s*+=\s*[^.;\n]{{6,180}}", L.CHUNK_EQUATIONS[1]]
 _MARK = re.compile(r"\bequation:\s*", re.IGNORECASE)
 
 
@@ -82,7 +86,7 @@ def section_text_equations(rows: DataFrame, key: str, text: str, near: float = 1
 
 def chunk_equations(text: Column) -> Column:
     """The assignments and O(...) terms of a chunk, squeezed, one of each (case aside), in the order in which they are found."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in L.CHUNK_EQUATIONS])
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in _CHUNK_EQUATIONS])
     neat = F.filter(F.transform(found, lambda e: F.btrim(F.replace(T.squeeze(e), F.lit("[equation]"), F.lit("")), F.lit(" ,;:"))), lambda e: e != "")
-    lowered = lambda e: F.transform(e, lambda x: F.lower(x))
-    return T.bind(neat, lambda e: F.filter(F.transform(e, lambda x, i: F.when(F.array_position(lowered(e), F.lower(x)) == i + 1, x)), lambda x: x.isNotNull()))
+    both = T.bind(neat, lambda e: F.struct(e.alias("e"), F.transform(e, lambda x: F.lower(x)).alias("low")))
+    return T.bind(both, lambda b: F.filter(F.transform(b["e"], lambda x, i: F.when(F.array_position(b["low"], F.lower(x)) == i + 1, x)), lambda x: x.isNotNull()))
