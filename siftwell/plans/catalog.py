@@ -172,7 +172,9 @@ ranked AS (SELECT * EXCLUDE (ranked), {X.quality('content')} AS quality_score, r
 
 def _annotated(spark, sf):
     rows = chunks(spark, sf)
-    scored = retrieval.scored(rows, retrieval.query_vector(rows, 0, "chunk_id"))
+    # Dealt by paper, for the window over its few chunks, before all that is costly: a broadcast join leaves the chunks in the few files
+    # that hold their ids, and the work with them in as few tasks.
+    scored = retrieval.scored(rows, retrieval.query_vector(rows, 0, "chunk_id")).repartition("paper_id")
     return retrieval.rerank(annotate.annotated(scored, ("paper_id",), L.TEST_ROLES, ROLES), "method")
 
 
