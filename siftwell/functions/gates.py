@@ -10,11 +10,15 @@ from . import text as T
 
 ONLY_SYMBOLS = r"^[0-9\s+\-*/^=<>()\[\]{}|.,:;%]+$"
 STARTS_WELL = r"^[A-Z0-9\[]"
+#: Where one of the fragments stands, whatever stands beside it: one pass that stops at letters that can begin one.
+_BARE = [p.replace(r"\b", "") for p in L.BANNED_FRAGMENTS]
+_FRAGMENT = "(?i)(?=[" + "".join(sorted({p[0] for p in _BARE})) + "])(?:" + "|".join(_BARE) + ")"
 VERB = T.ascii_edges(r"(?i)\b(" + "|".join(L.VERBS) + r")\b")
 
 
 def banned_prefix(text: Column) -> Column:
-    low, out = F.lower(F.trim(text)), F.lit(False)
+    # Of a long text only as much is lower-cased as the longest start has, and more.
+    low, out = F.lower(F.substring(F.trim(text), 1, 4 * max(map(len, L.BANNED_STARTS)))), F.lit(False)
     for p in L.BANNED_STARTS:
         out = out | low.startswith(p)
     return out
@@ -24,14 +28,16 @@ def banned_fragment(text: Column) -> Column:
     out = F.lit(False)
     for p in L.BANNED_FRAGMENTS:
         out = out | text.rlike(T.ascii_edges("(?i)" + p))
-    return out
+    return text.rlike(_FRAGMENT) & out
 
 
 def heavy(text: Column) -> Column:
     """Whether a text is symbols only, a known bit of noise, or mostly formula or diagram."""
     markers = T.matches(F.lower(text), T.ascii_edges(r"\[equation\]|=|o\(|\\[a-z]+|\bfrac\b"))
     brackets = F.length(text) - F.length(F.translate(text, "()[]{}", ""))
-    return text.rlike(ONLY_SYMBOLS) | banned_fragment(text) | ((markers >= 3) & (T.letters(text) < 50)) | ((brackets >= 12) & (T.letters(text) < 80))
+    few = (~T.has_letters(text, 50) & (markers >= 3)) | (brackets >= 12)
+    # Texts of 80 letters, nearly all, are looked at no further.
+    return text.rlike(ONLY_SYMBOLS) | banned_fragment(text) | (~T.has_letters(text, 80) & few)
 
 
 def metric_line(line: Column) -> Column:
@@ -62,6 +68,11 @@ def noun_phrase(text: Column) -> Column:
     return (n <= 1) | ((n <= 5) & ~text.rlike(VERB))
 
 
+def may_pass(role: Column, confidence: Column) -> Column:
+    """What ``quality_chunk`` asks of a chunk whatever its text."""
+    return (role != "other") & (confidence >= 0.35)
+
+
 def quality_chunk(summary: Column, role: Column, confidence: Column) -> Column:
     """Whether a chunk's summary says enough to be evidence."""
     s = F.trim(F.coalesce(summary, F.lit("")))

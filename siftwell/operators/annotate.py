@@ -34,8 +34,8 @@ def text_features(rows: DataFrame, text: str = "content") -> DataFrame:
 
 def with_signals(rows: DataFrame, text: str = "content") -> DataFrame:
     """rows (with f_low) with f_equation, f_pseudo, f_result, f_metric."""
-    t = F.col(text)
-    return rows.withColumns({"f_equation": T.equation_signal(t), "f_pseudo": T.pseudocode_signal(t), "f_result": T.result_signal(t), "f_metric": T.metric_signal(t)})
+    t, low = F.col(text), F.col("f_low")
+    return rows.withColumns({"f_equation": T.equation_signal(t, low), "f_pseudo": T.pseudocode_signal(t, low), "f_result": T.result_signal(t, low), "f_metric": T.metric_signal(t, low=low)})
 
 
 def with_quality(rows: DataFrame, text: str = "content") -> DataFrame:
@@ -112,17 +112,30 @@ def annotated(rows: DataFrame, group: tuple[str, ...], keywords: dict | None = N
     return plain(placed(out, group), PARTS if parts else [])
 
 
+def gated(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """``annotated`` rows for those that only want what passes the gate: without quality_score; a row whose role or confidence fails has
+    an empty summary, as nothing of its text can matter then."""
+    roled = with_role(with_signals(rows.withColumn("f_low", F.lower("content"))))
+    out = with_summary(roled.withColumn("f_text", F.when(G.may_pass(F.col("role"), F.col("role_confidence")), F.col("content"))), "f_text", "summary")
+    out = out.withColumns({"summary": F.coalesce("summary", F.lit("")), "f_technical": T.technical_density(F.col("f_text"))})
+    return plain(placed(out.withColumn("quality_pass", G.quality_chunk(F.col("summary"), F.col("role"), F.col("role_confidence"))), group))
+
+
 def with_clean(rows: DataFrame, text: str = "content", out: str = "f_clean") -> DataFrame:
     """rows with a chunk's text as it is indexed: from its first sentence start on, a table's header with its telling lines, or
     null for captions, formulas, diagrams and texts without a sentence start."""
     t = F.col(text)
-    first = rows.withColumn("f_raw", T.squeeze(F.translate(t, "\x00", " ")))
-    second = first.withColumn("f_marked", T.squeeze(F.regexp_replace("f_raw", T.ascii_edges(r"(?i)\bEQUATION:\s*"), "[equation] ")))
+    # Squeezed as by T.squeeze, but that only texts with runs of blanks, or marks, are taken apart.
+    flat = rows.withColumn("f_flat", F.translate(t, "\x00\t\n\x0b\f\r", " " * 6))
+    first = flat.withColumn("f_raw", F.trim(F.when(F.contains("f_flat", F.lit("  ")), F.regexp_replace("f_flat", " {2,}", " ")).otherwise(F.col("f_flat"))))
+    marks = T.squeeze(F.regexp_replace("f_raw", T.ascii_edges(r"(?i)\bEQUATION:\s*"), "[equation] "))
+    second = first.withColumn("f_marked", F.when(F.contains("f_raw", F.lit(":")), marks).otherwise(F.col("f_raw")))
     third = second.withColumn("f_start", F.regexp_instr("f_marked", F.lit(r"[.!?]\s+[A-Z0-9\[]")))
     marked = F.col("f_marked")
     fourth = third.withColumn("f_advanced", F.when(marked.rlike(r"^[A-Z0-9\[]"), marked).when(F.col("f_start") > 0, F.ltrim(marked.substr(F.col("f_start") + 1, F.length(marked)))))
-    good = (F.col("f_raw") != "") & ~G.banned_prefix(F.col("f_raw")) & ~G.heavy(marked) & ~G.banned_prefix(F.col("f_advanced")) & ~G.heavy(F.col("f_advanced"))
-    return fourth.withColumn(out, F.when(F.lower("f_raw").startswith("table:"), G.table_snippet(t)).when(good, F.col("f_advanced")))
+    moved = F.col("f_advanced") != marked
+    good = (F.col("f_raw") != "") & ~G.banned_prefix(F.col("f_raw")) & ~G.heavy(marked) & ~G.banned_prefix(F.col("f_advanced")) & ~(moved & G.heavy(F.col("f_advanced")))
+    return fourth.withColumn(out, F.when(F.lower(F.substring("f_raw", 1, 24)).startswith("table:"), G.table_snippet(t)).when(good, F.col("f_advanced")))
 
 
 def with_summary(rows: DataFrame, text: str = "content", out: str = "summary", most: int = 300, enough: int = 140) -> DataFrame:

@@ -15,6 +15,12 @@ from ..functions import text as T
 from ..functions.batches import slices
 
 
+def may_open(line: Column, aliases: dict[str, str]) -> Column:
+    """Whether a line begins, numbering aside, with the first word of an alias; no other line need be compared with all of them."""
+    words = "|".join(rf"\Q{w}\E" for w in sorted({a.split(" ")[0] for a in aliases}))
+    return line.rlike(rf"^(?iu)\s*(?:[0-9]+(?:\.[0-9]+)*\s*)?(?:{words})")
+
+
 def heading(line: Column, aliases: dict[str, str] = L.SECTION_ALIASES) -> Column:
     """The section that a line opens: an alias, numbering aside, or a line that starts with one; null otherwise."""
     bare = T.squeeze(F.regexp_replace(F.lower(line), r"^\s*[0-9]+(\.[0-9]+)*\s*", ""))
@@ -23,7 +29,7 @@ def heading(line: Column, aliases: dict[str, str] = L.SECTION_ALIASES) -> Column
     # One constant list of aliases: nested choices, one for each, would take planning ages.
     known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for a, n in aliases.items()])
     led = F.filter(known, lambda x: F.startswith(low, F.concat(x["alias"], F.lit(":"))) | F.startswith(low, F.concat(x["alias"], F.lit(" "))))
-    return F.coalesce(name, F.try_element_at(led, F.lit(1))["name"])
+    return F.when(may_open(line, aliases), F.coalesce(name, F.try_element_at(led, F.lit(1))["name"]))
 
 
 def subheading(line: Column) -> Column:
@@ -52,11 +58,13 @@ def segments(lines: DataFrame, id_col: str, opens: Column, name: Column, first:
     return runs.withColumn("section_order", order).select(id_col, "section_order", F.coalesce("name", F.lit(first)).alias("section_name"), "content")
 
 
-def merged(parts: DataFrame, *key: str, order: str = "section_order", content: str = "content") -> DataFrame:
-    """Segments of one key joined in order by a blank line, with the first order and the number of parts; a null name is a key."""
+def merged(parts: DataFrame, *key: str, order: str = "section_order", content: str = "content", **more: Column) -> DataFrame:
+    """Segments of one key joined in order by a blank line, with the first order and the number of parts; a null name is a key. more:
+    further aggregates by name."""
     return parts.groupBy(*key).agg(
         F.min(order).alias("first_order"), F.count("*").alias("n_parts"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda x: x[content]), "\n\n").alias("content"),
+        *[c.alias(name) for name, c in more.items()],
     )
 
 

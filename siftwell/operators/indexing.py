@@ -41,7 +41,7 @@ def cleaned(chunks: DataFrame) -> DataFrame:
 def prepared(chunks: DataFrame, id_col: str) -> DataFrame:
     """Clean chunks as they are indexed: with role, importance and summary, those that pass the gate; their index and its basis, the
     number of all chunks, stay."""
-    return annotate.annotated(chunks, (id_col,)).filter("quality_pass").drop("n_candidates", "quality_score", "quality_pass")
+    return annotate.gated(chunks, (id_col,)).filter("quality_pass").drop("n_candidates", "quality_pass")
 
 
 def top_chunk_domains(chunks: DataFrame, id_col: str, k: int = 20) -> DataFrame:

@@ -76,7 +76,7 @@ def primary_heading(line: Column, aliases: dict[str, str] = L.SECTION_ALIASES) -
     known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name"), F.lit(a.title()).alias("title")) for a, n in aliases.items()])
     first = F.try_element_at(F.filter(known, lambda x: F.startswith(low, F.concat(x["alias"], F.lit(":"))) | F.startswith(low, F.concat(x["alias"], F.lit(" ")))), F.lit(1))
     led = T.bind(first, lambda x: F.when(x.isNotNull(), made(x["name"], x["title"], F.nullif(F.regexp_replace(F.substr(s, F.length(x["alias"]) + 1), r"^[ :\-\t]+", ""), F.lit("")))))
-    return F.when(name.isNotNull(), made(name, s, F.lit(None).cast("string"))).otherwise(led)
+    return F.when(documents.may_open(line, aliases), F.when(name.isNotNull(), made(name, s, F.lit(None).cast("string"))).otherwise(led))
 
 
 def parse_sections(lines: DataFrame, id_col: str, aliases: dict[str, str] = L.SECTION_ALIASES, subsections: bool = True) -> DataFrame:
@@ -91,13 +91,18 @@ def parse_sections(lines: DataFrame, id_col: str, aliases: dict[str, str] = L.SE
     text = F.when(F.col("opens"), F.col("primary.rest")).otherwise(F.when(F.trim("line") != "", F.col("line")))
     body = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("pos", text.alias("text")))))
     first = F.min(F.when(F.trim("line") != "", F.struct("pos", "page_number")))
-    found = runs.groupBy(id_col, "section", "run").agg(F.max("primary").alias("opener"), F.max("sub").alias("subsection_name"), first["page_number"].alias("page_number"), F.array_join(F.transform(body, lambda x: x["text"]), "\n").alias("content"))
-    named = found.withColumn("own", F.max("opener").over(Window.partitionBy(id_col, "section"))).filter(F.trim("content") != "")
-    order = F.row_number().over(Window.partitionBy(id_col).orderBy("run")) - 1
-    out = named.withColumn("section_order", order).select(id_col, "section_order", F.coalesce("own.name", F.lit("front_matter")).alias("section_name"), F.coalesce("own.heading", F.lit("Front Matter")).alias("section_heading"), "subsection_name", "page_number", "content")
-    bare = lines.join(out.select(F.col(id_col).alias("o_id")), F.col(id_col) == F.col("o_id"), "left_anti")
-    whole = bare.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content")).filter(F.trim("content") != "")
-    return out.unionByName(whole.select(id_col, F.lit(0).alias("section_order"), F.lit("front_matter").alias("section_name"), F.lit("Front Matter").alias("section_heading"), F.lit(None).cast("string").alias("subsection_name"), F.lit(1).cast(out.schema["page_number"].dataType).alias("page_number"), "content"))
+    joined = lambda of, field: F.array_join(F.transform(of, lambda x: x[field]), "\n")
+    # Lines that aren't content go along, as those of a document that has nothing else are its content: headings and blank lines.
+    rest = F.collect_list(F.when(text.isNull(), F.struct("pos", "line")))
+    found = runs.groupBy(id_col, "section", "run").agg(F.max("primary").alias("opener"), F.max("sub").alias("subsection_name"), first["page_number"].alias("page_number"), joined(body, "text").alias("content"), rest.alias("rest"))
+    full, ids = F.trim("content") != "", Window.partitionBy(id_col)
+    named = found.withColumn("own", F.max("opener").over(Window.partitionBy(id_col, "section"))).withColumn("bare", ~F.max(full).over(ids)).filter(full | F.col("bare"))
+    placed = named.withColumn("section_order", F.row_number().over(ids.orderBy("run")) - 1).withColumn("all", F.collect_list(F.when(F.col("bare"), F.col("rest"))).over(ids))
+    placed = placed.filter(~F.col("bare") | (F.col("section_order") == 0))
+    own = lambda column, other: F.when(F.col("bare"), other).otherwise(column)
+    front, title = F.lit("front_matter"), F.lit("Front Matter")
+    out = placed.select(id_col, "section_order", own(F.coalesce("own.name", front), front).alias("section_name"), own(F.coalesce("own.heading", title), title).alias("section_heading"), own(F.col("subsection_name"), None).alias("subsection_name"), own(F.col("page_number"), 1).cast(lines.schema["page_number"].dataType).alias("page_number"), own(F.col("content"), joined(F.array_sort(F.flatten("all")), "line")).alias("content"))
+    return out.filter(F.trim("content") != "")
 
 
 # Units and chunks: a small helper for each text, in Arrow batches

@@ -54,6 +54,15 @@ def with_vectors(rows: DataFrame, text: str, embed: Callable[[list[str]], list[l
     return rows.mapInPandas(run, f"{fields}, embedding array<float>, error string")
 
 
+def joined(segs: DataFrame, embed, *key: str) -> DataFrame:
+    """Segments of one key merged, with token_count, embedding and error; without ``embed``, by the segments' own counts and words."""
+    if embed is not None:
+        return with_vectors(documents.merged(segs, *key).withColumn("token_count", T.word_count(F.col("content"))), "content", embed)
+    made = documents.merged(segs, *key, token_count=F.sum("words").cast("int"), counts=F.collect_list("counts"))
+    total = F.aggregate(F.slice("counts", F.lit(2), F.size("counts")), F.col("counts")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return made.withColumn("embedding", total.cast("array<float>")).withColumn("error", F.lit(None).cast("string")).drop("counts")
+
+
 def page_lines(blocks: DataFrame, key: str) -> DataFrame:
     """(key, pos, line, page_number) of page blocks (key, page_number, block_index, text): blocks of a page joined by blank lines."""
     order = F.array_sort(F.collect_list(F.struct("block_index", F.coalesce("text", F.lit("")).alias("text"))))
@@ -86,18 +95,17 @@ def index_documents(taken: DataFrame, staging: str, key: str = "paper_id", block
         paged = page_lines(own, key)
         plain = lines.join(own.select(F.col(key).alias("p_key")).distinct(), F.col(key) == F.col("p_key"), "left_anti")
         lines = paged.unionByName(plain.withColumn("pos", F.struct(F.lit(None).cast("int").alias("page_number"), F.col("pos").alias("at"))))
-    segs = stored(parsing.parse_sections(lines, key, aliases), f"{staging}/segments")
+    segs = parsing.parse_sections(lines, key, aliases)
+    if embed is None:  # counts of words are those of the parts added up, so that each text is counted once for all that it goes into
+        segs = segs.withColumns({"counts": hashed_embedding(T.tokens(F.col("content"))), "words": T.word_count(F.col("content"))})
+    segs = stored(segs, f"{staging}/segments")
     raw = stored(parsing.chunk_sections(segs, key, most, overlap, count, guard=True), f"{staging}/raw")
     clean = stored(cleaned(raw.filter("error is null").drop("error")), f"{staging}/clean")
-    made = {
-        "sections": (documents.merged(segs, key, "section_name"), "content"),
-        "subsections": (documents.merged(segs, key, "section_name", "subsection_name"), "content"),
-        "chunks": (prepared(clean, key), "content"),
-    }
+    made = {"sections": joined(segs, embed, key, "section_name"), "subsections": joined(segs, embed, key, "section_name", "subsection_name"), "chunks": with_vectors(prepared(clean, key), "content", embed)}
     if blocks is not None:
         found = parsing.table_artifacts(own.withColumnRenamed(key, "id"), segs.withColumnRenamed(key, "id")).withColumnRenamed("id", key)
-        made["tables"] = (found, "normalized_table_text")
-    out = {name: stored(with_vectors(rows.withColumn("token_count", T.word_count(F.col(text))) if name != "chunks" else rows, text, embed), f"{staging}/{name}") for name, (rows, text) in made.items()}
+        made["tables"] = with_vectors(found.withColumn("token_count", T.word_count(F.col("normalized_table_text"))), "normalized_table_text", embed)
+    out = {name: stored(rows, f"{staging}/{name}") for name, rows in made.items()}
     failures = [unread, raw.filter("error is not null").select(key, F.lit("chunk").alias("step"), "error")]
     failures += [rows.filter("error is not null").select(key, F.lit("vector").alias("step"), F.concat_ws(": ", F.lit(name), "error").alias("error")) for name, rows in out.items()]
     every = failures[0]
