@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
@@ -17,6 +18,26 @@ def stored(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Removes what ``stored`` has written, once nothing reads it any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go as it ends; else they stay until the driver happens to collect its garbage. For frames that
+    are run once each, as those of ``stored`` are."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def build_index(docs: DataFrame, staging: str, id_col: str = "paper_id", text_col: str = "text", aliases: dict[str, str] = L.SECTION_ALIASES, most: int = 400, overlap: int = 50, count: Callable[[str], int] = parsing.count_words) -> dict[str, DataFrame]:
     """sections, subsections, chunks (clean, with role and importance, those that pass the gate), domains and status of documents
     (id, text). A document whose text is null or blank is marked in status and gives no other rows; the others aren't held up.

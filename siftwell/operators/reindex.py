@@ -22,9 +22,11 @@ from ..functions import text as T
 from ..functions.vectors import hashed_embedding
 from ..sources.store import IndexStore
 from . import documents, parsing
-from .indexing import cleaned, prepared, stored, top_chunk_domains
+from .indexing import cleaned, dropped, prepared, shuffles_dropped, stored, top_chunk_domains
 
 STEPS = ["read", "parse", "chunk", "vector"]
+#: Texts are indexed in slices of about so many bytes, by the store's buckets; the most slices of a run.
+SLICE_BYTES, MOST_SLICES = 1 << 28, 4
 
 
 def with_vectors(rows: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
@@ -72,26 +74,32 @@ def page_lines(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def digested(docs: DataFrame, key: str, blocks: DataFrame | None) -> DataFrame:
-    """(key, text, digest), a row for each key."""
+    """(key, text, digest) of all given rows; a key may have several."""
     made = docs.select(key, F.col("text").cast("string").alias("text"))
     if blocks is not None:
         order = F.array_sort(F.collect_list(F.struct("page_number", "block_index", F.coalesce("text", F.lit("")).alias("text"))))
         pages = blocks.groupBy(F.col(key).alias("b_key")).agg(F.concat_ws("\n", F.transform(order, lambda b: F.concat_ws(":", b["page_number"].cast("string"), b["text"]))).alias("pages"))
         made = made.join(pages, F.col(key) == F.col("b_key"), "left").select(key, F.coalesce("text", "pages").alias("text"))
-    made = made.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return made.groupBy(key).agg(F.max_by(F.struct("text", "digest"), "digest").alias("m")).select(key, "m.text", "m.digest")
+    return made.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def index_documents(taken: DataFrame, staging: str, key: str = "paper_id", blocks: DataFrame | None = None, embed=None, count: Callable[[str], int] = parsing.count_words, aliases: dict[str, str] = L.SECTION_ALIASES, most: int = 400, overlap: int = 50) -> dict[str, DataFrame]:
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """The row (key, text, digest) with the greatest digest for each key."""
+    return rows.groupBy(key).agg(F.max_by(F.struct("text", "digest"), "digest").alias("m")).select(key, "m.text", "m.digest")
+
+
+def index_documents(taken: DataFrame, staging: str, key: str = "paper_id", blocks: DataFrame | None = None, embed=None, count: Callable[[str], int] = parsing.count_words, aliases: dict[str, str] = L.SECTION_ALIASES, most: int = 400, overlap: int = 50, parsed: Callable[[], None] = lambda: None) -> dict[str, DataFrame]:
     """All tables of an index of ``taken`` (key, text, digest; one row a key): sections, subsections, chunks and tables with vectors, domains,
-    documents and quarantine. Intermediate tables are staged in a folder that all share."""
+    documents and quarantine. Intermediate tables are staged in a folder that all share, each text once in each form; ``parsed`` is called when
+    ``taken`` isn't read any more."""
     bare = ~F.coalesce("text", F.lit("")).rlike(r"\S")
     cause = F.when(F.col(key).isNull(), "no id").when(bare, "no text")
-    unread = taken.filter(cause.isNotNull()).select(key, F.lit("read").alias("step"), cause.alias("error"))
+    read = stored(taken.select(key, "digest", cause.alias("error")), f"{staging}/read")
+    unread = read.filter("error is not null").select(key, F.lit("read").alias("step"), "error")
     good = taken.filter(cause.isNull())
     lines = documents.document_lines(good, key, "text").withColumn("page_number", F.lit(None).cast("int"))
     if blocks is not None:
-        own = blocks.join(good.select(F.col(key).alias("g_key")), F.col(key) == F.col("g_key"), "left_semi").withColumn("page_number", F.col("page_number").cast("int"))
+        own = blocks.join(read.filter("error is null").select(F.col(key).alias("g_key")), F.col(key) == F.col("g_key"), "left_semi").withColumn("page_number", F.col("page_number").cast("int"))
         paged = page_lines(own, key)
         plain = lines.join(own.select(F.col(key).alias("p_key")).distinct(), F.col(key) == F.col("p_key"), "left_anti")
         lines = paged.unionByName(plain.withColumn("pos", F.struct(F.lit(None).cast("int").alias("page_number"), F.col("pos").alias("at"))))
@@ -99,14 +107,15 @@ def index_documents(taken: DataFrame, staging: str, key: str = "paper_id", block
     if embed is None:  # counts of words are those of the parts added up, so that each text is counted once for all that it goes into
         segs = segs.withColumns({"counts": hashed_embedding(T.tokens(F.col("content"))), "words": T.word_count(F.col("content"))})
     segs = stored(segs, f"{staging}/segments")
-    raw = stored(parsing.chunk_sections(segs, key, most, overlap, count, guard=True), f"{staging}/raw")
-    clean = stored(cleaned(raw.filter("error is null").drop("error")), f"{staging}/clean")
-    made = {"sections": joined(segs, embed, key, "section_name"), "subsections": joined(segs, embed, key, "section_name", "subsection_name"), "chunks": with_vectors(prepared(clean, key), "content", embed)}
+    parsed()
+    clean = stored(cleaned(parsing.chunk_sections(segs, key, most, overlap, count, guard=True)), f"{staging}/clean")
+    made = {"sections": joined(segs, embed, key, "section_name"), "subsections": joined(segs, embed, key, "section_name", "subsection_name"), "chunks": with_vectors(prepared(clean.filter("error is null").drop("error"), key), "content", embed)}
     if blocks is not None:
         found = parsing.table_artifacts(own.withColumnRenamed(key, "id"), segs.withColumnRenamed(key, "id")).withColumnRenamed("id", key)
         made["tables"] = with_vectors(found.withColumn("token_count", T.word_count(F.col("normalized_table_text"))), "normalized_table_text", embed)
-    out = {name: stored(rows, f"{staging}/{name}") for name, rows in made.items()}
-    failures = [unread, raw.filter("error is not null").select(key, F.lit("chunk").alias("step"), "error")]
+    # Without a model, sections are only joined and added up, where they are written; what they are made of is staged.
+    out = {name: rows if embed is None and "sections" in name else stored(rows, f"{staging}/{name}") for name, rows in made.items()}
+    failures = [unread, clean.filter("error is not null").select(key, F.lit("chunk").alias("step"), "error")]
     failures += [rows.filter("error is not null").select(key, F.lit("vector").alias("step"), F.concat_ws(": ", F.lit(name), "error").alias("error")) for name, rows in out.items()]
     every = failures[0]
     for f in failures[1:]:
@@ -116,10 +125,14 @@ def index_documents(taken: DataFrame, staging: str, key: str = "paper_id", block
     gone = failed.select(F.col(key).alias("f_key"))
     out = {name: rows.drop("error").join(gone, F.col(key).eqNullSafe(F.col("f_key")), "left_anti") for name, rows in out.items()}
     out["domains"] = top_chunk_domains(out["chunks"], key)
-    return out | {"documents": _documents(taken, raw, out, failed, key), "quarantine": failed.join(taken.select(F.col(key).alias("t_key"), "digest"), F.col(key).eqNullSafe(F.col("t_key")), "left").drop("t_key")}
+    out["documents"] = _documents(read, clean, out, failed, key)
+    out["quarantine"] = failed.join(read.select(F.col(key).alias("t_key"), "digest"), F.col(key).eqNullSafe(F.col("t_key")), "left").drop("t_key")
+    out |= {name: stored(out[name], f"{staging}/{name}") for name in ("domains", "documents", "quarantine")}
+    dropped(clean.sparkSession, f"{staging}/clean")
+    return out
 
 
-def _documents(taken: DataFrame, raw: DataFrame, out: dict[str, DataFrame], failed: DataFrame, key: str) -> DataFrame:
+def _documents(read: DataFrame, raw: DataFrame, out: dict[str, DataFrame], failed: DataFrame, key: str) -> DataFrame:
     counts = [rows.groupBy(F.col(key).alias("n_key")).agg(F.count("*").alias("n")).withColumn("what", F.lit(f"n_{name}")) for name, rows in (("raw_chunks", raw.filter("error is null")), *((n, out[n]) for n in ("sections", "subsections", "chunks", "tables") if n in out))]
     every = counts[0]
     for c in counts[1:]:
@@ -127,7 +140,7 @@ def _documents(taken: DataFrame, raw: DataFrame, out: dict[str, DataFrame], fail
     names = ["n_raw_chunks", "n_sections", "n_subsections", "n_chunks", "n_tables"]
     wide = every.groupBy("n_key").agg(*[F.sum(F.when(F.col("what") == n, F.col("n")).otherwise(0)).alias(n) for n in names])
     marks = failed.select(F.col(key).alias("f_key"), F.lit(True).alias("failed"))
-    both = taken.select(key, "digest").join(marks, F.col(key).eqNullSafe(F.col("f_key")), "left").join(wide, F.col(key) == F.col("n_key"), "left")
+    both = read.select(key, "digest").join(marks, F.col(key).eqNullSafe(F.col("f_key")), "left").join(wide, F.col(key) == F.col("n_key"), "left")
     n = [F.when(F.col("failed").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c) for c in names]
     return both.select(key, "digest", F.when(F.col("failed"), "failed").otherwise("indexed").alias("status"), *n)
 
@@ -145,9 +158,17 @@ def reindex(store: IndexStore, docs: DataFrame, staging: str, only: DataFrame |
     ``rebuild`` all, in place of all that there was. Failed documents lose their old rows and are tried again when they
     change, or with ``retry``. blocks: page blocks (key, page_number, block_index, text) of documents that have them. Returns how many succeeded, failed and
     were left as they are."""
-    key = store.key
-    given = stored(digested(docs, key, blocks), f"{staging}/given")
-    wanted = given
+    with shuffles_dropped(docs.sparkSession):
+        return _reindex(store, docs, staging, only, rebuild, retry, blocks, batch, how)
+
+
+def _reindex(store: IndexStore, docs: DataFrame, staging: str, only: DataFrame | None, rebuild: bool, retry: bool, blocks: DataFrame | None, batch: tuple[str, int] | None, how: dict) -> dict[str, int]:
+    """Only keys, digests and sizes are kept of what was given; texts are fetched for the documents that are taken, and indexed slice by
+    slice, so that what is staged beside the store is a slice's."""
+    key, spark = store.key, docs.sparkSession
+    texts = digested(docs, key, blocks)
+    given = stored(texts.groupBy(key).agg(F.max("digest").alias("digest"), F.max(F.octet_length("text").cast("long")).alias("size")), f"{staging}/given")
+    wanted, known = given, None
     if only is not None:
         asked = only.select(F.col(key).alias("o_key")).distinct()
         there = given.join(asked, F.col(key).eqNullSafe(F.col("o_key")), "left_semi")
@@ -156,19 +177,35 @@ def reindex(store: IndexStore, docs: DataFrame, staging: str, only: DataFrame |
     elif not rebuild and (known := unchanged(store, retry)) is not None:
         wanted = given.join(known, F.col(key).eqNullSafe(F.col("k_key")) & (F.col("digest") == F.col("k_digest")), "left_anti")
     taken = stored(wanted, f"{staging}/taken")
-    if only is None and not rebuild and not batch and taken.isEmpty():
-        return {"succeeded": 0, "failed": 0, "unchanged": given.count()}
-    out = index_documents(taken, staging, key, blocks, **how)
-    keys = taken.select(key)
-    if only is not None:
-        lost = stored(absent, f"{staging}/absent")
-        none = F.lit(None).cast("string")
-        out["quarantine"] = out["quarantine"].unionByName(lost.select(key, F.lit("read").alias("step"), F.lit("not found").alias("error"), none.alias("digest")))
-        out["documents"] = out["documents"].unionByName(lost.select(key, none.alias("digest"), F.lit("failed").alias("status"), *[F.lit(0).cast("long").alias(c) for c in out["documents"].columns[3:]]))
-        keys = keys.unionByName(lost)
-    out = {name: stored(rows, f"{staging}/out-{name}") for name, rows in out.items()}
-    n = {r["status"]: r["n"] for r in out["documents"].groupBy("status").agg(F.count("*").alias("n")).collect()}
-    if n or rebuild or batch:
-        store.commit(out, None if rebuild else keys, batch)
+    lost = None if only is None else stored(absent, f"{staging}/absent")
+    if not rebuild and not batch and taken.isEmpty() and (lost is None or lost.isEmpty()):
+        left = given.count() if only is None else 0
+        dropped(spark, *[f"{staging}/{x}" for x in ("given", "taken", "absent")])
+        return {"succeeded": 0, "failed": 0, "unchanged": left}
+    n_slices = min(MOST_SLICES, store.buckets, max(1, -(-(taken.agg(F.sum("size")).first()[0] or 0) // SLICE_BYTES)))
+    if only is not None or known is not None:
+        texts = texts.join(taken.select(F.col(key).alias("w_key")), F.col(key).eqNullSafe(F.col("w_key")), "left_semi")
+    cut = one_each(texts, key).withColumn("slice", F.pmod(store.bucket(), F.lit(n_slices)))
+    cut.write.mode("overwrite").partitionBy("slice").parquet(f"{staging}/texts")
+    cut = spark.read.schema(cut.schema).parquet(f"{staging}/texts")
+    n: dict[str, int] = {}
+
+    def parts() -> Iterator[dict[str, DataFrame]]:
+        for i in range(n_slices):
+            part = f"{staging}/slice-{i}"
+            out = index_documents(cut.filter(F.col("slice") == i).drop("slice"), part, key, blocks, parsed=lambda: dropped(spark, f"{staging}/texts/slice={i}"), **how)
+            if lost is not None and i == 0:
+                none = F.lit(None).cast("string")
+                out["quarantine"] = out["quarantine"].unionByName(lost.select(key, F.lit("read").alias("step"), F.lit("not found").alias("error"), none.alias("digest")))
+                out["documents"] = out["documents"].unionByName(lost.select(key, none.alias("digest"), F.lit("failed").alias("status"), *[F.lit(0).cast("long").alias(c) for c in out["documents"].columns[3:]]))
+            for r in out["documents"].groupBy("status").agg(F.count("*").alias("n")).collect():
+                n[r["status"]] = n.get(r["status"], 0) + r["n"]
+            yield out
+            dropped(spark, part)
+
+    keys = taken.select(key) if lost is None else taken.select(key).unionByName(lost)
+    store.commit(parts(), None if rebuild else keys, batch)
     done = n.get("indexed", 0) + n.get("failed", 0)
-    return {"succeeded": n.get("indexed", 0), "failed": n.get("failed", 0), "unchanged": given.count() - done if only is None else 0}
+    left = given.count() - done if only is None else 0
+    dropped(spark, *[f"{staging}/{x}" for x in ("given", "taken", "absent", "texts")])
+    return {"succeeded": n.get("indexed", 0), "failed": n.get("failed", 0), "unchanged": left}

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,40 +112,52 @@ class IndexStore:
 
     # Commits
 
-    def _bucket(self) -> Column:
+    def bucket(self) -> Column:
+        """The bucket of a row, by its key."""
         return F.coalesce(F.pmod(F.xxhash64(self.key), F.lit(self.buckets)), F.lit(0)).cast("int")
 
-    def commit(self, tables: dict[str, DataFrame], keys: DataFrame | None, batch: tuple[str, int] | None = None) -> int:
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.withColumn("__bucket", self.bucket()).hint("rebalance", "__bucket").write.mode("append").partitionBy("__bucket").parquet(f"{self.root}/{folder}")
+
+    def commit(self, tables: dict[str, DataFrame] | Iterable[dict[str, DataFrame]], keys: DataFrame | None, batch: tuple[str, int] | None = None) -> int:
         """Replaces all rows of the keys by those given, in all tables at once; keys None: all rows. keys: a table with the key column,
-        read several times, so a stored one. The number of the new version."""
+        read several times, so a stored one. tables: by name, or parts that add up, with the same tables each; a part is written
+        before the next one is asked for, so that what it was made from may go then. The number of the new version."""
         now = self.manifest()
         version, folder = now["version"] + 1, f"data/{now['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
         new = {"version": version, "batches": now["batches"] | ({batch[0]: batch[1]} if batch else {}), "tables": {}}
         gone = None if keys is None else keys.select(F.col(self.key).alias("gone_key")).distinct()
-        for name in sorted({*now["tables"], *tables}):
-            old = {} if keys is None else now["tables"].get(name, {}).get("buckets", {})
+        parts = iter([tables] if isinstance(tables, dict) else tables)
+        first = next(parts, {})
+        olds, anews, schemas = {}, {}, {}
+        for name in sorted({*now["tables"], *first}):
+            olds[name] = old = {} if keys is None else now["tables"].get(name, {}).get("buckets", {})
             kept = now["tables"].get(name, {"schema": None})
-            fresh = tables.get(name)
-            schema = fresh.schema.jsonValue() if fresh is not None else kept["schema"]
+            fresh = first.get(name)
+            schemas[name] = fresh.schema.jsonValue() if fresh is not None else kept["schema"]
             anew = [b for b, ps in old.items() if len(ps) > MOST_FOLDERS]
             if any(old.values()):
                 held = self._rows(kept).select(self.key)
-                hit = held.join(gone, held[self.key].eqNullSafe(F.col("gone_key")), "left_semi").select(self._bucket().cast("string").alias("b")).distinct()
+                hit = held.join(gone, held[self.key].eqNullSafe(F.col("gone_key")), "left_semi").select(self.bucket().cast("string").alias("b")).distinct()
                 anew = sorted({*anew, *(r["b"] for r in hit.collect())})
-            parts = [] if fresh is None else [fresh]
+            anews[name] = anew
+            rows = [] if fresh is None else [fresh]
             if anew:
                 rest = self._rows(kept, anew)
-                parts.append(rest.join(gone, rest[self.key].eqNullSafe(F.col("gone_key")), "left_anti"))
-            written: list[str] = []
-            if parts:
-                rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-                schema = rows.schema.jsonValue()
-                rows.withColumn("__bucket", self._bucket()).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{folder}/{name}")
-                written = [n.partition("=")[2] for n in self._names(f"{folder}/{name}") if n.startswith("__bucket=")]
-            buckets = {b: ([] if b in anew else list(ps)) for b, ps in old.items()}
-            for b in written:
+                rows.append(rest.join(gone, rest[self.key].eqNullSafe(F.col("gone_key")), "left_anti"))
+            if rows:
+                both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1], allowMissingColumns=True)
+                schemas[name] = both.schema.jsonValue()
+                self._write(both, f"{folder}/{name}")
+        for part in parts:
+            for name, fresh in sorted(part.items()):
+                # Columns and their types are those of the first part's rows, which may have had old ones beside them.
+                self._write(fresh.unionByName(self._rows(now["tables"][name], []), allowMissingColumns=True) if anews[name] else fresh, f"{folder}/{name}")
+        for name, old in olds.items():
+            buckets = {b: ([] if b in anews[name] else list(ps)) for b, ps in old.items()}
+            for b in (n.partition("=")[2] for n in self._names(f"{folder}/{name}") if n.startswith("__bucket=")):
                 buckets.setdefault(b, []).append(f"{folder}/{name}/__bucket={b}")
-            new["tables"][name] = {"schema": schema, "buckets": {b: ps for b, ps in buckets.items() if ps}}
+            new["tables"][name] = {"schema": schemas[name], "buckets": {b: ps for b, ps in buckets.items() if ps}}
         self._publish(json.dumps(new), f"v{version:010d}.json")
         return version
 
